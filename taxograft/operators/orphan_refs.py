@@ -46,7 +46,8 @@ def bloom_filter(keys: DataFrame, n_keys: int) -> tuple[np.ndarray, int]:
                 if block not in own:
                     own[block] = np.zeros(per_block // 8, np.uint8)
                 np.bitwise_or.at(own[block], inside >> 3, np.uint8(1) << (inside & 7).astype(np.uint8))
-        yield pd.DataFrame({"block": list(own), "bits": [v.tobytes() for v in own.values()]}, columns=["block", "bits"])
+        if own:
+            yield pd.DataFrame({"block": list(own), "bits": [v.tobytes() for v in own.values()]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[int, np.ndarray] = {}
@@ -54,7 +55,8 @@ def bloom_filter(keys: DataFrame, n_keys: int) -> tuple[np.ndarray, int]:
             for block, raw in zip(batch["block"], batch["bits"]):
                 v = np.frombuffer(raw, np.uint8)
                 own[block] = own[block] | v if block in own else v
-        yield pd.DataFrame({"block": list(own), "bits": [v.tobytes() for v in own.values()]}, columns=["block", "bits"])
+        if own:
+            yield pd.DataFrame({"block": list(own), "bits": [v.tobytes() for v in own.values()]})
 
     kind = "block long, bits binary"
     blocks = keys.mapInPandas(partial, kind).repartition("block").mapInPandas(merge, kind)

@@ -200,7 +200,8 @@ def separator_profile(df: DataFrame, text: str, source: str, prompt: bool = Fals
                     into = sums.setdefault((src, name), [0, 0.0, 0.0, 0.0])
                     for i, x in enumerate(numbers):
                         into[i] += x
-            yield pd.DataFrame([(s, c, *v) for (s, c), v in sums.items()], columns=kind.names)
+            if sums:
+                yield pd.DataFrame([(s, c, *v) for (s, c), v in sums.items()], columns=kind.names)
 
     base = df.select(F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     sums = ("fields", "pieces", "words", "squares")
