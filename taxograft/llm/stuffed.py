@@ -71,7 +71,7 @@ def shape(unit: str) -> Shape:
             n += any(c.isalpha() for c in t)
     first = next((c for c in unit if c.isalpha()), "")
     capital, ended = first.isupper(), bool(_END.search(unit))
-    if links and (4 * links >= n or not ended and links >= 3):
+    if links and (4 * links >= n or links >= 4):
         kind = "link"
     elif tags and 2 * tags >= len(tokens):
         kind = "tag"
