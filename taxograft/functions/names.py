@@ -25,15 +25,19 @@ def canonical_name(name: str | None) -> str | None:
     text = name
     if "&" in text:
         text = html.unescape(html.unescape(text))
-    if "Ã" in text or "Â" in text:
-        try:
-            text = text.encode("cp1252").decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            pass
-    text = unicodedata.normalize("NFKD", text)
-    text = "".join(c for c in text if not unicodedata.combining(c)).lower()
-    text = _BRACKETED.sub("", text.strip())
-    return " ".join(sorted(_TOKEN.findall(_APOSTROPHE.sub("", text))))
+    if not text.isascii():
+        if "Ã" in text or "Â" in text:
+            try:
+                text = text.encode("cp1252").decode("utf-8")
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                pass
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    text = text.lower()
+    if "(" in text:
+        text = _BRACKETED.sub("", text.strip())
+    words = _TOKEN.findall(_APOSTROPHE.sub("", text))
+    words.sort()
+    return " ".join(words)
 
 
 def canonical(name: Column | str) -> Column:
@@ -41,15 +45,6 @@ def canonical(name: Column | str) -> Column:
 
     @F.pandas_udf("string")
     def run(names: pd.Series) -> pd.Series:
-        memo: dict[str, str] = {}
-
-        def one(x: str | None) -> str | None:
-            if x is None:
-                return None
-            if x not in memo:
-                memo[x] = canonical_name(x)
-            return memo[x]
-
-        return names.map(one, na_action=None)
+        return pd.Series([canonical_name(x) for x in names], dtype=object)
 
     return run(name)

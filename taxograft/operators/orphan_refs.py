@@ -67,15 +67,19 @@ def bloom_filter(keys: DataFrame, n_keys: int) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def bloom_hits(bits: np.ndarray, n_bits: int, h: np.ndarray) -> np.ndarray:
+    """For each 64-bit hash whether it may be in the filter."""
+    at = _positions(h, n_bits)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).all(axis=0)
+
+
 def might_contain(refs: DataFrame, bits: np.ndarray, n_bits: int) -> DataFrame:
     """``refs`` with a boolean ``maybe``: false proves that the key ``h`` is not in the filter."""
     shared = refs.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        at = _positions(h.to_numpy(), n_bits)
-        hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return pd.Series(hit.all(axis=0))
+        return pd.Series(bloom_hits(shared.value, n_bits, h.to_numpy()))
 
     return refs.withColumn("maybe", test("h"))
 

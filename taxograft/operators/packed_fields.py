@@ -229,19 +229,12 @@ def separator_profile(df: DataFrame, text: str, source: str, prompt: bool = Fals
     return flat.select("source", accepted.alias("accepted"))
 
 
-def split_packed(df: DataFrame, text: str, source: str, keep: list[Column], prompt: bool = False) -> DataFrame:
-    """One row per value: the ``keep`` columns, ``pos`` (from 1, counting empty places) and ``val``.
+def with_pieces(df: DataFrame, text: str, source: str, prompt: bool = False) -> DataFrame:
+    """``df`` with a column ``_pieces`` (array<struct<pos, val>>): the values of each field; empty for null, empty and blank fields.
 
-    Null, empty and blank fields give no row; repeated rows give repeated values; very long fields are split
-    whole; extra columns are ignored. The list of accepted separators comes from :func:`separator_profile`.
+    The list of accepted separators comes from :func:`separator_profile`, joined on the source.
     """
-    profile = separator_profile(df, text, source, prompt)
-    names = [f"_k{i}" for i in range(len(keep))]
-    base = df.select(
-        *[c.alias(n) for c, n in zip(keep, names)],
-        F.col(text).alias("_text"),
-        F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("_source"),
-    ).where(F.col("_text").isNotNull())
+    profile = separator_profile(df, text, source, prompt).select(F.col("source").alias("_src"), F.col("accepted").alias("_acc"))
 
     @F.pandas_udf("array<struct<pos:int,val:string>>")
     def pieces(value: pd.Series, accepted: pd.Series) -> pd.Series:
@@ -252,9 +245,20 @@ def split_packed(df: DataFrame, text: str, source: str, keep: list[Column], prom
             ]
         )
 
-    joined = base.join(profile, base["_source"] == profile["source"], "left").drop("source")
-    out = joined.select(*names, F.explode(pieces("_text", "accepted")).alias("_p"))
-    return out.select(*names, F.col("_p.pos").alias("pos"), F.col("_p.val").alias("val"))
+    joined = df.join(profile, F.coalesce(df[source].cast("string"), F.lit(NO_SOURCE)) == F.col("_src"), "left")
+    return joined.withColumn("_pieces", pieces(F.col(text), F.col("_acc"))).drop("_src", "_acc")
+
+
+def split_packed(df: DataFrame, text: str, source: str, keep: list[Column], prompt: bool = False) -> DataFrame:
+    """One row per value: the ``keep`` columns, ``pos`` (from 1, counting empty places) and ``val``.
+
+    Null, empty and blank fields give no row; repeated rows give repeated values; very long fields are split
+    whole; extra columns are ignored.
+    """
+    names = [f"_k{i}" for i in range(len(keep))]
+    base = df.select(*[c.alias(n) for c, n in zip(keep, names)], F.col(text).alias("_text"), F.col(source).alias("_source"))
+    out = with_pieces(base.where(F.col("_text").isNotNull()), "_text", "_source", prompt)
+    return out.select(*names, F.explode("_pieces").alias("_p")).select(*names, F.col("_p.pos").alias("pos"), F.col("_p.val").alias("val"))
 
 
 def packed_names(big7: DataFrame, triples: DataFrame, prompts: DataFrame) -> DataFrame:
