@@ -9,20 +9,22 @@ signature scheme on the canonical words: two errors touch at most two words, so
 
 Two names with no more than two errors that leave the number of words unchanged always share a signature, and a signature
 holds everything but the touched pieces, so even words that many names share make no large buckets. Candidates are verified by
-edit distance. Nothing is broadcast; names are reduced to distinct canonical forms before any of it.
+edit distance. Names are reduced to distinct canonical forms before any of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxograft.functions.names import canonical
 from taxograft.llm.components import components
+from taxograft.operators.orphan_refs import bloom_filter, bloom_hits
 from taxograft.session import Scratch
 
 #: Names with more words than this are signed by five word groups instead (at most four can be touched by two errors).
@@ -57,12 +59,24 @@ def signatures(name: str, probe: bool) -> list[int]:
     return list(dict.fromkeys(out))
 
 
-def _signed(names: DataFrame, probe: bool, alias: str) -> DataFrame:
-    @F.pandas_udf("array<long>")
-    def sign(name: pd.Series) -> pd.Series:
-        return name.map(lambda x: signatures(x, probe))
+def _signed(names: DataFrame, probe: bool, alias: str, among: tuple | None = None) -> DataFrame:
+    """(name, sig) of each canonical name; with ``among`` (a Bloom filter's bits and size) only signatures that may be in it."""
+    shared = names.sparkSession.sparkContext.broadcast(among[0]) if among else None
 
-    return names.select(F.col("canon").alias(alias), F.explode(sign("canon")).alias("sig"))
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            owner, sigs = [], []
+            for name in batch["canon"]:
+                own = signatures(name, probe)
+                owner += [name] * len(own)
+                sigs += own
+            out = pd.DataFrame({alias: pd.Series(owner, dtype=object), "sig": np.array(sigs, np.int64)})
+            if among and len(out):
+                out = out[bloom_hits(shared.value, among[1], out["sig"].to_numpy())]
+            if len(out):
+                yield out
+
+    return names.select("canon").mapInPandas(sign, f"{alias} string, sig long")
 
 
 def _two_errors(a: Column, b: Column) -> Column:
@@ -83,29 +97,29 @@ def _two_errors(a: Column, b: Column) -> Column:
 
 
 def mistyped_links(probes: DataFrame, refs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a canonical probe and another canonical reference within two errors."""
-    p, r = _signed(probes, True, "a"), _signed(refs, False, "b")
-    pairs = p.join(r, "sig").where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    return pairs.where(_two_errors(F.col("a"), F.col("b")))
+    """Distinct pairs (a, b) of a canonical probe and another canonical reference within two errors.
+
+    The few probes' signatures make a Bloom filter of bounded size; references send only the signatures that pass it, so of the many
+    references hardly anything is shuffled. The join is told to merge: estimates made before the explosion would broadcast it.
+    """
+    scratch = Scratch(probes.sparkSession, "links")
+    p = scratch.keep(_signed(probes, True, "a"))
+    bits = bloom_filter(p.select(F.col("sig").alias("h")), p.count())
+    r = _signed(refs, False, "b", bits)
+    pairs = p.hint("merge").join(r, "sig").where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    return scratch.keep(pairs.where(_two_errors(F.col("a"), F.col("b"))))
 
 
-def name_classes(names: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """(canon, name_class) of every distinct canonical form among ``names`` and ``catalog`` (column ``name`` each).
+def aliases(foreign: DataFrame, known: DataFrame) -> DataFrame:
+    """(canon, name_class) of the canonical names that typing errors link to others; the class is the smallest form of those linked.
 
-    Names that are linked, directly or over others, share the class, which is the smallest canonical form among them.
-    Null names and names without letters or digits have no class. An empty input gives an empty result.
+    ``foreign`` (canon, n) are distinct forms outside the catalogue and how often each stands, ``known`` (canon) the distinct catalogue.
+    Foreign forms are linked to known and frequent foreign ones, and what stays alone among itself. A name without a row here is its own
+    class. Empty forms belong to no class and must be left out by the caller.
     """
-    scratch = Scratch(names.sparkSession, "names")
-    canon = lambda df: df.where(F.col("name").isNotNull()).groupBy("name").count().withColumn("canon", canonical("name")).where(F.col("canon") != "")
-    forms = scratch.keep(canon(names).groupBy("canon").agg(F.sum("count").alias("n")))
-    known = scratch.keep(canon(catalog).select("canon").distinct() if catalog is not None else forms.select("canon").limit(0))
-    foreign = scratch.keep(forms.join(known, "canon", "left_anti"))
-    refs = known.unionByName(foreign.where(F.col("n") >= FREQUENT).select("canon"))
-    links = scratch.keep(mistyped_links(foreign.select("canon"), refs))
-    alone = foreign.where(F.col("n") < FREQUENT).join(links.select(F.col("a").alias("canon")).distinct(), "canon", "left_anti").select("canon")
+    scratch = Scratch(foreign.sparkSession, "names")
+    refs = known.select("canon").unionByName(foreign.where(F.col("n") >= FREQUENT).select("canon"))
+    links = mistyped_links(foreign.select("canon"), refs)
+    alone = scratch.keep(foreign.where(F.col("n") < FREQUENT).join(links.select(F.col("a").alias("canon")).distinct(), "canon", "left_anti").select("canon"))
     more = mistyped_links(alone, alone)
-    comp = components(links.unionByName(more))
-    everyone = forms.select("canon").unionByName(known).distinct()
-    return everyone.join(comp.withColumnRenamed("node", "canon"), "canon", "left").select(
-        "canon", F.coalesce("component", "canon").alias("name_class")
-    )
+    return components(links.unionByName(more)).select(F.col("node").alias("canon"), F.col("component").alias("name_class"))
