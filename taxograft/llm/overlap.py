@@ -6,70 +6,106 @@ their class) and hashed; evaluation hashes are joined with training hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxograft.functions.names import canonical
-from taxograft.llm.same_name import name_classes
-from taxograft.operators.packed_fields import split_packed
+from taxograft.functions.names import canonical, canonical_name
+from taxograft.llm.same_name import aliases
+from taxograft.operators.orphan_refs import bloom_filter, bloom_hits
+from taxograft.operators.packed_fields import with_pieces
 from taxograft.session import Scratch
 
 
-def _fields(sub_pairs: DataFrame, triples: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rec_table, row_id, split, source, n) of all complete rows, and their names (rec_table, row_id, field, name)."""
+TABLES = ("sub_pairs", "emb_triples", "gen_prompts")
 
-    def part(table: str, df: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-        whole = df.where(F.col("split").isin("train", "eval", "test") & F.col("row_id").isNotNull())
-        for f in fields:
-            whole = whole.where(F.col(f).isNotNull())
-        rec = whole.select(F.lit(table).alias("rec_table"), "row_id", "split", "source").distinct()
-        listed = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("name")) for f in fields if f != "text"])
-        names = whole.select(F.lit(table).alias("rec_table"), "row_id", "split", F.explode(listed).alias("x")).select("rec_table", "row_id", "split", "x.field", "x.name")
-        if "text" in fields:
-            packed = split_packed(whole, "text", "source", [F.col("row_id"), F.col("split")], prompt=True)
-            names = names.unionByName(packed.select(F.lit(table).alias("rec_table"), F.col("_k0").alias("row_id"), F.col("_k1").alias("split"), F.lit("text").alias("field"), F.col("val").alias("name")))
-        return rec, names
 
-    a = part("sub_pairs", sub_pairs, ["subclass", "superclass"])
-    b = part("emb_triples", triples, ["query_label", "positive_label"])
-    c = part("gen_prompts", prompts, ["summary", "text"])
-    return a[0].unionByName(b[0]).unionByName(c[0]), a[1].unionByName(b[1]).unionByName(c[1])
+def _canonical_fields(one: Column, many: Column) -> Column:
+    """A row's canonical names: array<struct<field, canon>> without repeated ones, of a first field with one name and a second one with several."""
+
+    @F.pandas_udf("array<struct<field:tinyint,canon:string>>")
+    def run(first: pd.Series, rest: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(first, rest):
+            names = [(0, canonical_name(a))] + [(1, canonical_name(x)) for x in b]
+            out.append([{"field": f, "canon": c} for f, c in sorted(set(names)) if c])
+        return pd.Series(out)
+
+    return run(one, many)
+
+
+def _records(sub_pairs: DataFrame, triples: DataFrame, prompts: DataFrame) -> DataFrame:
+    """(code, row_id, split, source, names) of all complete rows, straight from the scans."""
+
+    def part(code: int, df: DataFrame, one: str, many: Column, whole: Column) -> DataFrame:
+        rows = df.where(F.col("split").isin("train", "eval", "test") & F.col("row_id").isNotNull() & F.col(one).isNotNull() & whole)
+        return rows.select(F.lit(code).cast("tinyint").alias("code"), "row_id", "split", "source", _canonical_fields(F.col(one), many).alias("names"))
+
+    packed = with_pieces(prompts, "text", "source", prompt=True)
+    vals = F.transform("_pieces", lambda p: p["val"])
+    return (
+        part(0, sub_pairs, "subclass", F.array("superclass"), F.col("superclass").isNotNull())
+        .unionByName(part(1, triples, "query_label", F.array("positive_label"), F.col("positive_label").isNotNull()))
+        .unionByName(part(2, packed, "summary", vals, F.col("text").isNotNull()))
+    )
 
 
 def content_hashes(sub_pairs: DataFrame, triples: DataFrame, prompts: DataFrame, cats: DataFrame) -> DataFrame:
-    """(rec_table, row_id, split, source, content): the hash of each complete row's canonical content.
+    """(code, row_id, split, source, content): the hash of each complete row's canonical content; ``code`` is the place in TABLES.
 
-    Rows with a null among the content fields or the split, or with a field that holds no name at all, are left out;
-    repeated rows with one row_id count once per split and source. The names of one row's packed field form a set.
+    Rows with a null among the content fields or the split, or with a field that holds no name at all, are left out; the names of
+    one row's packed field form a set. Mistyped names are replaced by their class; since few names are mistyped, a Bloom filter of bounded
+    size tells which rows may hold one, and all others are hashed where they stand.
     """
     scratch = Scratch(sub_pairs.sparkSession, "content")
-    rec, names = _fields(sub_pairs, triples, prompts)
-    names = scratch.keep(names.distinct().withColumn("canon", canonical("name")))
-    classes = scratch.keep(name_classes(names.select("name"), cats.select(F.col("label").alias("name"))))
-    coded = names.where(F.col("canon") != "").join(classes, "canon").select("rec_table", "row_id", "split", "field", F.xxhash64("name_class").alias("h"))
-    # a row's own few names: bounded by its fields, whatever the table's size
-    sets = coded.groupBy("rec_table", "row_id", "split").agg(
-        F.sort_array(F.collect_set(F.struct("field", "h"))).alias("set"), F.countDistinct("field").alias("n_fields")
-    )
-    sets = sets.where(F.col("n_fields") == 2).select("rec_table", "row_id", "split", F.md5(F.to_json("set")).alias("content"))
-    return rec.join(sets, ["rec_table", "row_id", "split"])
+    both = F.exists("names", lambda x: x["field"] == 0) & F.exists("names", lambda x: x["field"] == 1)
+    rec = scratch.keep(_records(sub_pairs, triples, prompts).where(both))
+    forms = rec.select(F.explode(F.transform("names", lambda x: x["canon"])).alias("canon")).groupBy("canon").agg(F.count(F.lit(1)).alias("n"))
+    known = scratch.keep(cats.where(F.col("label").isNotNull()).select(canonical("label").alias("canon")).where(F.col("canon") != "").distinct())
+    foreign = scratch.keep(forms.join(known, "canon", "left_anti"))
+    linked = scratch.keep(aliases(foreign, known))
+    linked = linked.where(F.col("canon") != F.col("name_class"))
+    bits, n_bits = bloom_filter(linked.select(F.xxhash64("canon").alias("h")), linked.count())
+    shared = sub_pairs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def touched(hashes: pd.Series) -> pd.Series:
+        sizes = [len(x) for x in hashes]
+        if not sum(sizes):
+            return pd.Series([False] * len(sizes), dtype=bool)
+        hit = bloom_hits(shared.value, n_bits, np.concatenate([np.asarray(x, np.int64) for x in hashes]))
+        return pd.Series(np.logical_or.reduceat(hit, np.cumsum([0, *sizes[:-1]])))
+
+    marked = rec.withColumn("_t", touched(F.transform("names", lambda x: F.xxhash64(x["canon"]))))
+    digest = lambda names: F.unhex(F.md5(F.to_json(names)))
+    plain = marked.where(~F.col("_t")).select("code", "row_id", "split", "source", digest(F.col("names")).alias("content"))
+    # the few rows that may hold a mistyped name: bounded by their own fields
+    keys = ["code", "row_id", "split", "source"]
+    loose = marked.where(F.col("_t")).withColumn("_i", F.md5(F.to_json("names"))).select(*keys, "_i", F.explode("names").alias("x")).select(*keys, "_i", "x.field", "x.canon")
+    named = loose.join(linked, "canon", "left").withColumn("canon", F.coalesce("name_class", "canon"))
+    again = named.groupBy(*keys, "_i").agg(F.sort_array(F.collect_set(F.struct("field", "canon"))).alias("names"))
+    return plain.unionByName(again.select(*keys, digest(F.col("names")).alias("content")))
+
+
+def table_name(code: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in TABLES]), code + 1)
 
 
 def cross_split_pairs(hashes: DataFrame) -> DataFrame:
     """Distinct (rec_table, id_a, id_b) of rows with the same content, one in train, the other in eval or test, id_a < id_b."""
-    rows = hashes.select("rec_table", "row_id", "split", "content").distinct()
-    train = rows.where(F.col("split") == "train").select("rec_table", "content", F.col("row_id").alias("t"))
-    held = rows.where(F.col("split") != "train").select("rec_table", "content", F.col("row_id").alias("e")).distinct()
-    both = held.join(train, ["rec_table", "content"]).where(F.col("t") != F.col("e"))
-    return both.select("rec_table", F.least("t", "e").alias("id_a"), F.greatest("t", "e").alias("id_b")).distinct()
+    train = hashes.where(F.col("split") == "train").select("code", "content", F.col("row_id").alias("t"))
+    held = hashes.where(F.col("split") != "train").select("code", "content", F.col("row_id").alias("e")).distinct()
+    both = train.join(held, ["code", "content"]).where(F.col("t") != F.col("e"))
+    pairs = both.select("code", F.least("t", "e").alias("id_a"), F.greatest("t", "e").alias("id_b")).distinct()
+    return pairs.select(table_name(F.col("code")).alias("rec_table"), "id_a", "id_b")
 
 
 def overlap_report(hashes: DataFrame) -> DataFrame:
     """Per table, held-out split and source: rows, rows whose content stands in train, and pairs. Pairs are counted from
     training counts per content and never built."""
-    rows = hashes.select("rec_table", "row_id", "split", "source", "content").distinct()
-    train = rows.where(F.col("split") == "train").groupBy("rec_table", "content").agg(F.countDistinct("row_id").alias("n_train"))
-    held = rows.where(F.col("split") != "train").join(train, ["rec_table", "content"], "left")
-    return held.groupBy("rec_table", "split", "source").agg(
+    train = hashes.where(F.col("split") == "train").select("code", "content", "row_id").distinct().groupBy("code", "content").agg(F.count(F.lit(1)).alias("n_train"))
+    held = hashes.where(F.col("split") != "train").distinct().join(train, ["code", "content"], "left")
+    return held.groupBy(table_name(F.col("code")).alias("rec_table"), "split", "source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("n_train").alias("n_overlapping"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("n_pairs")
     )
