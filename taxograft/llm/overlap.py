@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,36 +22,46 @@ from taxograft.session import Scratch
 TABLES = ("sub_pairs", "emb_triples", "gen_prompts")
 
 
-def _canonical_fields(one: Column, many: Column) -> Column:
-    """A row's canonical names: array<struct<field, canon>> without repeated ones, of a first field with one name and a second one with several."""
+#: Between a row's two fields, and between the names of its second field.
+FIELD, NAME = "\x1e", "\x1f"
 
-    @F.pandas_udf("array<struct<field:tinyint,canon:string>>")
+
+def _content(one: Column, many: Column) -> Column:
+    """A row's canonical content as one string: the first field's name, then the second's distinct names in order; null where a field has no
+    name. ``many`` holds the second field's names joined by NAME."""
+
+    @F.pandas_udf("string")
     def run(first: pd.Series, rest: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(first, rest):
-            names = [(0, canonical_name(a))] + [(1, canonical_name(x)) for x in b]
-            out.append([{"field": f, "canon": c} for f, c in sorted(set(names)) if c])
-        return pd.Series(out)
+            head = canonical_name(a)
+            tail = canonical_name(b) if NAME not in b else NAME.join(sorted({canonical_name(x) for x in b.split(NAME)} - {""}))
+            out.append(f"{head}{FIELD}{tail}" if head and tail else None)
+        return pd.Series(out, dtype=object)
 
     return run(one, many)
 
 
 def _records(sub_pairs: DataFrame, triples: DataFrame, prompts: DataFrame) -> DataFrame:
-    """(code, row_id, split, source, names) of all complete rows, straight from the scans."""
+    """(code, row_id, split, source, content) of all complete rows, straight from the scans."""
 
-    def part(code: int, df: DataFrame, one: str, many: Column, whole: Column) -> DataFrame:
-        rows = df.where(F.col("split").isin("train", "eval", "test") & F.col("row_id").isNotNull() & F.col(one).isNotNull() & whole)
-        return rows.select(F.lit(code).cast("tinyint").alias("code"), "row_id", "split", "source", _canonical_fields(F.col(one), many).alias("names"))
+    def part(code: int, df: DataFrame, one: str, many: Column) -> DataFrame:
+        rows = df.where(F.col("split").isin("train", "eval", "test") & F.col("row_id").isNotNull() & F.col(one).isNotNull() & many.isNotNull())
+        return rows.select(F.lit(code).cast("tinyint").alias("code"), "row_id", "split", "source", _content(F.col(one), many).alias("content"))
 
-    packed = with_pieces(prompts, "text", "source", prompt=True)
-    vals = F.transform("_pieces", lambda p: p["val"])
+    packed = with_pieces(prompts, "text", "source", prompt=True).where(F.col("text").isNotNull())
     return (
-        part(0, sub_pairs, "subclass", F.array("superclass"), F.col("superclass").isNotNull())
-        .unionByName(part(1, triples, "query_label", F.array("positive_label"), F.col("positive_label").isNotNull()))
-        .unionByName(part(2, packed, "summary", vals, F.col("text").isNotNull()))
+        part(0, sub_pairs, "subclass", F.col("superclass"))
+        .unionByName(part(1, triples, "query_label", F.col("positive_label")))
+        .unionByName(part(2, packed, "summary", F.array_join(F.transform("_pieces", lambda p: p["val"]), NAME)))
+        .where(F.col("content").isNotNull())
     )
 
 
+def _name_hash(name: str) -> int:
+    return xxhash.xxh64_intdigest(name) - (1 << 63)
+
+
 def content_hashes(sub_pairs: DataFrame, triples: DataFrame, prompts: DataFrame, cats: DataFrame) -> DataFrame:
     """(code, row_id, split, source, content): the hash of each complete row's canonical content; ``code`` is the place in TABLES.
 
@@ -59,33 +70,42 @@ def content_hashes(sub_pairs: DataFrame, triples: DataFrame, prompts: DataFrame,
     size tells which rows may hold one, and all others are hashed where they stand.
     """
     scratch = Scratch(sub_pairs.sparkSession, "content")
-    both = F.exists("names", lambda x: x["field"] == 0) & F.exists("names", lambda x: x["field"] == 1)
-    rec = scratch.keep(_records(sub_pairs, triples, prompts).where(both))
-    forms = rec.select(F.explode(F.transform("names", lambda x: x["canon"])).alias("canon")).groupBy("canon").agg(F.count(F.lit(1)).alias("n"))
+    rec = scratch.keep(_records(sub_pairs, triples, prompts))
+    forms = rec.select(F.explode(F.split("content", f"[{FIELD}{NAME}]")).alias("canon")).groupBy("canon").agg(F.count(F.lit(1)).alias("n"))
     known = scratch.keep(cats.where(F.col("label").isNotNull()).select(canonical("label").alias("canon")).where(F.col("canon") != "").distinct())
     foreign = scratch.keep(forms.join(known, "canon", "left_anti"))
-    linked = scratch.keep(aliases(foreign, known))
-    linked = linked.where(F.col("canon") != F.col("name_class"))
-    bits, n_bits = bloom_filter(linked.select(F.xxhash64("canon").alias("h")), linked.count())
+    linked = aliases(foreign, known)
+    linked = scratch.keep(linked.where(F.col("canon") != F.col("name_class")))
+
+    @F.pandas_udf("long")
+    def hashed(name: pd.Series) -> pd.Series:
+        return pd.Series([_name_hash(x) for x in name], dtype="int64")
+
+    bits, n_bits = bloom_filter(linked.select(hashed("canon").alias("h")), linked.count())
     shared = sub_pairs.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
-    def touched(hashes: pd.Series) -> pd.Series:
-        sizes = [len(x) for x in hashes]
-        if not sum(sizes):
-            return pd.Series([False] * len(sizes), dtype=bool)
-        hit = bloom_hits(shared.value, n_bits, np.concatenate([np.asarray(x, np.int64) for x in hashes]))
-        return pd.Series(np.logical_or.reduceat(hit, np.cumsum([0, *sizes[:-1]])))
-
-    marked = rec.withColumn("_t", touched(F.transform("names", lambda x: F.xxhash64(x["canon"]))))
-    digest = lambda names: F.unhex(F.md5(F.to_json(names)))
-    plain = marked.where(~F.col("_t")).select("code", "row_id", "split", "source", digest(F.col("names")).alias("content"))
-    # the few rows that may hold a mistyped name: bounded by their own fields
+    def touched(content: pd.Series) -> pd.Series:
+        if not len(content):
+            return pd.Series([], dtype=bool)
+        names = [x.replace(FIELD, NAME).split(NAME) for x in content]
+        hit = bloom_hits(shared.value, n_bits, np.array([_name_hash(x) for own in names for x in own], np.int64))
+        return pd.Series(np.logical_or.reduceat(hit, np.cumsum([0, *(len(own) for own in names[:-1])])))
+
+    digest = lambda c: F.unhex(F.md5(c))
     keys = ["code", "row_id", "split", "source"]
-    loose = marked.where(F.col("_t")).withColumn("_i", F.md5(F.to_json("names"))).select(*keys, "_i", F.explode("names").alias("x")).select(*keys, "_i", "x.field", "x.canon")
-    named = loose.join(linked, "canon", "left").withColumn("canon", F.coalesce("name_class", "canon"))
-    again = named.groupBy(*keys, "_i").agg(F.sort_array(F.collect_set(F.struct("field", "canon"))).alias("names"))
-    return plain.unionByName(again.select(*keys, digest(F.col("names")).alias("content")))
+    marked = rec.withColumn("_t", touched("content"))
+    marked = scratch.keep(marked.select(*keys, F.when(~F.col("_t"), digest("content")).alias("digest"), F.when(F.col("_t"), F.col("content")).alias("content")))
+    plain = marked.where(F.col("digest").isNotNull()).select(*keys, F.col("digest").alias("content"))
+    # the few rows that may hold a mistyped name: bounded by their own fields
+    parts = F.split("content", FIELD)
+    loose = marked.where(F.col("content").isNotNull()).withColumn("_i", F.col("content"))
+    one = loose.select(*keys, "_i", F.lit(0).alias("field"), parts[0].alias("canon"))
+    many = loose.select(*keys, "_i", F.lit(1).alias("field"), F.explode(F.split(parts[1], NAME)).alias("canon"))
+    named = one.unionByName(many).join(linked, "canon", "left").withColumn("canon", F.coalesce("name_class", "canon"))
+    names_of = lambda f: F.array_join(F.sort_array(F.collect_set(F.when(F.col("field") == f, F.col("canon")))), NAME)
+    again = named.groupBy(*keys, "_i").agg(F.concat_ws(FIELD, names_of(0), names_of(1)).alias("content"))
+    return plain.unionByName(scratch.keep(again.select(*keys, digest("content").alias("content"))))
 
 
 def table_name(code: Column) -> Column:
