@@ -135,13 +135,19 @@ def breadcrumb_screening(pairs: DataFrame, tokens: DataFrame, words: DataFrame,
 
 
 def common_parent(pairs: DataFrame, tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """(pair_id, token): tokens of either side that equal or are more general than a token of the other side."""
+    """(pair_id, token): for each token of the left side the most general one of it and the right side's tokens related to it, where it is related
+    to any; of several unrelated ones the first by name."""
     star = words.select("node", "anc").unionByName(tokens.select(F.col("token").alias("node"), F.col("token").alias("anc"))).distinct()
     side = lambda c: pairs.select("pair_id", F.col(c).alias("row_id")).join(tokens.select("row_id", "token"), "row_id").select("pair_id", "token").distinct()
     left, right = side("left"), side("right")
 
-    def above(low: DataFrame, high: DataFrame) -> DataFrame:
-        up = low.join(star.select(F.col("node").alias("token"), "anc"), "token").select("pair_id", F.col("anc").alias("token"))
-        return up.join(high, ["pair_id", "token"], "left_semi").distinct()
-
-    return above(left, right).unionByName(above(right, left)).distinct()
+    up = star.select(F.col("node").alias("token"), "anc")
+    # left tokens above a right one stand for themselves, right tokens above a left one for that one
+    own = right.join(up, "token").select("pair_id", F.col("anc").alias("token")).join(left, ["pair_id", "token"], "left_semi").distinct()
+    cand = own.select("pair_id", F.col("token").alias("of"), "token")
+    over = left.join(up, "token").select("pair_id", F.col("token").alias("of"), F.col("anc").alias("token")).join(right, ["pair_id", "token"], "left_semi")
+    cand = cand.unionByName(over).distinct()
+    strict = words.where(F.col("node") != F.col("anc")).select(F.col("node").alias("token"), "anc").distinct()
+    below = cand.join(strict, "token").join(cand.select("pair_id", "of", F.col("token").alias("anc")), ["pair_id", "of", "anc"], "left_semi")
+    top = cand.join(below.select("pair_id", "of", "token"), ["pair_id", "of", "token"], "left_anti")
+    return top.groupBy("pair_id", "of").agg(F.min("token").alias("token")).select("pair_id", "token").distinct()

@@ -85,11 +85,12 @@ def ngram_overlap(reference: Column, candidate: Column, up_to: int = 4) -> Colum
 
     def grams(text: Column) -> Column:
         w = F.split(F.trim(text), r"\s+")
-        per = [
-            F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-            for n in range(1, up_to + 1)
-        ]
-        return F.concat(*per)
+
+        def of_length(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+            return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(*[of_length(n) for n in range(1, up_to + 1)])
 
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
     a, b = grams(reference), grams(candidate)

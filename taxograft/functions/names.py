@@ -35,7 +35,9 @@ def canonical_name(name: str | None) -> str | None:
     text = text.lower()
     if "(" in text:
         text = _BRACKETED.sub("", text.strip())
-    words = _TOKEN.findall(_APOSTROPHE.sub("", text))
+    if "'" in text or "`" in text or not text.isascii():
+        text = _APOSTROPHE.sub("", text)
+    words = _TOKEN.findall(text)
     words.sort()
     return " ".join(words)
 
