@@ -157,7 +157,7 @@ class VectorStore:
         out.cells = Scratch(self.vectors.sparkSession, "cells").keep(self._assigned(self.vectors, c, 1, "id long, embedding array<double>, cell int", ["id"]))
         return out
 
-    def _assigned(self, rows: DataFrame, centroids: np.ndarray, n: int, kind: str, keys: list[str]) -> DataFrame:
+    def _assigned(self, rows: DataFrame, centroids: np.ndarray, n: int, kind: str, keys: list[str], metric: str = "l2") -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(centroids)
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,14 +165,15 @@ class VectorStore:
             for batch in batches:
                 if len(batch):
                     m = _matrix(batch["embedding"])
-                    near = np.argsort((c * c).sum(1)[None, :] - 2 * m @ c.T, axis=1, kind="stable")[:, :n]
+                    far = -(m @ c.T) if metric == "ip" else (c * c).sum(1)[None, :] - 2 * m @ c.T
+                    near = np.argsort(far, axis=1, kind="stable")[:, :n]
                     at = np.repeat(np.arange(len(m)), near.shape[1])
                     yield pd.DataFrame({**{k: batch[k].to_numpy()[at] for k in keys}, "embedding": [m[i] for i in at], "cell": near.ravel().astype(np.int32)})
 
         return rows.select(*keys, "embedding").mapInPandas(assign, kind)
 
     def _probe(self, queries: DataFrame, k: int, subset: DataFrame | None, metric: str, nprobe: int) -> DataFrame:
-        q = self._assigned(queries, self.centroids, nprobe, "query_id long, embedding array<double>, cell int", ["query_id"]).withColumnRenamed("embedding", "_q")
+        q = self._assigned(queries, self.centroids, nprobe, "query_id long, embedding array<double>, cell int", ["query_id"], metric).withColumnRenamed("embedding", "_q")
         rows = self.cells if subset is None else self.cells.join(subset.select("id").distinct(), "id", "left_semi")
         score = dot(F.col("_q"), F.col("embedding"))
         if metric == "l2":
