@@ -113,7 +113,7 @@ def contrastive_triples(taxonomy: Taxonomy, cover: int = 2, n_negatives: int = 9
     of all pairs; which sibling is the query depends on the pair's hash."""
     pairs = cluster_pairs(taxonomy.edges, cover)
     swap = F.substring(hashed(seed, "cluster_id", "a", "b"), 1, 1) < "8"
-    p = Scratch(taxonomy.spark, "triples").keep(pairs.select("cluster_id", F.when(swap, F.col("a")).otherwise(F.col("b")).alias("query"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("positive"), F.monotonically_increasing_id().alias("row")))
+    p = Scratch(taxonomy.spark, "triples").keep(pairs.select("cluster_id", F.when(swap, F.col("a")).otherwise(F.col("b")).alias("query"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("positive")))
     neg = negatives(taxonomy, p.select(F.col("query").alias("id")), n_negatives, seed)
     label = taxonomy.nodes.select("id", "label")
     named = neg.join(label.withColumnRenamed("id", "negative"), "negative").groupBy("query").agg(F.sort_array(F.collect_list("label")).alias("negatives_label"))

@@ -34,6 +34,9 @@ def build_session(master: str | None = None, app: str = "taxograft", **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder for cut lineage: ``spark.checkpoint.dir`` of the session, else (local masters only) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = set_before.get() if set_before.isDefined() else None
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
