@@ -111,7 +111,8 @@ def mistyped_links(probes: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def aliases(foreign: DataFrame, known: DataFrame) -> DataFrame:
-    """(canon, name_class) of the canonical names that typing errors link to others; the class is the smallest form of those linked.
+    """(canon, name_class) of the canonical names that typing errors link to others; the class is a catalogue form of those linked, else the
+    most frequent, else the smallest.
 
     ``foreign`` (canon, n) are distinct forms outside the catalogue and how often each stands, ``known`` (canon) the distinct catalogue.
     Foreign forms are linked to known and frequent foreign ones, and what stays alone among itself. A name without a row here is its own
@@ -122,4 +123,9 @@ def aliases(foreign: DataFrame, known: DataFrame) -> DataFrame:
     links = mistyped_links(foreign.select("canon"), refs)
     alone = scratch.keep(foreign.where(F.col("n") < FREQUENT).join(links.select(F.col("a").alias("canon")).distinct(), "canon", "left_anti").select("canon"))
     more = mistyped_links(alone, alone)
-    return components(links.unionByName(more)).select(F.col("node").alias("canon"), F.col("component").alias("name_class"))
+    comp = scratch.keep(components(links.unionByName(more)))
+    # the clean form stands for its class, so that names written properly are the ones that need no replacement
+    member = comp.join(known.select(F.col("canon").alias("node"), F.lit(0).alias("strange")), "node", "left").join(foreign.select(F.col("canon").alias("node"), "n"), "node", "left")
+    order = F.struct(F.coalesce("strange", F.lit(1)), -F.coalesce("n", F.lit(0)), "node")
+    best = member.groupBy("component").agg(F.min_by("node", order).alias("name_class"))
+    return comp.join(best, "component").select(F.col("node").alias("canon"), "name_class")
