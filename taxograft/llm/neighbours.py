@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from taxograft.session import Scratch
 
-TREES, BAND, DIM, SEED = 28, 96, 64, 20240607
+TREES, BAND, DIM, SEED, MARGIN = 28, 96, 64, 20240607, 2e-3
 
 
 def _planes(tree: int, dim: int) -> np.ndarray:
@@ -62,7 +62,10 @@ def copy_classes(units: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def forest_pairs(reps: DataFrame, min_similarity: float, trees: int = TREES, band: int = BAND, dim: int = DIM) -> DataFrame:
-    """(x, y, sim) with x < y of class pairs that some tree brings together and whose cosine is at least the minimum."""
+    """(x, y), x < y: distinct class pairs that some tree brings together and whose cosine may reach the minimum.
+
+    Vectors travel as float16, whose rounding moves a cosine by less than MARGIN; exact cosines are computed later.
+    """
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes = [_planes(t, dim) for t in range(trees)]
@@ -71,7 +74,7 @@ def forest_pairs(reps: DataFrame, min_similarity: float, trees: int = TREES, ban
             if not len(batch):
                 continue
             m = np.frombuffer(b"".join(batch["unit"]), np.float64).reshape(-1, dim).astype(np.float32)
-            short = [v.tobytes() for v in m]
+            short = [v.tobytes() for v in m.astype(np.float16)]
             for t in range(trees):
                 bits = (m @ planes[t] > 0).astype(np.int64)
                 yield pd.DataFrame({"tree": np.int32(t), "code": bits @ powers, "cls": batch["cls"], "v": short})
@@ -82,23 +85,21 @@ def forest_pairs(reps: DataFrame, min_similarity: float, trees: int = TREES, ban
 
         def score(part: pd.DataFrame, fresh: int) -> pd.DataFrame:
             """Pairs within the band of which the later row is among the last ``fresh``."""
-            m = np.frombuffer(b"".join(part["v"]), np.float32).reshape(-1, dim)
+            m = np.frombuffer(b"".join(part["v"]), np.float16).reshape(-1, dim).astype(np.float32)
             tree, cls, n = part["tree"].to_numpy(), part["cls"].to_numpy(), len(part)
             xs, ys = [], []
             step = 128
             for a in range(n - fresh, n, step):
                 b, lo = min(n, a + step), max(0, a - band)
                 s = m[a:b] @ m[lo:b].T
-                i, j = np.nonzero(s >= min_similarity - 1e-3)
+                i, j = np.nonzero(s >= min_similarity - MARGIN)
                 i, j = i + a, j + lo
                 ok = (j < i) & (i - j <= band) & (tree[i] == tree[j])
                 xs.append(i[ok])
                 ys.append(j[ok])
             i, j = np.concatenate(xs), np.concatenate(ys)
-            d = m.astype(np.float64)
-            sims = np.einsum("ij,ij->i", d[i], d[j]) if len(i) else np.zeros(0)
             x, y = cls[i], cls[j]
-            return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y), "sim": sims})
+            return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)}).drop_duplicates()
 
         tail: pd.DataFrame | None = None
         for batch in batches:
@@ -117,8 +118,7 @@ def forest_pairs(reps: DataFrame, min_similarity: float, trees: int = TREES, ban
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     coded = reps.mapInPandas(hashes, "tree int, code long, cls long, v binary")
     array = coded.repartitionByRange(parts, "tree", "code", "cls").sortWithinPartitions("tree", "code", "cls")
-    pairs = array.mapInPandas(scan, "x long, y long, sim double").where(F.col("x") != F.col("y"))
-    return pairs.groupBy("x", "y").agg(F.max("sim").alias("sim"))
+    return array.mapInPandas(scan, "x long, y long").where(F.col("x") != F.col("y")).distinct()
 
 
 def similar_pairs(vectors: DataFrame, k: int = 10, min_similarity: float = 0.9, **forest: int) -> DataFrame:
