@@ -49,7 +49,12 @@ def insertion_space(
     below = base.join(closed.select(F.col("anc").alias("node"), F.col("node").alias("low")), "node").select("query_id", F.col("low").alias("node"))
     star = with_self(closed, nodes)
     upper = base.join(star.select("node", F.col("anc").alias("up")), "node").select("query_id", F.col("up").alias("node")).distinct() if strict else None
-    step = edges.select(F.col("tgt").alias("node"), F.col("src").alias("child"), "label")
+    step, on = edges.select(F.col("tgt").alias("node"), F.col("src").alias("child"), "label"), ["node"]
+    if upper is not None:
+        # only edges between ancestors-or-self of the base can be walked: found from the child's side, where they are few
+        upper = scratch.keep(upper)
+        own = upper.withColumnRenamed("node", "child").join(step, "child")
+        step, on = scratch.keep(own.join(upper, ["query_id", "node"], "left_semi").select("query_id", "node", "child", "label")), ["query_id", "node"]
     start = tops.select("query_id", "node").distinct().join(below, ["query_id", "node"], "left_anti")
     if upper is not None:
         start = start.join(upper, ["query_id", "node"], "left_semi")
@@ -58,11 +63,8 @@ def insertion_space(
     below = scratch.keep(below.distinct())
     while True:
         open_nodes = seen[-1].join(base_mark, ["query_id", "node"], "left_anti")
-        moved = open_nodes.join(step, "node").select("query_id", F.col("child").alias("node"), F.col("node").alias("parent"), "label")
-        moved = moved.join(below, ["query_id", "node"], "left_anti")
-        if upper is not None:
-            moved = moved.join(upper, ["query_id", "node"], "left_semi")
-        moved = scratch.keep(moved)
+        moved = open_nodes.join(step, on).select("query_id", F.col("child").alias("node"), F.col("node").alias("parent"), "label")
+        moved = scratch.keep(moved.join(below, ["query_id", "node"], "left_anti"))
         parts.append(moved)
         known = seen[0]
         for s in seen[1:]:

@@ -33,12 +33,13 @@ class Placement:
 def traverse(start: DataFrame, step: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float, tolerance: int = 0, barred: DataFrame | None = None, stop: DataFrame | None = None, prune: DataFrame | None = None) -> DataFrame:
     """(query_id, node, p) accepted by a level-by-level walk.
 
-    From ``start`` (query_id, node) the walk follows ``step`` (query_id, node, next). ``score`` adds p to (query_id, node). A node with p at or
+    From ``start`` (query_id, node) the walk follows ``step`` (query_id, node, next), or (node, next) where all queries walk the same edges. ``score`` adds p to (query_id, node). A node with p at or
     above the threshold is accepted and expanded; one below is expanded while fewer than ``tolerance`` failures lie directly before it. Nodes in
     ``barred`` are never entered, accepted nodes in ``stop`` not expanded. With ``prune`` (query_id, node, beyond) all nodes beyond a finally
     failing node are barred for later levels. Of several ways to a node in one level the one with the fewest failures counts.
     """
     scratch = Scratch(start.sparkSession, "walk")
+    on = lambda df: [c for c in ("query_id", "node") if c in df.columns]
     front = scratch.keep(start.select("query_id", "node").distinct().withColumn("fails", F.lit(0)))
     if barred is not None:
         front = scratch.keep(front.join(barred.select("query_id", "node").distinct(), ["query_id", "node"], "left_anti"))
@@ -51,9 +52,9 @@ def traverse(start: DataFrame, step: DataFrame, score: Callable[[DataFrame], Dat
         grow = seen.where(ok | (F.col("fails") < tolerance)).withColumn("fails", F.when(ok, 0).otherwise(F.col("fails") + 1))
         if stop is not None:
             grow = grow.join(stop.select("query_id", "node").distinct().withColumn("_stop", F.lit(True)), ["query_id", "node"], "left").where(~(ok & F.coalesce("_stop", F.lit(False))))
-        reached = grow.select("query_id", "node", "fails").join(step, ["query_id", "node"]).groupBy("query_id", F.col("next").alias("node")).agg(F.min("fails").alias("fails"))
+        reached = grow.select("query_id", "node", "fails").join(step, on(step)).groupBy("query_id", F.col("next").alias("node")).agg(F.min("fails").alias("fails"))
         if prune is not None:
-            dead = seen.where(~ok & (F.col("fails") >= tolerance)).select("query_id", "node").join(prune, ["query_id", "node"]).select("query_id", F.col("beyond").alias("node"))
+            dead = seen.where(~ok & (F.col("fails") >= tolerance)).select("query_id", "node").join(prune, on(prune)).select("query_id", F.col("beyond").alias("node"))
             visited = scratch.keep(visited.unionByName(dead).distinct())
         front = scratch.keep(reached.join(visited, ["query_id", "node"], "left_anti"))
         visited = scratch.keep(visited.unionByName(front.select("query_id", "node")))
@@ -102,8 +103,12 @@ def place(taxonomy: Taxonomy, queries: DataFrame, bases: DataFrame | None, confi
     queries = scratch.keep(queries.select("query_id", "label"))
     step = edges.select("src", "tgt").distinct()
     if bases is None:
-        ids = queries.select("query_id").crossJoin(nodes.select("id"))  # every query's space is the whole taxonomy
-        walked, used = scratch.keep(ids), scratch.keep(queries.select("query_id").crossJoin(step))
+        # all queries share one space, the whole taxonomy, so its edges and closure carry no query; each query starts at its few roots, and on
+        # the way up at all leaves, every one of which has to be scored against it
+        used, within = step, closed.select("node", "anc")
+        asked = queries.select("query_id")
+        tops = asked.crossJoin(taxonomy.roots().withColumnRenamed("id", "node"))
+        bottoms = asked.crossJoin(taxonomy.leaves().withColumnRenamed("id", "node"))
         sure = down_stop = None
     else:
         bases = scratch.keep(bases.select("query_id", "node").distinct())
@@ -116,25 +121,26 @@ def place(taxonomy: Taxonomy, queries: DataFrame, bases: DataFrame | None, confi
             above = bases.join(star, "node").groupBy("query_id", F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("n"))
             sure = scratch.keep(above.join(size, "query_id").where(F.col("n") == F.col("size")).select("query_id", "node"))
             down_stop = bases
-    inner = lambda up: used.select("query_id", F.col("src" if up else "tgt").alias("node"), F.col("tgt" if up else "src").alias("next"))
-    has = lambda c: used.select("query_id", F.col(c).alias("id")).distinct()
-    tops = walked.join(has("src"), ["query_id", "id"], "left_anti").select("query_id", F.col("id").alias("node"))
-    bottoms = walked.join(has("tgt"), ["query_id", "id"], "left_anti").select("query_id", F.col("id").alias("node"))
-    # reachability within each query's own space
-    within = closed.select("node", "anc").join(walked.select("query_id", F.col("id").alias("node")), "node").join(walked.select("query_id", F.col("id").alias("anc")), ["query_id", "anc"], "left_semi")
-    within = scratch.keep(within.select("query_id", "node", "anc"))
-    pruned_down = within.select("query_id", F.col("anc").alias("node"), F.col("node").alias("beyond")) if cfg.force_prune else None
-    pruned_up = within.select("query_id", "node", F.col("anc").alias("beyond")) if cfg.force_prune else None
+        has = lambda c: used.select("query_id", F.col(c).alias("id")).distinct()
+        tops = walked.join(has("src"), ["query_id", "id"], "left_anti").select("query_id", F.col("id").alias("node"))
+        bottoms = walked.join(has("tgt"), ["query_id", "id"], "left_anti").select("query_id", F.col("id").alias("node"))
+        # reachability within each query's own space
+        within = closed.select("node", "anc").join(walked.select("query_id", F.col("id").alias("node")), "node").join(walked.select("query_id", F.col("id").alias("anc")), ["query_id", "anc"], "left_semi")
+        within = scratch.keep(within.select("query_id", "node", "anc"))
+    key = [c for c in ("query_id",) if c in within.columns]
+    inner = lambda up: used.select(*key, F.col("src" if up else "tgt").alias("node"), F.col("tgt" if up else "src").alias("next"))
+    pruned_down = within.select(*key, F.col("anc").alias("node"), F.col("node").alias("beyond")) if cfg.force_prune else None
+    pruned_up = within.select(*key, "node", F.col("anc").alias("beyond")) if cfg.force_prune else None
     got = scratch.keep(traverse(tops, inner(False), _scorer(queries, nodes, scorer, False, sure), cfg.threshold, cfg.tolerance, None, down_stop, pruned_down))
     # strict ancestors of accepted nodes are not most specific, and never entered on the way up
-    over = scratch.keep(got.join(within, ["query_id", "node"]).select("query_id", F.col("anc").alias("node")).distinct())
+    over = scratch.keep(got.join(within, [*key, "node"]).select("query_id", F.col("anc").alias("node")).distinct())
     sup = scratch.keep(got.join(over, ["query_id", "node"], "left_anti"))
     live = sup.select("query_id").distinct()
     up = traverse(bottoms.join(live, "query_id", "left_semi"), inner(True), _scorer(queries, nodes, scorer, True, bases if sure is not None else None), cfg.threshold, cfg.tolerance, over, sup, pruned_up)
     up = scratch.keep(up.withColumnRenamed("p", "p_sub"))
     eqv = scratch.keep(sup.join(up, ["query_id", "node"]).select("query_id", "node", F.col("p").alias("p_sup"), "p_sub"))
     rest = up.join(eqv, ["query_id", "node"], "left_anti")
-    inside = rest.select("query_id", "node").join(within, ["query_id", "node"]).select("query_id", "node", "anc")
+    inside = rest.select("query_id", "node").join(within, [*key, "node"]).select("query_id", "node", "anc")
     lower = inside.join(rest.select("query_id", F.col("node").alias("anc")), ["query_id", "anc"], "left_semi").select("query_id", "node").distinct()
     sub = rest.join(lower, ["query_id", "node"], "left_anti").select("query_id", "node", F.lit(None).cast("double").alias("p_sup"), "p_sub")
     sup = sup.join(eqv, ["query_id", "node"], "left_anti").select("query_id", "node", F.col("p").alias("p_sup"), F.lit(None).cast("double").alias("p_sub"))

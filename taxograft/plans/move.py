@@ -35,9 +35,9 @@ def search_parents(taxonomy: Taxonomy, targets: DataFrame, config: MoveConfig, s
     start = t.select("query_id").crossJoin(tops)  # each stated target starts at the few tops of the space
     below = taxonomy.closure().select(F.col("anc").alias("query_id"), "node").join(t.select("query_id"), "query_id", "left_semi")
     barred = below.unionByName(t.select("query_id", F.col("query_id").alias("node")))
-    # the step does not depend on the target, so it is joined on the node alone
-    scorer_of = _scorer(t, taxonomy.nodes, scorer, False)
-    got = scratch.keep(_walk(start, inner, scorer_of, config, barred))
+    # all targets walk the same edges, so these are joined on the node alone
+    step = inner.select(F.col("tgt").alias("node"), F.col("src").alias("next"))
+    got = scratch.keep(traverse(start, step, _scorer(t, taxonomy.nodes, scorer, False), config.threshold, config.tolerance, barred))
     c = taxonomy.closure()
     over = got.join(c.select("node", "anc"), "node").select("query_id", F.col("anc").alias("node")).distinct()
     best = got.join(over, ["query_id", "node"], "left_anti")
@@ -46,11 +46,6 @@ def search_parents(taxonomy: Taxonomy, targets: DataFrame, config: MoveConfig, s
     return best.select(F.col("query_id").alias("target"), "node")
 
 
-def _walk(start: DataFrame, inner: DataFrame, score, config: MoveConfig, barred: DataFrame) -> DataFrame:
-    step = start.select("query_id").distinct().crossJoin(inner.select(F.col("tgt").alias("node"), F.col("src").alias("next")))
-    return traverse(start, step, score, config.threshold, config.tolerance, barred)
-
-
 def retrieve_parents(taxonomy: Taxonomy, targets: DataFrame, vectors: DataFrame, config: MoveConfig, candidates: DataFrame | None = None) -> DataFrame:
     """(target, node): the nearest nodes to any old parent of the target within the candidate levels (and ``candidates``, if given)."""
     scratch = Scratch(taxonomy.spark, "rag")
