@@ -123,6 +123,15 @@ def short_label(label: Column) -> Column:
     return F.when(F.length(label) > 20, F.concat(F.substring(label, 1, 18), F.lit("…"))).otherwise(label)
 
 
+def highlight(label: Column, text: str) -> Column:
+    """The label cut at the places that match the text, whatever its case: array<struct<text, hit>>."""
+    quoted = "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    if not text:
+        return F.array(F.struct(label.alias("text"), F.lit(False).alias("hit")))
+    pieces = F.regexp_extract_all(label, F.lit(f"(?is)({quoted}|(?:(?!{quoted}).)+)"), F.lit(1))
+    return F.transform(pieces, lambda p: F.struct(p.alias("text"), (F.lower(p) == text.lower()).alias("hit")))
+
+
 def search_labels(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """(id, label): the first nodes by label (then id) whose label or id holds the text, whatever its case. A top-k report."""
     t = text.lower()

@@ -24,6 +24,14 @@ def ignored(nodes: DataFrame, pattern: str | None = None, ids: DataFrame | None
     return out if ids is None else out.join(ids.select("id"), "id", "left_anti")
 
 
+def auto_targets(taxonomy: Taxonomy, config: MoveConfig, pattern: str | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """(id): the leaves but ignored ones, by a seeded hash order where ``max_outer_loop`` bounds their number."""
+    found = ignored(taxonomy.nodes, pattern, ids).join(taxonomy.leaves(), "id", "left_semi").select("id")
+    if config.max_outer_loop is None:
+        return found
+    return found.orderBy(F.md5(F.concat_ws("|", "id", F.lit(str(config.rand_seed)))), "id").limit(config.max_outer_loop)
+
+
 def search_parents(taxonomy: Taxonomy, targets: DataFrame, config: MoveConfig, scorer: Scorer = word_scorer) -> DataFrame:
     """(target, node): the most specific nodes of the level-bounded search space accepted on the way down; with ``to_bottom`` only leaves of
     the space. Nothing accepted gives no row. The target itself and what lies below it are no candidates."""

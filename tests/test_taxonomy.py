@@ -195,9 +195,41 @@ def test_paths_and_search(spark, diamond):
     p = cl.root_paths(diamond.nodes, diamond.edges)
     assert p.count() == 7
     assert cl.path_prefixes(p).count() == 10
+    parts = spark.createDataFrame([("Red red.hat",), (None,)], "label string").select(space.highlight(F.col("label"), "RED"), space.highlight(F.col("label"), ".")).collect()
+    assert [tuple(x) for x in parts[0][0]] == [("Red", True), (" ", False), ("red", True), (".hat", False)] and parts[1][0] is None
+    assert [x["text"] for x in parts[0][1]] == ["Red red", ".", "hat"]
     listed = space.preview_rows(p, diamond.nodes)
     assert listed.count() == 5
     assert rows(space.search_labels(diamond.nodes, "N1"), "id") == [(1,)]
     members, inner = space.neighbourhood(one(spark, 1), diamond.edges)
     assert dict(rows(members, "id", "role")) == {1: "selected", 0: "ancestor", 3: "child", 4: "child", 2: "sibling"}
     assert inner.count() == 6
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from taxograft.cli import main
+
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"nodes": [{"id": 1, "label": "A"}, {"id": 2, "label": "B"}], "edges": [{"src": 2, "tgt": 1, "label": "original"}]}))
+    assert main(["stats", str(path)]) == 0 and "nodes: 3" in capsys.readouterr().out
+    assert main(["preview", str(path)]) == 0 and "    B (2)" in capsys.readouterr().out
+    assert main(["convert", str(path), str(tmp_path / "u.json")]) == 0 and main(["convert", str(path), "u.owl"]) == 1
+    assert main(["validate", str(path)]) == 0
+    path.write_text(json.dumps({"nodes": [{"id": 1, "label": ""}], "edges": []}))
+    assert main(["validate", str(path)]) == 1
+
+
+def test_training_csv(spark, tmp_path):
+    df = spark.createDataFrame([("a, b", ["x", 'y "z"'])], "query_label string, negatives_label array<string>")
+    src.write_training_csv(df, str(tmp_path / "csv"))
+    back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').first()
+    assert back["query_label"] == "a, b" and json.loads(back["negatives_label"]) == ["x", 'y "z"']
+
+
+def test_auto_targets(spark):
+    from taxograft.config import MoveConfig
+    from taxograft.plans.move import auto_targets
+
+    t = make(spark, [(1, 0), (2, 0), (3, 1), (4, 1)], {3: "keep", 4: "Test one", 2: "two"})
+    assert column(auto_targets(t, MoveConfig(), "Test"), "id") == [2, 3]
+    assert auto_targets(t, MoveConfig(max_outer_loop=1), "Test", spark.createDataFrame([(2,)], "id bigint")).first()["id"] == 3
