@@ -157,6 +157,24 @@ class VectorStore:
         out.cells = Scratch(self.vectors.sparkSession, "cells").keep(self._assigned(self.vectors, c, 1, "id long, embedding array<double>, cell int", ["id"]))
         return out
 
+    def probes_for(self, recall: float = 0.95, k: int = 10, sample_queries: int = 64, metric: str = "ip", seed: int = 7) -> int:
+        """How many cells to probe for the recall: the exact neighbours of ``sample_queries`` vectors are looked up, and the smallest number of cells
+        taken that would have held the share of them."""
+        if self.cells is None:
+            raise ValueError("build cells first")
+        q = self.vectors.orderBy(F.xxhash64("id", F.lit(seed))).limit(sample_queries).select(F.col("id").alias("query_id"), "embedding")
+        q = Scratch(q.sparkSession, "probe").keep(q)
+        cell_of = self.cells.select("id", "cell")
+        found = top_k(q, self.vectors, k, metric).join(cell_of, "id").select("query_id", "cell").collect()  # sample_queries * k rows
+        c = self.centroids
+        place = {}
+        for r in q.collect():
+            v = np.asarray(r["embedding"], np.float64)
+            far = -(c @ v) if metric == "ip" else (c * c).sum(1) - 2 * c @ v
+            place[r["query_id"]] = {int(cell): i for i, cell in enumerate(np.argsort(far, kind="stable"), 1)}
+        needed = sorted(place[r["query_id"]][r["cell"]] for r in found)
+        return needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)] if needed else 1
+
     def _assigned(self, rows: DataFrame, centroids: np.ndarray, n: int, kind: str, keys: list[str], metric: str = "l2") -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(centroids)
 

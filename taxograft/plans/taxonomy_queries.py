@@ -513,7 +513,8 @@ def hit_at_ratio(spark: SparkSession, sf: str) -> DataFrame:
 def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cell-pruned search; approximate, so held against brute force in the tests."""
     v = _vectors(spark, sf)
-    return _top(vectors.VectorStore(v).train_cells().search(_asked(v), 10, nprobe=12))
+    store = vectors.VectorStore(v).train_cells()
+    return _top(store.search(_asked(v), 10, nprobe=store.probes_for(0.95)))
 
 
 # -- lexical

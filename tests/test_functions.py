@@ -64,6 +64,10 @@ def test_vectors(spark):
     exact = {(r[0], r[1]) for r in rows(vec.top_k(q, v.where("id < 200"), 10), "query_id", "id")}
     everything = {(r[0], r[1]) for r in rows(cells.search(q, 10, nprobe=11), "query_id", "id")}
     assert everything == exact
+    asked = v.where("id < 120").select(F.col("id").alias("query_id"), "embedding")
+    exact = {(r[0], r[1]) for r in rows(vec.top_k(asked, v.where("id < 120"), 10), "query_id", "id")}
+    found = {(r[0], r[1]) for r in rows(cells.search(asked, 10, nprobe=cells.probes_for(0.95)), "query_id", "id")}
+    assert len(exact & found) >= 0.9 * len(exact)
     assert vec.top_k(q.limit(0), v, 3).count() == 0
 
 
