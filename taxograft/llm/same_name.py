@@ -15,7 +15,7 @@ edit distance. Names are reduced to distinct canonical forms before any of it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,30 +33,41 @@ MAX_WORDS = 12
 FREQUENT = 3
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+_MASK = (1 << 64) - 1
+_ONE_OUT = xxhash.xxh64_intdigest("one word out")
 
 
-def _halves(word: str, sizes: set[int]) -> list[str]:
-    return [x for k in sizes for x in (f"<{k}{word[:k]}", f">{k}{word[len(word) - k :]}")]
+@lru_cache(maxsize=500_000)
+def _word(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+@lru_cache(maxsize=500_000)
+def _halves(word: str, probe: bool) -> tuple[int, ...]:
+    """Hashes of the first and last half. An error may have made a probe's word one letter longer or shorter than the reference's."""
+    n = len(word)
+    sizes = {(n - 1) // 2, n // 2, (n + 1) // 2} if probe else {n // 2}
+    return tuple(xxhash.xxh64_intdigest(f"{side}{k}{word[:k] if side == '<' else word[n - k :]}") for k in sizes for side in "<>")
 
 
 def signatures(name: str, probe: bool) -> list[int]:
-    """The signature hashes of a canonical name. A probe's words may be one shorter or longer than the reference's."""
+    """The signatures of a canonical name as 64-bit sums of word and half-word hashes, whatever the order of the words."""
     words = name.split(" ")
     if len(words) > MAX_WORDS:
-        groups: list[list[str]] = [[] for _ in range(5)]
+        groups: dict[int, int] = {}
         for w in words:
-            groups[xxhash.xxh32_intdigest(w) % 5].append(w)
-        return [_hash(f"G{i}", *g) for i, g in enumerate(groups) if g]
-    out = [_hash("A", *words[:i], *words[i + 1 :]) for i in range(len(words))]
-    sizes = lambda w: {(len(w) - 1) // 2, len(w) // 2, (len(w) + 1) // 2} if probe else {len(w) // 2}
-    for i, j in combinations(range(len(words)), 2):
-        rest = [w for k, w in enumerate(words) if k not in (i, j)]
-        for x in _halves(words[i], sizes(words[i])):
-            for y in _halves(words[j], sizes(words[j])):
-                out.append(_hash("B", *rest, *sorted((x, y))))
-    return list(dict.fromkeys(out))
+            g = xxhash.xxh32_intdigest(w) % 5
+            groups[g] = groups.get(g, g + 1) + _word(w)
+        return [x & _MASK for x in groups.values()]
+    own = [_word(w) for w in words]
+    half = [_halves(w, probe) for w in words]
+    total = sum(own)
+    out = [total - h + _ONE_OUT & _MASK for h in own]
+    for i in range(len(words)):
+        for j in range(i):
+            rest = total - own[i] - own[j]
+            out += [rest + x + y & _MASK for x in half[i] for y in half[j]]
+    return out
 
 
 def _signed(names: DataFrame, probe: bool, alias: str, among: tuple | None = None) -> DataFrame:
@@ -70,9 +81,12 @@ def _signed(names: DataFrame, probe: bool, alias: str, among: tuple | None = Non
                 own = signatures(name, probe)
                 owner += [name] * len(own)
                 sigs += own
-            out = pd.DataFrame({alias: pd.Series(owner, dtype=object), "sig": np.array(sigs, np.int64)})
-            if among and len(out):
-                out = out[bloom_hits(shared.value, among[1], out["sig"].to_numpy())]
+            codes = np.array(sigs, np.uint64).view(np.int64)
+            names = np.array(owner, dtype=object)
+            if among and len(codes):
+                hit = bloom_hits(shared.value, among[1], codes)
+                names, codes = names[hit], codes[hit]
+            out = pd.DataFrame({alias: names, "sig": codes})
             if len(out):
                 yield out
 
