@@ -18,6 +18,7 @@ from taxograft.functions.models import Scorer, word_scorer
 from taxograft.model import NEW, ROOT_ID, Taxonomy
 from taxograft.operators import lattice, space
 from taxograft.operators.closure import closure
+from taxograft.operators.numbering import dense_numbers
 from taxograft.operators.vectors import top_k
 from taxograft.session import Scratch
 
@@ -168,18 +169,15 @@ def place(taxonomy: Taxonomy, queries: DataFrame, bases: DataFrame | None, confi
 def insert(taxonomy: Taxonomy, placement: Placement) -> tuple[Taxonomy, int, int]:
     """The taxonomy with a batch inserted, and the numbers of classes and edges added.
 
-    New concepts get ids after the largest, in the order of their labels; equal labels become one concept. Superclasses are reduced to the
+    New concepts get dense ids after the largest, by hash of their labels; equal labels become one concept. Superclasses are reduced to the
     most specific, subclasses to the most general; edges that would close a cycle are left out. Edges are labelled ``new``.
     """
-    from pyspark.sql import Window
-
     scratch = Scratch(taxonomy.spark, "insert")
     log, closed = placement.log, taxonomy.closure()
     same = log.where(F.col("role") == "equivalent").groupBy("label").agg(F.min("node").alias("concept"))
     fresh = log.select("label").distinct().join(same, "label", "left_anti")
     first = taxonomy.next_id()
-    # a dense number over the new labels of one batch, by ranges of the sorted labels
-    numbered = fresh.withColumn("concept", F.lit(first) + F.row_number().over(Window.orderBy("label")) - 1)
+    numbered = dense_numbers(fresh, "label").withColumn("concept", F.lit(first) + F.col("place"))
     named = scratch.keep(same.unionByName(numbered.select("label", "concept")))
     sets = scratch.keep(log.where(F.col("role") != "equivalent").join(named, "label").select(F.col("concept").alias("query_id"), "node", "role").distinct())
     sups = lattice.reduce_subset(sets.where(F.col("role") == "superclass"), closed)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxograft.model import ROOT_ID, Taxonomy
+from taxograft.operators.numbering import dense_numbers, sum_before
 from taxograft.session import Scratch
 
 
@@ -69,7 +70,7 @@ def negatives(taxonomy: Taxonomy, queries: DataFrame, n: int, seed: int = 0, tri
     """
     scratch = Scratch(taxonomy.spark, "negatives")
     under = taxonomy.closure().where(F.col("anc") == ROOT_ID).select(F.col("node").alias("id")).distinct()
-    numbered = scratch.keep(_numbered(under))
+    numbered = scratch.keep(dense_numbers(under, "id"))
     total = numbered.count()
     q = queries.select(F.col("id").alias("query")).distinct().join(under.withColumnRenamed("id", "query"), "query", "left_semi")
     if not total:
@@ -90,22 +91,10 @@ def negatives(taxonomy: Taxonomy, queries: DataFrame, n: int, seed: int = 0, tri
     return ok.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("query", "negative")
 
 
-def _numbered(ids: DataFrame, *group: str) -> DataFrame:
-    """(group, place, id): a dense numbering from 0 within each group (or all): counts per hash bucket, then positions within
-    buckets, so that not even one large group is sorted in a single task."""
-    b = ids.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(1024)))
-    counts = b.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))  # 1,024 rows a group at most
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = b.withColumn("_i", F.row_number().over(Window.partitionBy(*group, "_b").orderBy("id")) - 1)
-    return inside.join(start, [*group, "_b"]).select(*group, (F.col("_start") + F.col("_i")).alias("place"), "id")
-
-
 def hold_out(sizes: DataFrame, target: int, seed: int = 0) -> DataFrame:
     """(cluster_id): clusters (cluster_id, n) in hash order until their sizes add up to the target."""
-    keyed = sizes.withColumn("_h", hashed(seed, "cluster_id"))
-    w = Window.orderBy("_h", "cluster_id").rowsBetween(Window.unboundedPreceding, -1)
-    return keyed.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("_before") < target).select("cluster_id")
+    keyed = sizes.select("cluster_id", "n").withColumn("_h", hashed(seed, "cluster_id"))
+    return sum_before(keyed, "n", "_h").where(F.col("before") < target).select("cluster_id")
 
 
 def contrastive_triples(taxonomy: Taxonomy, cover: int = 2, n_negatives: int = 9, eval_share: float = 0.1, seed: int = 0) -> DataFrame:
@@ -178,7 +167,7 @@ def subsumption_positives(taxonomy: Taxonomy) -> DataFrame:
 def easy_negatives(taxonomy: Taxonomy, positives: DataFrame, rate: int = 1, seed: int = 0) -> DataFrame:
     """(sub, sup): for each positive ``rate`` drawn nodes, a drawn ancestor (or the node itself) being replaced by a later draw."""
     scratch = Scratch(taxonomy.spark, "easy")
-    numbered = scratch.keep(_numbered(taxonomy.nodes.select("id").distinct()))
+    numbered = scratch.keep(dense_numbers(taxonomy.nodes.select("id").distinct(), "id"))
     total = numbered.count()
     draw = positives.select("sub", "sup", F.explode(F.sequence(F.lit(1), F.lit(rate * 4))).alias("t"))
     place = F.conv(F.substring(hashed(seed, "sub", "sup", "t"), 1, 12), 16, 10).cast("bigint") % max(1, total)
@@ -198,7 +187,7 @@ def hard_negatives(taxonomy: Taxonomy, positives: DataFrame, rate: int = 1, seed
     scratch = Scratch(taxonomy.spark, "hard")
     e = taxonomy.edges.select("src", "tgt")
     both = e.unionByName(e.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
-    lists = scratch.keep(_numbered(both.select(F.col("tgt").alias("id"), F.col("src").alias("of")), "of"))
+    lists = scratch.keep(dense_numbers(both.select(F.col("tgt").alias("id"), F.col("src").alias("of")), "id", "of"))
     degree = scratch.keep(lists.groupBy("of").agg(F.count(F.lit(1)).alias("deg")))
 
     def step(df: DataFrame, at: str, salt: str) -> DataFrame:
