@@ -6,12 +6,15 @@ query's place, and ascending to shorter prefixes is walking outwards. All trees
 query the same number of candidates, those with the longest prefixes. Candidates are scored in blocks of the array by
 matrix products and verified exactly; a pair that any tree brings together is found.
 
-Exact copies are collapsed before, so a vector that a third of all rows share costs as much as any other.
+Copies (whatever their lengths) are collapsed before, so a vector that a third of all rows share costs as much as any other.
+A band is too narrow where many different vectors crowd around one direction: such groups are found by the width of the
+trees' prefix buckets and searched exactly, block against block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -21,6 +24,11 @@ from pyspark.sql import functions as F
 from taxograft.session import Scratch
 
 TREES, BAND, DIM, SEED, MARGIN = 28, 96, 64, 20240607, 2e-3
+#: Distance of unit vectors whose float32 originals differ by length only; projections and cell width that find them.
+SAME, PROJECTIONS, CELL = 2.5e-7, 4, 2e-5
+#: Vectors of a group from which on it is searched exactly (28 bands still cover smaller ones), trees whose buckets
+#: show the groups, vectors of a block.
+WIDE, PIVOT_TREES, BLOCK = 600, 4, 4096
 
 
 def _planes(tree: int, dim: int) -> np.ndarray:
@@ -48,24 +56,156 @@ def unit_vectors(vectors: DataFrame, dim: int = DIM) -> DataFrame:
 
 
 def copy_classes(units: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Collapse copies: (cls, unit) of each distinct direction, and (cls, id, n) where n numbers a class's ids upwards."""
-    # directions equal to 9 decimals are copies: scaling a vector changes its unit vector by rounding only
-    @F.pandas_udf("long")
-    def direction(unit: pd.Series) -> pd.Series:
+    """Collapse copies: (cls, unit) of each distinct direction, and (cls, id); cls is the smallest id of its class.
+
+    Scaling a float32 vector rounds every number anew and so moves its direction by up to ``SAME``. Directions are put in cells
+    by a few projections, in both cells where a border is nearer than that, so that copies always share a cell;
+    each is compared with the first of its cells.
+    """
+    scratch = Scratch(units.sparkSession, "copies")
+
+    @F.pandas_udf("array<long>")
+    def cells(unit: pd.Series) -> pd.Series:
         import xxhash
 
-        return unit.map(lambda b: xxhash.xxh64_intdigest((np.round(np.frombuffer(b, np.float64), 9) + 0.0).tobytes()) - (1 << 63))
+        if not len(unit):
+            return pd.Series([], dtype=object)
+        m = np.frombuffer(b"".join(unit), np.float64).reshape(len(unit), -1)
+        r = np.random.default_rng(SEED - 1).standard_normal((m.shape[1], PROJECTIONS))
+        at = m @ (r / np.linalg.norm(r, axis=0))
+        low, high = np.floor((at - SAME) / CELL).astype(np.int64), np.floor((at + SAME) / CELL).astype(np.int64)
+        out = []
+        for lo, hi in zip(low, high):
+            places = np.array(list(product(*({a, b} for a, b in zip(lo.tolist(), hi.tolist())))), np.int64)
+            out.append([xxhash.xxh64_intdigest(p.tobytes()) - (1 << 63) for p in places])
+        return pd.Series(out)
+
+    @F.pandas_udf("boolean")
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        x = np.frombuffer(b"".join(a), np.float64).reshape(len(a), -1)
+        y = np.frombuffer(b"".join(b), np.float64).reshape(len(b), -1)
+        return pd.Series(np.sqrt(np.square(x - y).sum(axis=1)) <= SAME)
+
+    placed = scratch.keep(units.select("id", "unit", F.explode(cells("unit")).alias("cell")))
+    firsts = placed.groupBy("cell").agg(F.min("id").alias("first"), F.min_by("unit", "id").alias("_u"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    links = placed.join(firsts, "cell").where((F.col("first") < F.col("id")) & same("unit", "_u")).groupBy("id").agg(F.min("first").alias("first"))
+    links = scratch.keep(links)
+    # a first of one cell may be a copy of the first of another
+    up = links.select(F.col("id").alias("first"), F.col("first").alias("_up"))
+    for _ in range(2):
+        links = links.join(up, "first", "left").select("id", F.coalesce("_up", "first").alias("first"))
+    members = units.join(links, "id", "left").select(F.coalesce("first", "id").alias("cls"), "id", "unit")
+    return members.where(F.col("id") == F.col("cls")).select("cls", "unit"), members.select("cls", "id")
+
+
+def _matrix(column: pd.Series, dtype: type, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype).reshape(-1, dim)
+
+
+def crowded(reps: DataFrame, min_similarity: float, band: int = BAND, dim: int = DIM) -> DataFrame | None:
+    """(cls, grp, own): the groups of at least ``WIDE`` vectors around one direction, ``own`` marking the nearest of several; null without any.
+
+    Their directions are the means of prefix buckets that hold far more vectors than their share.
+    """
+    spark = reps.sparkSession
+    n = reps.count()
+    if n < WIDE:
+        return None
+    length = max(1, int(np.ceil(np.log2(n / band))))
+
+    def buckets(m: np.ndarray) -> np.ndarray:
+        powers = 1 << np.arange(length, dtype=np.int64)
+        return np.stack([t * (1 << length) + (m @ _planes(t, dim)[:, :length] > 0) @ powers for t in range(PIVOT_TREES)])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                b, c = np.unique(buckets(_matrix(batch["unit"], np.float64, dim).astype(np.float32)), return_counts=True)
+                yield pd.DataFrame({"b": b, "n": c})
+
+    counts = reps.mapInPandas(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") >= WIDE // 2)
+    wide = {r["b"]: r["n"] for r in counts.collect()}  # at most PIVOT_TREES * 2 n / WIDE
+    if not wide:
+        return None
+    shared = spark.sparkContext.broadcast(np.array(sorted(wide), np.int64))
+    names = [f"d{i}" for i in range(dim)]
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            m = _matrix(batch["unit"], np.float64, dim)
+            for b in buckets(m.astype(np.float32)):
+                hit = np.isin(b, shared.value)
+                if hit.any():
+                    yield pd.DataFrame(m[hit], columns=names).groupby(b[hit]).sum().rename_axis("b").reset_index()
+
+    kind = "b long, " + ", ".join(f"{x} double" for x in names)
+    sums = reps.mapInPandas(total, kind).groupBy("b").agg(*[F.sum(x).alias(x) for x in names]).collect()
+    found = []
+    for r in sorted(sums, key=lambda r: (-wide[r["b"]], r["b"])):
+        v = np.array(r[1:])
+        size = float(np.linalg.norm(v))
+        # a bucket around one direction has a long mean, one that merely holds many vectors has not
+        if size >= 0.5 * wide[r["b"]] and (not found or np.max(np.stack(found) @ (v / size)) < 0.98):
+            found.append(v / size)
+    if not found:
+        return None
+    pivots = spark.sparkContext.broadcast(np.stack(found))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                s = _matrix(batch["unit"], np.float64, dim) @ pivots.value.T
+                i, g = np.nonzero(s >= min_similarity)
+                yield pd.DataFrame({"cls": batch["cls"].to_numpy()[i], "grp": g, "own": g == s[i].argmax(axis=1)})
+
+    every = reps.mapInPandas(assign, "cls long, grp long, own boolean")
+    large = every.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= WIDE)
+    return every.join(F.broadcast(large), "grp")
+
+
+def crowd_pairs(reps: DataFrame, groups: DataFrame, k: int, min_similarity: float, dim: int = DIM) -> DataFrame:
+    """(x, y, sim): for each vector of a crowded group the k most similar ones of the group, smaller ids first, by brute force."""
+
+    def best(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("cls", kind="stable")
+        here, there = part[part["block"] == key[1]], part[part["block"] == key[2]]
+        out = []
+        for left, right in [(here, there)] if key[1] == key[2] else [(here, there), (there, here)]:
+            if not len(left) or not len(right):
+                continue
+            u, v = _matrix(left["unit"], np.float64, dim), _matrix(right["unit"], np.float64, dim)
+            x, y = left["cls"].to_numpy(), right["cls"].to_numpy()
+            for a in range(0, len(u), 512):
+                s = np.round(u[a : a + 512] @ v.T, 12)
+                s[x[a : a + 512, None] == y[None, :]] = -2
+                last = np.partition(s, -min(k, len(y)), axis=1)[:, -min(k, len(y)), None]
+                take, tied = s > last, s == last
+                take |= tied & (np.cumsum(tied, axis=1) <= k - take.sum(axis=1, keepdims=True))
+                i, j = np.nonzero(take & (s >= min_similarity))
+                out.append(pd.DataFrame({"x": x[a + i], "y": y[j], "sim": s[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"x": [], "y": [], "sim": []})
 
-    coded = units.withColumn("cls", direction("unit"))
-    reps = coded.groupBy("cls").agg(F.min_by("unit", "id").alias("unit"))
-    return reps, coded.select("cls", "id")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    rows = groups.join(reps, "cls").select("grp", "cls", "unit", F.pmod(F.xxhash64("cls"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_o"))
+    rows = rows.select("grp", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "cls", "unit", "block")
+    near = rows.groupBy("grp", "i", "j").applyInPandas(best, "x long, y long, sim double").distinct()
+    rank = Window.partitionBy("x").orderBy(F.col("sim").desc(), "y")
+    top = near.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= k)
+    return top.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "sim").groupBy("x", "y").agg(F.max("sim").alias("sim"))
 
 
 def forest_pairs(reps: DataFrame, min_similarity: float, trees: int = TREES, band: int = BAND, dim: int = DIM) -> DataFrame:
     """(x, y), x < y: distinct class pairs that some tree brings together and whose cosine may reach the minimum.
 
-    Vectors travel as float16, whose rounding moves a cosine by less than MARGIN; exact cosines are computed later.
+    ``reps`` may name a crowded group (``grp``, -1 for none), whose own pairs are left out. Vectors travel as float16, whose
+    rounding moves a cosine by less than MARGIN; exact cosines are computed later.
     """
+    if "grp" not in reps.columns:
+        reps = reps.withColumn("grp", F.lit(-1).cast("long"))
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes = [_planes(t, dim) for t in range(trees)]
@@ -77,7 +217,7 @@ def forest_pairs(reps: DataFrame, min_similarity: float, trees: int = TREES, ban
             short = [v.tobytes() for v in m.astype(np.float16)]
             for t in range(trees):
                 bits = (m @ planes[t] > 0).astype(np.int64)
-                yield pd.DataFrame({"tree": np.int32(t), "code": bits @ powers, "cls": batch["cls"], "v": short})
+                yield pd.DataFrame({"tree": np.int32(t), "code": bits @ powers, "cls": batch["cls"], "grp": batch["grp"], "v": short})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[pd.DataFrame] = []
@@ -86,7 +226,7 @@ def forest_pairs(reps: DataFrame, min_similarity: float, trees: int = TREES, ban
         def score(part: pd.DataFrame, fresh: int) -> pd.DataFrame:
             """Pairs within the band of which the later row is among the last ``fresh``."""
             m = np.frombuffer(b"".join(part["v"]), np.float16).reshape(-1, dim).astype(np.float32)
-            tree, cls, n = part["tree"].to_numpy(), part["cls"].to_numpy(), len(part)
+            tree, cls, grp, n = part["tree"].to_numpy(), part["cls"].to_numpy(), part["grp"].to_numpy(), len(part)
             xs, ys = [], []
             step = 128
             for a in range(n - fresh, n, step):
@@ -94,7 +234,7 @@ def forest_pairs(reps: DataFrame, min_similarity: float, trees: int = TREES, ban
                 s = m[a:b] @ m[lo:b].T
                 i, j = np.nonzero(s >= min_similarity - MARGIN)
                 i, j = i + a, j + lo
-                ok = (j < i) & (i - j <= band) & (tree[i] == tree[j])
+                ok = (j < i) & (i - j <= band) & (tree[i] == tree[j]) & ((grp[i] < 0) | (grp[i] != grp[j]))
                 xs.append(i[ok])
                 ys.append(j[ok])
             i, j = np.concatenate(xs), np.concatenate(ys)
@@ -116,7 +256,7 @@ def forest_pairs(reps: DataFrame, min_similarity: float, trees: int = TREES, ban
 
     spark = reps.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    coded = reps.mapInPandas(hashes, "tree int, code long, cls long, v binary")
+    coded = reps.mapInPandas(hashes, "tree int, code long, cls long, grp long, v binary")
     array = coded.repartitionByRange(parts, "tree", "code", "cls").sortWithinPartitions("tree", "code", "cls")
     return array.mapInPandas(scan, "x long, y long").where(F.col("x") != F.col("y")).distinct()
 
@@ -132,7 +272,13 @@ def similar_pairs(vectors: DataFrame, k: int = 10, min_similarity: float = 0.9,
     units = scratch.keep(unit_vectors(vectors))
     reps, members = copy_classes(units, k)
     reps, members = scratch.keep(reps), scratch.keep(members)
-    half = forest_pairs(reps, min_similarity, **forest)
+    groups = crowded(reps, min_similarity)
+    if groups is None:
+        half = forest_pairs(reps, min_similarity, **forest)
+    else:
+        groups = scratch.keep(groups)
+        marked = reps.join(groups.where("own").select("cls", "grp"), "cls", "left").fillna(-1, ["grp"])
+        half = forest_pairs(marked, min_similarity, **forest)
     u = reps.select(F.col("cls").alias("_c"), "unit")
     exact = (
         half.join(u.withColumnRenamed("unit", "ux"), F.col("x") == F.col("_c")).drop("_c").join(u.withColumnRenamed("unit", "uy"), F.col("y") == F.col("_c")).drop("_c")
@@ -146,7 +292,11 @@ def similar_pairs(vectors: DataFrame, k: int = 10, min_similarity: float = 0.9,
         y = np.frombuffer(b"".join(b), np.float64).reshape(len(b), -1)
         return pd.Series(np.round(np.einsum("ij,ij->i", x, y), 12))
 
-    scored = scratch.keep(exact.select("x", "y", cosine("ux", "uy").alias("sim")).where(F.col("sim") >= min_similarity))
+    scored = exact.select("x", "y", cosine("ux", "uy").alias("sim")).where(F.col("sim") >= min_similarity)
+    if groups is not None:
+        crowd = crowd_pairs(reps, groups, k, min_similarity)
+        scored = scored.unionByName(crowd).groupBy("x", "y").agg(F.max("sim").alias("sim"))
+    scored = scratch.keep(scored)
     both = scored.unionByName(scored.select(F.col("y").alias("x"), F.col("x").alias("y"), "sim"))
     own = reps.select(F.col("cls").alias("x"), F.col("cls").alias("y"), F.lit(1.0).alias("sim"))
     # the k + 1 smallest ids of a class are all that can be anybody's neighbours

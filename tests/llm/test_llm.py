@@ -49,6 +49,33 @@ def test_copies_of_vectors(spark):
     assert set(found) == want
 
 
+def test_copies_at_float32_lengths(spark):
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal(64).astype(np.float32)
+    data = [(i, [float(x) for x in v * np.float32(f)]) for i, f in enumerate(rng.uniform(0.1, 10, 1000))] + [(5000 + i, [float(x) for x in rng.standard_normal(64)]) for i in range(200)]
+    df = spark.createDataFrame(data, "id long, embedding array<float>")
+    reps, members = neighbours.copy_classes(neighbours.unit_vectors(df), 10)
+    assert sorted(r["cls"] for r in reps.collect()) == [0, *range(5000, 5200)]
+    assert members.where("cls = 0").count() == 1000
+    want = {(min(i, j), max(i, j)) for i in range(1000) for j in [x for x in range(11) if x != i][:10]}
+    assert set(rows(neighbours.similar_pairs(df), "a", "b")) == want
+
+
+@pytest.mark.parametrize("noise", [0.001, 0.03])
+def test_a_third_near_one_vector(spark, noise):
+    rng = np.random.default_rng(12)
+    m = rng.standard_normal((12_000, 64))
+    m[::3] = m[0] + noise * np.linalg.norm(m[0]) / 8 * rng.standard_normal((4_000, 64))
+    m = m.astype(np.float32).astype(np.float64)
+    found = set(rows(neighbours.similar_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<float>")), "a", "b"))
+    u = m[::3] / np.linalg.norm(m[::3], axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    near = np.argsort(-s, axis=1, kind="stable")[:, :10]
+    want = {(3 * min(i, j), 3 * max(i, j)) for i, js in enumerate(near.tolist()) for j in js}
+    assert len(found & want) >= 0.98 * len(want) and len(found & want) >= 0.98 * len(found)
+
+
 # -- names, groups, splits
 
 
