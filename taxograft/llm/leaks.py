@@ -6,7 +6,8 @@
    the weighted sum of its words' random signs. Windows are sized to the items: half an item at most.
 3. The items' fingerprints are indexed in four 16-bit blocks, each holding all values within two bits. Two
    fingerprints within RADIUS = 11 bits agree in some block up to two bits (pigeonhole), so the index returns every
-   fingerprint within the radius; full distances then sort out the rest.
+   fingerprint within the radius; full distances then sort out the rest. A passage with a word in seven replaced may have no such
+   window; so every run of ``RUN`` item words is looked up too, and several runs of one item near one diagonal make a candidate.
 4. Candidates are verified on the words themselves: item words matched in order, counting only words whose neighbours match at the same
    distance too (shingles), with any furniture between the runs.
 
@@ -34,6 +35,8 @@ WINDOW, STRIDE, RADIUS, UNKNOWN, MAX_FINGERPRINTS = 12, 3, 11, 4096, 60_000
 #: Least share of an item's words found in order (half of them, less one in seven, less their neighbours' support), least share
 #: of those found at all that must be in order, and least number of words outside phrases that items share.
 MIN_COVER, MIN_ORDER, MIN_WORDS = 0.38, 0.7, 10
+#: Words of a run looked up letter for letter, runs that make a candidate, words of an item for each of these.
+RUN, RUNS, RUN_WORDS = 3, 3, 8
 #: An opening is shared if this many items hold one of its five-word shingles.
 SHARED_BY, SHINGLE = 3, 5
 
@@ -109,6 +112,49 @@ class ItemIndex:
                 tables.append((np.searchsorted(keys[order], np.arange(65537)).astype(np.int64), owner[order]))
             self.blocks[size] = {"prints": prints, "item": np.array([n for n, _ in places], np.int32), "start": np.array([s for _, s in places], np.int32), "tables": tables}
 
+        self.runs: dict[int, tuple[np.ndarray, ...]] = {}
+        self.lengths = np.array([len(ws) for ws in self.words], np.int64)
+        short: dict[int, list[int]] = defaultdict(list)
+        for n, ws in enumerate(self.words):
+            if len(ws):
+                short[max(1, min(RUN, len(ws) // 2))].append(n)
+        for size, owners in short.items():
+            keys = np.concatenate([run_keys(self.words[n], size) for n in owners])
+            item = np.repeat(owners, [len(self.words[n]) - size + 1 for n in owners])
+            start = np.concatenate([np.arange(len(self.words[n]) - size + 1) for n in owners])
+            order = np.argsort(keys, kind="stable")
+            known, first, count = np.unique(keys[order], return_index=True, return_counts=True)
+            self.runs[size] = (known, first, count, item[order], start[order])
+
+    def run_hits(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, offset) of the runs that stand near others of their item in ``ids``."""
+        docs, items, offsets = [], [], []
+        for size, (known, first, count, item, start) in self.runs.items():
+            keys = run_keys(ids, size)
+            if not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            w = np.nonzero((known[at] == keys) & (owner[: len(keys)] == owner[size - 1 :]))[0]
+            n = count[at[w]]
+            e = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at[w]], n)
+            w = np.repeat(w, n)
+            docs.append(owner[w])
+            items.append(item[e])
+            offsets.append(w - start[e])
+        if not docs:
+            return (np.zeros(0, np.int64),) * 3
+        d, i, o = (np.concatenate(x) for x in (docs, items, offsets))
+        order = np.lexsort((o, i, d))
+        d, i, o = d[order], i[order], o[order]
+        need = np.clip(self.lengths[i] // RUN_WORDS, 1, RUNS)
+        keep = need == 1
+        for k in range(2, RUNS + 1):
+            a, b = slice(0, max(0, len(d) - k + 1)), slice(k - 1, None)
+            near = np.nonzero((need[a] == k) & (d[a] == d[b]) & (i[a] == i[b]) & (o[b] - o[a] <= self.lengths[i[a]]))[0] if len(d) >= k else []
+            for step in range(k):
+                keep[np.asarray(near, np.int64) + step] = True
+        return d[keep], i[keep], o[keep]
+
     def prints(self, ids: np.ndarray, size: int) -> np.ndarray:
         """The SimHash of each window of ``size`` words."""
         if len(ids) < size:
@@ -142,6 +188,15 @@ class ItemIndex:
         return total >= MIN_COVER * n and total >= MIN_ORDER * anywhere and core >= min(MIN_WORDS, MIN_COVER * max(1, int(self.core[item].sum())))
 
 
+def run_keys(ids: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit key of each run of ``size`` words; what shares one by chance is sorted out later."""
+    n = max(0, len(ids) - size + 1)
+    key = np.zeros(n, np.uint64)
+    for j in range(size):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + n].astype(np.uint64) + np.uint64(1)
+    return key
+
+
 def ordered_cover(item: np.ndarray, region: np.ndarray, core: np.ndarray) -> tuple[int, int, int]:
     """The most item words matched in order by supported matches, all and outside shared phrases, and those matched in any order.
 
@@ -197,6 +252,8 @@ def _search(index: ItemIndex, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Da
                 inside = owner[w] == owner[w + size - 1]
                 for place, k in zip(w[inside], f[inside]):
                     offsets[int(owner[place]), int(block["item"][k])].append(int(place) - int(block["start"][k]))
+        for d, item, start in zip(*(x.tolist() for x in index.run_hits(ids, owner))):
+            offsets[d, item].append(start)
         out = []
         for (d, item), starts in offsets.items():
             n, begin, end = len(index.words[item]), int(ends[d]) - len(docs[d][1]), int(ends[d])

@@ -205,6 +205,21 @@ def test_leaked_items(spark):
     assert leaks.leaked_items(d, i.limit(0)).count() == 0 and leaks.leaked_items(d.limit(0), i).count() == 0
 
 
+@pytest.mark.parametrize("outside", [False, True])
+def test_one_word_in_seven_replaced(spark, outside):
+    rnd = random.Random(13)
+    vocabulary, filler = [a + b for a in WORDS for b in WORDS[:20]], [f"x{w}{n}" for w in WORDS for n in "abcdefghij"]
+    items = {i: [rnd.choice(vocabulary) for _ in range(rnd.randint(40, 60))] for i in range(100)}
+    docs = []
+    for i, ws in items.items():
+        part = [rnd.choice(filler if outside else vocabulary) if n % 7 == 3 else w for n, w in enumerate(ws[: (3 * len(ws)) // 5])]
+        docs.append((i, " ".join([rnd.choice(filler) for _ in range(80)] + part + [rnd.choice(filler) for _ in range(80)])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    found = set(rows(leaks.leaked_items(d, i), "doc_id", "item_id"))
+    assert len(found & {(k, k) for k in items}) >= 98 and len(found) <= 100
+
+
 def test_hamming_index_is_complete():
     rng = np.random.default_rng(9)
     items = [(k, [f"w{rng.integers(500)}" for _ in range(40)]) for k in range(30)]
