@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -75,7 +75,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> dict[str, int
 class ItemIndex:
     """Fingerprints of a block of items in multi-index Hamming blocks; pickled into a broadcast."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], frequency: dict[str, int], n_docs: int):
+    def __init__(self, items: list[tuple[int, list[str]]], frequency: dict[str, int], n_docs: int, shared: set[tuple[str, ...]] | None = None):
         vocabulary = sorted({w for _, ws in items for w in ws})
         self.rows = {w: i for i, w in enumerate(vocabulary)}
         idf = lambda n: max(1, round(8 * np.log((n_docs + 1) / (n + 0.5))))
@@ -84,16 +84,17 @@ class ItemIndex:
         h = np.array([xxhash.xxh64_intdigest(w) for w, _ in seeds], np.uint64)
         bits = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int32)
         self.table = (2 * bits - 1) * np.array([x for _, x in seeds], np.int32)[:, None]
-        shared = Counter(s for _, ws in items for s in {tuple(ws[i : i + SHINGLE]) for i in range(len(ws) - SHINGLE + 1)})
+        shared = shared_shingles(ws for _, ws in items) if shared is None else shared
         self.ids = [i for i, _ in items]
         self.words = [np.array([self.rows[w] for w in ws], np.int32) for _, ws in items]
         self.core = []
         for _, ws in items:
             core = np.ones(len(ws), bool)
             for i in range(len(ws) - SHINGLE + 1):
-                if shared[tuple(ws[i : i + SHINGLE])] >= SHARED_BY:
+                if tuple(ws[i : i + SHINGLE]) in shared:
                     core[i : i + SHINGLE] = False
-            self.core.append(core)
+            # an opening is less than half a text; what shares more are versions of one text
+            self.core.append(core if 2 * core.sum() >= len(ws) else np.ones(len(ws), bool))
         self.blocks: dict[int, dict] = {}
         by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n, ws in enumerate(self.words):
@@ -188,6 +189,12 @@ class ItemIndex:
         return total >= MIN_COVER * n and total >= MIN_ORDER * anywhere and core >= min(MIN_WORDS, MIN_COVER * max(1, int(self.core[item].sum())))
 
 
+def shared_shingles(texts: Iterable[list[str]]) -> set[tuple[str, ...]]:
+    """The shingles that at least SHARED_BY different texts hold."""
+    seen = Counter(s for ws in {tuple(ws) for ws in texts} for s in {ws[i : i + SHINGLE] for i in range(len(ws) - SHINGLE + 1)})
+    return {s for s, n in seen.items() if n >= SHARED_BY}
+
+
 def run_keys(ids: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit key of each run of ``size`` words; what shares one by chance is sorted out later."""
     n = max(0, len(ids) - size + 1)
@@ -315,10 +322,11 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not blocks:
         return spark.createDataFrame([], kind)
     n_docs = docs.count()
+    openings = shared_shingles(ws for block in blocks for _, ws in block)
     out = None
     for block in blocks:
         frequency = document_frequencies(docs, {w for _, ws in block for w in ws})
-        shared = spark.sparkContext.broadcast(ItemIndex(block, frequency, n_docs))
+        shared = spark.sparkContext.broadcast(ItemIndex(block, frequency, n_docs, openings))
         part = docs.mapInPandas(lambda batches, s=shared: _search(s.value, batches), kind)
         out = part if out is None else out.unionByName(part)
     return out.distinct()

@@ -220,6 +220,16 @@ def test_one_word_in_seven_replaced(spark, outside):
     assert len(found & {(k, k) for k in items}) >= 98 and len(found) <= 100
 
 
+def test_items_repeated_under_other_ids(spark):
+    rnd = random.Random(14)
+    ws = [rnd.choice(WORDS) for _ in range(45)]
+    variant = [*ws[:20], "changed", *ws[21:]]
+    items = [(1, ws), (2, ws), (3, ws), (4, variant), (4, [*ws[:-1], "end"])]
+    i = spark.createDataFrame([(k, " ".join(v)) for k, v in items], "item_id long, text string")
+    d = spark.createDataFrame([(7, "some words before " + " ".join(ws) + " and after")], "doc_id long, text string")
+    assert rows(leaks.leaked_items(d, i), "doc_id", "item_id") == [(7, 1), (7, 2), (7, 3), (7, 4)]
+
+
 def test_hamming_index_is_complete():
     rng = np.random.default_rng(9)
     items = [(k, [f"w{rng.integers(500)}" for _ in range(40)]) for k in range(30)]
