@@ -550,6 +550,27 @@ def lexical_match(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(same, F.lower("label") == F.col("_k"), "left_semi").select("label", "match")
 
 
+def _token_key(source: str) -> str:
+    """SQL of (label, id, k) with the token set of each label of ``source``, as in token_set."""
+    return f"""(SELECT label, id, array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), ' ') AS k FROM
+     (SELECT label, id, [CASE WHEN length(x) > 4 AND x LIKE '%ies' THEN x[:-4] || 'y' WHEN length(x) > 4 AND regexp_matches(x, '(?:ss|sh|ch|x|z)es$') THEN x[:-3]
+      WHEN length(x) > 3 AND x LIKE '%s' AND NOT regexp_matches(x, '(?:ss|us|is)$') THEN x[:-2] ELSE x END FOR x IN ws] AS ls FROM
+     (SELECT label, id, [x FOR x IN regexp_extract_all(lower(label), '[\\p{{L}}\\p{{N}}]+') IF x NOT IN
+     ('a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'other', 'the', 'to', 'with')] AS ws FROM {source})))"""
+
+
+@query(
+    f"""WITH c AS {_token_key("(SELECT DISTINCT label, 0 AS id FROM cat_data WHERE label IS NOT NULL)")},
+    n AS {_token_key("(SELECT label, id FROM taxo_nodes WHERE label IS NOT NULL)")},
+    m AS (SELECT k, MAX(id) AS id FROM n WHERE k <> '' GROUP BY k)
+    SELECT c.label, m.id AS match FROM c LEFT JOIN m ON m.k = c.k"""
+)
+def lexical_match_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every label with the node of its token set, or null."""
+    c = table(spark, sf, "cat_data").where(F.col("label").isNotNull()).select("label").distinct()
+    return lexical.lexical_match(c, table(spark, sf, "taxo_nodes").select("id", "label")).select("label", "match")
+
+
 # -- training data
 
 

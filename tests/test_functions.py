@@ -6,7 +6,7 @@ from taxograft.functions import lexical, models
 from taxograft.functions.names import canonical_name
 from taxograft.operators import vectors as vec
 from taxograft.operators.closure import closure
-from taxograft.plans import enrich, move, traindata
+from taxograft.plans import enrich, move, taxonomy_queries, traindata
 from tests.helpers import make, rows
 
 WORDS = [(2, 1), (3, 1), (4, 2)]
@@ -32,6 +32,14 @@ def test_lexical(spark):
     assert dict(rows(lexical.lexical_match(asked, nodes))) == {"golf club": 1, "...": None}
 
 
+def test_lexical_match_of_all_labels(spark, tmp_path):
+    names = ["Golf Clubs", "Café, the Chairs", "Straw Hats (12)", "One Two Three Four", "Unknown"]
+    spark.createDataFrame(list(enumerate(names)), "cat_id long, label string").write.parquet(f"{tmp_path}/cat_data.parquet")
+    nodes = [(1, "club of golf"), (2, "golf club"), (3, "CAFÉ CHAIR"), (4, "straw hat 12"), (5, "one two three four"), (6, None)]
+    spark.createDataFrame(nodes, "id long, label string").write.parquet(f"{tmp_path}/taxo_nodes.parquet")
+    assert dict(rows(taxonomy_queries.QUERIES["lexical_match_all"](spark, str(tmp_path)), "label", "match")) == dict(zip(names, (2, 3, 4, 5, None)))
+
+
 def test_hypernyms(spark):
     words = spark.createDataFrame([("dog", "animal"), ("dog", "mammal"), ("mammal", "animal")], "node string, anc string")
     p = spark.createDataFrame([("animal", "dog"), ("dog", "animal"), ("x", "x"), ("x", "y"), ("x", None), (None, "x")], "word1 string, word2 string")
