@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxograft.operators.hierarchy import descendants, full_hierarchies, hierarchy, taxo_links
+from taxograft.operators.hierarchy import big7_links, descendants, full_hierarchies, hierarchy, taxo_links
 from taxograft.operators.orphan_refs import big7_orphans, orphan_report
 from taxograft.operators.packed_fields import packed_names
 from taxograft.session import table
@@ -32,7 +32,17 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return descendants(tree).select("node", "descendant", F.col("distance").cast("bigint").alias("distance"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_descendants": p5_descendants}
+def p5_descendants_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The descendants in both hierarchies."""
+
+    def shape(name: str, pair: tuple[DataFrame, DataFrame]) -> DataFrame:
+        return descendants(hierarchy(*pair)).select(F.lit(name).alias("hierarchy"), "node", "descendant", F.col("distance").cast("bigint").alias("distance"))
+
+    taxo = shape("taxo_nodes", taxo_links(table(spark, sf, "taxo_nodes"), table(spark, sf, "taxo_edges")))
+    return taxo.unionByName(shape("big7_data", big7_links(table(spark, sf, "big7_data"))))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_descendants": p5_descendants, "p5_descendants_all": p5_descendants_all}
 
 _ORPHANS = """
 WITH rec AS (SELECT *, CAST(site_id AS VARCHAR) || '_' || CAST(cat_id AS VARCHAR) AS k FROM big7_data),
@@ -78,4 +88,8 @@ SQL = {
      s AS (SELECT k, depth, string_split(path, '/') AS parts FROM t),
      x AS (SELECT k, depth, parts, UNNEST(range(1, depth + 1)) AS i FROM s WHERE depth > 0)
      SELECT parts[i] AS node, k AS descendant, CAST(depth - i + 1 AS BIGINT) AS distance FROM x""",
+    "p5_descendants_all": _TREES
+    + """, s AS (SELECT h, k, depth, string_split(path, '/') AS parts FROM w),
+     x AS (SELECT h, k, depth, parts, UNNEST(range(1, depth + 1)) AS i FROM s WHERE depth > 0)
+     SELECT h AS hierarchy, parts[i] AS node, k AS descendant, CAST(depth - i + 1 AS BIGINT) AS distance FROM x""",
 }

@@ -8,6 +8,7 @@ import pytest
 from taxograft.operators.hierarchy import descendants, hierarchy
 from taxograft.operators.orphan_refs import big7_orphans, bloom_filter, bloom_hits, orphan_report, orphans
 from taxograft.operators.packed_fields import _PATTERN, separator_profile, split_field, split_packed
+from taxograft.plans import general_queries
 from tests.helpers import rows
 
 ALL = tuple(_PATTERN)
@@ -132,3 +133,12 @@ def test_hierarchy(spark, seed):
 def test_hierarchy_empty(spark):
     none = spark.createDataFrame([], "node string, parent string")
     assert hierarchy(none.select("node"), none).count() == 0
+
+
+def test_descendants_of_both_hierarchies(spark, tmp_path):
+    save = lambda name, data, kind: spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    save("taxo_nodes", [(1, "a"), (2, "b")], "id long, label string")
+    save("taxo_edges", [(2, 1)], "src long, tgt long")
+    save("big7_data", [(0, 5, "5"), (0, 6, "5 > 6"), (0, 7, "5>6 >7"), (1, 6, "5>6")], "site_id int, cat_id long, id_breadcrumb string")
+    got = rows(general_queries.QUERIES["p5_descendants_all"](spark, str(tmp_path)), "hierarchy", "node", "descendant", "distance")
+    assert got == [("big7_data", "0_5", "0_6", 1), ("big7_data", "0_5", "0_7", 2), ("big7_data", "0_6", "0_7", 1), ("taxo_nodes", "1", "2", 1)]
