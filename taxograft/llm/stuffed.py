@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: A unit is furniture if this share of all distinct pages, and at least so many, hold it. The share bounds the
 #: number of such units by (units of a page) / FURNITURE_SHARE, whatever the corpus.
-FURNITURE_SHARE, FURNITURE_LEAST, FURNITURE_WORDS = 0.003, 5, 20
+FURNITURE_SHARE, FURNITURE_LEAST, CONTENT_WORDS = 0.003, 5, 6
 #: Words of a short unit at most, words between separators of a list at most, times a keyword is repeated at least.
 SHORT, PIECE, REPEATED = 8, 5.0, 4
 
@@ -144,24 +144,34 @@ def stuffed(text: str | None, furniture: set[int]) -> bool:
 
 
 def furniture_units(docs: DataFrame) -> set[int]:
-    """Hashes of the units that stand on many different pages, counted over the whole corpus. Copies of a page count once."""
+    """Hashes of the units that stand on many pages of differing own content, counted over the whole corpus.
+
+    Copies and near copies of a page count once: a page's content is named by the smallest hashes of its longer units, and a unit
+    is counted by the different names it stands beside, once without and once with the last of them, whichever is less.
+    """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            page, unit = [], []
+            page, other, unit = [], [], []
             for text in batch["text"]:
                 if text:
-                    h = unit_hash(text)
-                    own = {unit_hash(u) for u in units(text) if len(u) <= 160}
-                    page += [h] * len(own)
-                    unit += own
+                    all_units = set(units(text))
+                    own = {unit_hash(u) for u in all_units if len(u) <= 160}
+                    # a mirror's line changes few of the smallest hashes; each unit is named by others than itself
+                    content = sorted(unit_hash(u) for u in all_units if len(u.split()) >= CONTENT_WORDS) or sorted(own)
+                    for u in own:
+                        rest = [h for h in content[:3] if h != u][:2] or [u]
+                        page.append(rest[0])
+                        other.append(rest[-1])
+                        unit.append(u)
             if unit:
-                yield pd.DataFrame({"unit": unit, "page": page})
+                yield pd.DataFrame({"unit": unit, "page": page, "other": other})
 
-    hashed = docs.select("text").mapInPandas(emit, "unit long, page long")
+    hashed = docs.select("text").mapInPandas(emit, "unit long, page long, other long").distinct()
     n = docs.where(F.col("text").isNotNull() & (F.length("text") > 0)).count()
     least = max(FURNITURE_LEAST, int(FURNITURE_SHARE * n))
-    counted = hashed.distinct().groupBy("unit").count().where(F.col("count") >= least)
+    pages = hashed.groupBy("unit", "page").agg(F.min("other").alias("other"))
+    counted = pages.groupBy("unit").agg(F.count("page").alias("a"), F.countDistinct("other").alias("b")).where(F.least("a", "b") >= least)
     return {r["unit"] for r in counted.select("unit").collect()}  # bounded by the share
 
 

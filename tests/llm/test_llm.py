@@ -289,3 +289,13 @@ def test_stuffed_pages(spark):
     # copies of one page do not make its content furniture
     copies = spark.createDataFrame([(i, LIST) for i in range(50)], "doc_id long, text string")
     assert stuffed.stuffed_pages(copies).count() == 50
+
+
+def test_mirrors_of_a_stuffed_page(spark):
+    spam = "\n".join(LIST.replace("lamp", f"lamp{n}") for n in range(6))
+    menu = "Home\nNews\nContact us now\n"
+    docs = [(i, menu + spam + f"\nMirror of host{i}.example") for i in range(30)]
+    docs += [(100 + i, menu + ARTICLE.replace("man", f"man{i}")) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert stuffed.unit_hash("Home") in stuffed.furniture_units(df)
+    assert rows(stuffed.stuffed_pages(df), "doc_id") == [(i,) for i in range(30)]
