@@ -2,8 +2,8 @@
 
 A page is cut into units (lines, and sentences within lines). Units that many different pages share are furniture (menus, notices,
 footers) and left aside. Each other unit is reduced to a shape: its number of words, initial capital, separators, links,
-tags, numbers and sentence end. Shapes without the form of a sentence are grouped; a page is flagged when they hold more of
-its own words than sentences and data lines do, and something marks them as stuffing: repeated keywords, links, tags or
+tags, numbers and sentence end. Shapes are not grouped, repeated word pairs stand in for that; a page is flagged when shapes
+without the form of a sentence hold more of its own words than sentences and data lines do, and something marks them as stuffing: repeated keywords, links, tags or
 separated lists. Sentences that only repeat the page's keyword count as keywords.
 """
 
