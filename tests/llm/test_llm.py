@@ -253,6 +253,14 @@ def test_damaged_letters():
 
 ARTICLE = "\n".join(f"The {a} man sees {b} houses near the river, because every day his wife walks there." for a in ("old", "young", "tall", "small", "wise") for b in ("two", "ten", "red"))
 LIST = ", ".join(f"{n} {b}" for n in ("cheap lamp", "table", "chair", "old mirror") for b in ("buy", "sale", "online", "price", "best"))
+
+
+def _verses(words):
+    """Lines of six words without capitals or stops, no two alike."""
+    rnd, words = random.Random(15), words.split()
+    return "\n".join(" ".join(rnd.sample(words, 6)) for _ in range(18))
+
+
 LINKS = "\n".join(f"lamp shop {i} https://shop{i}.example/lamp" for i in range(20))
 
 
@@ -272,6 +280,16 @@ LINKS = "\n".join(f"lamp shop {i} https://shop{i}.example/lamp" for i in range(2
         ("\n".join(f"{100 + i} g {w}" for i, w in enumerate(("flour", "sugar", "salt", "milk", "yeast", "oil") * 2)) + "\n" + ARTICLE, False),
         ("\n".join(f"{h}:{10 + h}  Bern – Basel  {h} min" for h in range(5, 23)), False),
         ((LIST + "\n") * 400, True),
+        ("lamp review\n" + " ".join(f"old lamp K{i}{i % 7}3 brass table T{i}9" for i in range(30)), True),
+        ("lamp review\n" + ", ".join(f"old lamp K{i}{i % 7}3, brass table T{i}9" for i in range(30)), True),
+        ("\n".join(f"lamp {w} ({7 * i})\ntable {w} ({i})" for i, w in enumerate(("buy", "sale", "best", "price", "shop", "top"), 11)), True),
+        ("shoes,bags,watches," * 30, True),
+        ("靴、鞄、時計、安い靴、" * 12, True),
+        (" ".join(f"Every teapot here is a {w} teapot." for w in ("cheap", "best", "good", "new", "nice", "free")), True),
+        (_verses("نجوم رياح بحار قمر زهور طيور جبال رمال غيوم ليل نهار شمس سماء وردة قلب روح عين حلم نور ظل صمت صوت"), False),
+        (_verses("तारे नदी पवन सागर फूल पंछी बादल धूप छाया चाँद रात दिन सूरज आकाश मन दिल आँख सपना रोशनी मौन गीत वन"), False),
+        (_verses("lamp river stone house wind night door hand road tree bird song light shade rain hill boat star fire snow leaf moon").title(), False),
+        (ARTICLE + "\n" + ARTICLE.lower() + "\n" + LIST[:60], False),
     ],
 )
 def test_stuffed(text, want):
@@ -282,8 +300,7 @@ def test_stuffed_pages(spark):
     menu = "Home\nNews\nContact us now\nWe use cookies to improve your visit.\n"
     docs = [(i, menu + ARTICLE.replace("man", f"man{i}")) for i in range(40)] + [(100 + i, menu + LIST.replace("lamp", f"lamp{i}")) for i in range(8)] + [(200, None), (201, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    furniture = stuffed.furniture_units(df)
-    assert stuffed.unit_hash("Home") in furniture
+    assert stuffed.unit_hash("Home") in stuffed.furniture_units(df).first()["units"]
     assert rows(stuffed.stuffed_pages(df), "doc_id") == [(100 + i,) for i in range(8)]
     assert stuffed.stuffed_pages(df.limit(0)).count() == 0
     # copies of one page do not make its content furniture
@@ -297,5 +314,19 @@ def test_mirrors_of_a_stuffed_page(spark):
     docs = [(i, menu + spam + f"\nMirror of host{i}.example") for i in range(30)]
     docs += [(100 + i, menu + ARTICLE.replace("man", f"man{i}")) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert stuffed.unit_hash("Home") in stuffed.furniture_units(df)
+    assert stuffed.unit_hash("Home") in stuffed.furniture_units(df).first()["units"]
     assert rows(stuffed.stuffed_pages(df), "doc_id") == [(i,) for i in range(30)]
+
+
+def test_furniture_belongs_to_its_host(spark):
+    notice = "We use cookies and a very long notice " * 8 + "on this page."
+    docs = [(i, notice + "\nHome\n" + ARTICLE.replace("man", f"man{i}"), "a.example", 1) for i in range(30)]
+    docs += [(100 + i, "Home\nkeyword lamp\n" + ARTICLE.replace("man", f"boy{i}"), f"small{i}.example", 2) for i in range(30)] + [(200, "Home", None, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, units int")
+    found = stuffed.furniture_units(df).collect()
+    assert len(found) == 1 and set(found[0]["units"]) >= {stuffed.unit_hash("Home"), stuffed.unit_hash(notice)}
+    # the same pages are judged alike in a larger corpus of other hosts
+    more = df.unionByName(df.where("source = 'a.example'").withColumn("source", F.lit("b.example")).withColumn("doc_id", F.col("doc_id") + 1000))
+    hosts = stuffed.furniture_units(more).select(F.sort_array("units").alias("u")).collect()
+    assert len(hosts) == 2 and hosts[0]["u"] == hosts[1]["u"] == sorted(found[0]["units"])
+    assert stuffed.stuffed_pages(df).count() == 0
