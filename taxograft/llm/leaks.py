@@ -1,18 +1,21 @@
 """Evaluation texts that leak into a corpus: SimHash windows, multi-index Hamming blocks, exact verification.
 
-1. Words are reduced to their ASCII letters and digits, so case, punctuation, accents and wrongly decoded letters do not matter.
-   Item words are weighted by their inverse document frequency over the whole corpus.
+1. Words are folded so that case, punctuation, accents and wrongly decoded letters do not matter: Latin words keep their ASCII letters and digits,
+   words of other scripts all their letters, and scripts written without blanks give one word a letter. UTF-8 that was read as Latin-1 is read
+   again. Item words are weighted by their inverse document frequency over the whole corpus.
 2. Every run of ``window`` words of every document and, at a stride of ``STRIDE``, of every item gets a 64-bit SimHash: the signs of
    the weighted sum of its words' random signs. Windows are sized to the items: half an item at most.
 3. The items' fingerprints are indexed in four 16-bit blocks, each holding all values within two bits. Two
    fingerprints within RADIUS = 11 bits agree in some block up to two bits (pigeonhole), so the index returns every
    fingerprint within the radius; full distances then sort out the rest. A passage with a word in seven replaced may have no such
    window; so every run of ``RUN`` item words is looked up too, and several runs of one item near one diagonal make a candidate.
-4. Candidates are verified on the words themselves: item words matched in order, counting only words whose neighbours match at the same
-   distance too (shingles), with any furniture between the runs.
+4. Candidates are verified by exact weighted-shingle similarity: a shingle of five item words and one of the document agree if the words they
+   share in place carry half of the shingle's weight; the weight of the item's words in agreeing shingles, taken in order with any furniture in
+   between, over the item's weight is the similarity. Rows of the item are held against the region a block at a time, so memory does not
+   grow with the product of their lengths.
 
-The items are the query set: they are processed in blocks of a bounded number of fingerprints, each broadcast, against all documents.
-Documents never move: the search is one map over the corpus after one counting pass.
+The items are the query set: they are processed in blocks of a bounded number of fingerprints, each broadcast (at most some 130 MB, see
+MAX_FINGERPRINTS), against all documents. Documents never move: the search is one map over the corpus after one counting pass.
 """
 
 from __future__ import annotations
@@ -32,44 +35,65 @@ from pyspark.sql import functions as F
 #: Words of a window at most, stride of the item windows, Hamming radius, rows for words outside the items, item
 #: fingerprints in one broadcast index.
 WINDOW, STRIDE, RADIUS, UNKNOWN, MAX_FINGERPRINTS = 12, 3, 11, 4096, 60_000
-#: Least share of an item's words found in order (half of them, less one in seven, less their neighbours' support), least share
-#: of those found at all that must be in order, and least number of words outside phrases that items share.
+#: Least similarity (half of an item, less one word in seven, less its neighbours' shingles), least share of the weight
+#: found in any order that must be in order, and least number of matched words outside phrases that items share.
 MIN_COVER, MIN_ORDER, MIN_WORDS = 0.38, 0.7, 10
+#: Least share of a shingle's weight that agrees.
+AGREE = 0.5
+#: Pairs of an item and a region word compared at a time.
+CELLS = 1 << 20
 #: Words of a run looked up letter for letter, runs that make a candidate, words of an item for each of these.
 RUN, RUNS, RUN_WORDS = 3, 3, 8
 #: An opening is shared if this many items hold one of its five-word shingles.
 SHARED_BY, SHINGLE = 3, 5
 
-_SPACES = re.compile("[\\s‐-―…]+")
+_UNSPACED = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_SPACES = re.compile("[\\s\u2010-\u2015\u2026\u3000-\u303f]+")
 _LOST = re.compile(r"(?<=[a-z])\?+(?=[a-z])")
-_FOREIGN = re.compile("[^\x00-\x7f]+")
+# Latin letters beyond ASCII, marks, quotes and symbols: what a false charset makes of them differs
+_FOREIGN = re.compile("[\x80-\u036f\u1dc0-\u1eff\u2000-\u2e7f\ufb00-\ufb06\ufe00-\ufe0f\ufff0-\uffff]+")
 _WORD = re.compile("[a-z0-9]+")
+_ANY_WORD = re.compile(f"[{_UNSPACED}]|[a-z0-9]+|(?:(?![a-z0-9{_UNSPACED}])[^\\W_])+")
+# two to four bytes of UTF-8 read as Windows-1252 or Latin-1
+_HIGH = "\x80-\xbf" + "".join(bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0))
+_MISREAD = re.compile(f"[\xc2-\xf4][{_HIGH}]{{1,3}}")
+
+
+def _reread(m: re.Match) -> str:
+    raw = b"".join(c.encode("latin-1") if c < "\u0100" else c.encode("cp1252") for c in m[0])
+    return raw.decode("utf-8", "ignore")
 
 
 def words(text: str | None) -> list[str]:
-    """The words of a text by their ASCII letters and digits; none for null."""
+    """The folded words of a text, none for null: ASCII letters and digits of Latin words, all letters of other scripts."""
     if not text:
         return []
-    text = text.lower()
-    if not text.isascii():
-        text = _FOREIGN.sub("", _SPACES.sub(" ", text))
-    return _WORD.findall(_LOST.sub("", text) if "?" in text else text)
-
-
-def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
-    """In how many of all documents each item word stands: a map-side count, one row per item word and partition."""
+    if text.isascii():
+        text = text.lower()
+        return _WORD.findall(_LOST.sub("", text) if "?" in text else text)
+    if "\xd0" in text or "\xd1" in text or "\xe3" in text or "\xce" in text or "\xd8" in text or "\xe0" in text:
+        text = _MISREAD.sub(_reread, text)
+    text = _FOREIGN.sub("", _SPACES.sub(" ", text.lower()))
+    text = _LOST.sub("", text) if "?" in text else text
+    return _WORD.findall(text) if text.isascii() else _ANY_WORD.findall(text)
+
+
+def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
+    """In how many of all documents each item word stands, and their number: a map-side count, one row per item word and partition."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: Counter[str] = Counter()
         for batch in batches:
+            own[""] += len(batch)  # no word is empty
             for text in batch["text"]:
                 own.update(shared.value.intersection(words(text)))
         if own:
             yield pd.DataFrame({"w": list(own), "n": list(own.values())})
 
     rows = docs.select("text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    return {r["w"]: r["n"] for r in rows}  # at most the items' own vocabulary
+    found = {r["w"]: r["n"] for r in rows}  # at most the items' own vocabulary
+    return found, found.pop("", 0)
 
 
 class ItemIndex:
@@ -87,6 +111,8 @@ class ItemIndex:
         shared = shared_shingles(ws for _, ws in items) if shared is None else shared
         self.ids = [i for i, _ in items]
         self.words = [np.array([self.rows[w] for w in ws], np.int32) for _, ws in items]
+        weight = np.array([x for _, x in seeds], np.int32)
+        self.weights = [weight[ws] for ws in self.words]
         self.core = []
         for _, ws in items:
             core = np.ones(len(ws), bool)
@@ -183,10 +209,10 @@ class ItemIndex:
         return both // len(block["prints"]), both % len(block["prints"])
 
     def holds(self, item: int, region: np.ndarray) -> bool:
-        """Whether the region of a document holds enough of the item's words in their order."""
-        total, core, anywhere = ordered_cover(self.words[item], region, self.core[item])
-        n = len(self.words[item])
-        return total >= MIN_COVER * n and total >= MIN_ORDER * anywhere and core >= min(MIN_WORDS, MIN_COVER * max(1, int(self.core[item].sum())))
+        """Whether the region of a document is similar enough to the item by weighted shingles in order."""
+        core = self.core[item]
+        similarity, inside, anywhere = shingle_similarity(self.words[item], region, self.weights[item], core)
+        return similarity >= MIN_COVER and similarity >= MIN_ORDER * anywhere and inside >= min(MIN_WORDS, MIN_COVER * max(1, int(core.sum())))
 
 
 def shared_shingles(texts: Iterable[list[str]]) -> set[tuple[str, ...]]:
@@ -204,27 +230,40 @@ def run_keys(ids: np.ndarray, size: int) -> np.ndarray:
     return key
 
 
-def ordered_cover(item: np.ndarray, region: np.ndarray, core: np.ndarray) -> tuple[int, int, int]:
-    """The most item words matched in order by supported matches, all and outside shared phrases, and those matched in any order.
-
-    A match is supported if three of the five places around it on its diagonal match.
-    """
-    n, m = len(item), len(region)
-    pad = np.zeros((n + 4, m + 4), np.int8)
-    pad[2:-2, 2:-2] = item[:, None] == region[None, :]
-    near = sum(pad[2 + d : n + 2 + d, 2 + d : m + 2 + d] for d in (-2, -1, 0, 1, 2))
-    good = (pad[2:-2, 2:-2] > 0) & (near >= min(3, n))
-
-    def chain(rows: np.ndarray) -> int:
-        best = np.zeros(m + 1, np.int32)
-        for row in rows:
-            step = best.copy()
-            step[1:] = np.maximum(step[1:], best[:-1] + row)
-            best = np.maximum.accumulate(step)
-        return int(best[-1])
-
-    total = chain(good)
-    return total, total if core.all() else chain(good[core]), int(good.any(axis=1).sum())
+def shingle_similarity(item: np.ndarray, region: np.ndarray, weights: np.ndarray, core: np.ndarray) -> tuple[float, int, float]:
+    """The share of the item's weight in agreeing shingles in their order, the number of such words outside shared phrases, and the
+    share of the weight in agreeing shingles in any order."""
+    n, m, reach = len(item), len(region), SHINGLE // 2
+    total = max(1, int(weights.sum()))
+    if int(weights[np.isin(item, region)].sum()) < MIN_COVER * total:
+        return 0.0, 0, 0.0  # too little even word by word
+    padded = np.zeros(n + 2 * reach, np.int64)
+    padded[reach : n + reach] = weights
+    whole = sum(padded[d : n + d] for d in range(SHINGLE))
+    best = np.zeros(m + 1, np.int64)  # the heaviest chain that ends before a place of the region
+    number = np.zeros(m + 1, np.int64)
+    anywhere = 0
+    step = max(1, CELLS // (m + 1))
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        low, high = max(0, a - reach), min(n, b + reach)
+        agreed = np.zeros((b - a + 2 * reach, m + 2 * reach), np.int32)
+        rows = slice(low - a + reach, high - a + reach)
+        agreed[rows, reach : m + reach] = np.where(item[low:high, None] == region[None, :], weights[low:high, None], 0)
+        support = sum(agreed[d : d + b - a, d : d + m] for d in range(SHINGLE))
+        good = (agreed[reach : reach + b - a, reach : m + reach] > 0) & (support >= AGREE * whole[a:b, None])
+        for i in np.nonzero(good.any(axis=1))[0].tolist():
+            at = np.nonzero(good[i])[0]
+            weight = int(weights[a + i])
+            anywhere += weight
+            longer = best[at] + weight
+            best[at + 1] = np.maximum(best[at + 1], longer)
+            np.maximum.accumulate(best, out=best)
+            if core[a + i]:
+                longer = number[at] + 1
+                number[at + 1] = np.maximum(number[at + 1], longer)
+                np.maximum.accumulate(number, out=number)
+    return float(best[-1]) / total, int(number[-1]), anywhere / total
 
 
 def _search(index: ItemIndex, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,11 +360,10 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     kind = "doc_id long, item_id long"
     if not blocks:
         return spark.createDataFrame([], kind)
-    n_docs = docs.count()
     openings = shared_shingles(ws for block in blocks for _, ws in block)
     out = None
     for block in blocks:
-        frequency = document_frequencies(docs, {w for _, ws in block for w in ws})
+        frequency, n_docs = document_frequencies(docs, {w for _, ws in block for w in ws})
         shared = spark.sparkContext.broadcast(ItemIndex(block, frequency, n_docs, openings))
         part = docs.mapInPandas(lambda batches, s=shared: _search(s.value, batches), kind)
         out = part if out is None else out.unionByName(part)

@@ -247,6 +247,44 @@ def test_hamming_index_is_complete():
 def test_damaged_letters():
     assert leaks.words("Für „Müller“ – f?r") == leaks.words("FÃ¼r MÃ¼ller f�r") == ["fr", "mller", "fr"]
     assert leaks.words(None) == leaks.words(" ") == []
+    assert leaks.words("Привет, МИР! naïve 日本語 abc") == ["привет", "мир", "nave", "日", "本", "語", "abc"]
+    russian = "Новый пекарь хранит каждый остров"
+    assert leaks.words(russian.encode().decode("cp1252", "replace").replace("\ufffd", "")) != [] and leaks.words(russian.encode().decode("latin-1")) == leaks.words(russian)
+    assert leaks.words("مرحبا يا عالم") == ["مرحبا", "يا", "عالم"]
+
+
+@pytest.mark.parametrize("letters", ["абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπρσ", "ابتثجحخدذرزسشصضطظع", "日本語東京大学生先社会人民国家山川水火木金土月風空海花"])
+def test_leaks_in_every_script(spark, letters):
+    rnd = random.Random(16)
+    joined = "" if letters[0] == "日" else " "
+    vocabulary = list(letters) if joined == "" else ["".join(rnd.choice(letters) for _ in range(6)) for _ in range(300)]
+    items = {i: [rnd.choice(vocabulary) for _ in range(50)] for i in range(6)}
+    docs = [(i, joined.join(ws[: 34 if i % 2 else 50])) for i, ws in items.items()]
+    docs += [(10 + i, joined.join(ws[:7]) + " " + joined.join(rnd.sample(vocabulary, 17))) for i, ws in items.items()]
+    found = leaks.leaked_items(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, joined.join(ws)) for i, ws in items.items()], "item_id long, text string")
+    )
+    assert rows(found, "doc_id", "item_id") == [(i, i) for i in items]
+
+
+def test_shingle_similarity():
+    rng = np.random.default_rng(17)
+    item, weights = np.arange(40, dtype=np.int32), rng.integers(1, 50, 40).astype(np.int32)
+    core = np.ones(40, bool)
+    assert leaks.shingle_similarity(item, item, weights, core) == (1.0, 40, 1.0)
+    parted = np.concatenate([item[:20], np.full(30, 99, np.int32), item[20:]])
+    assert leaks.shingle_similarity(item, parted, weights, core) == (1.0, 40, 1.0)
+    turned = np.concatenate([item[20:], item[:20]])
+    in_order, _, anywhere = leaks.shingle_similarity(item, turned, weights, core)
+    assert anywhere == 1.0 and in_order == max(weights[:20].sum(), weights[20:].sum()) / weights.sum()
+    # blocks of rows change nothing
+    repeated = np.concatenate([parted] * 3)
+    whole, cells = leaks.shingle_similarity(item, repeated, weights, core), leaks.CELLS
+    try:
+        leaks.CELLS = 200
+        assert leaks.shingle_similarity(item, repeated, weights, core) == whole
+    finally:
+        leaks.CELLS = cells
 
 
 # -- stuffed pages
