@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 #: fingerprints in one broadcast index.
 WINDOW, STRIDE, RADIUS, UNKNOWN, MAX_FINGERPRINTS = 12, 3, 11, 4096, 60_000
 #: Least similarity (half of an item, less one word in seven, less its neighbours' shingles), least share of the weight
-#: found in any order that must be in order, and least number of matched words outside phrases that items share.
-MIN_COVER, MIN_ORDER, MIN_WORDS = 0.38, 0.7, 10
+#: found outside the phrases that items share that must be in order, and least number of matched words outside them.
+MIN_COVER, MIN_ORDER, MIN_WORDS = 0.38, 0.8, 10
 #: Least share of a shingle's weight that agrees.
 AGREE = 0.5
 #: Pairs of an item and a region word compared at a time.
@@ -211,8 +211,8 @@ class ItemIndex:
     def holds(self, item: int, region: np.ndarray) -> bool:
         """Whether the region of a document is similar enough to the item by weighted shingles in order."""
         core = self.core[item]
-        similarity, inside, anywhere = shingle_similarity(self.words[item], region, self.weights[item], core)
-        return similarity >= MIN_COVER and similarity >= MIN_ORDER * anywhere and inside >= min(MIN_WORDS, MIN_COVER * max(1, int(core.sum())))
+        similarity, order, inside = shingle_similarity(self.words[item], region, self.weights[item], core)
+        return similarity >= MIN_COVER and order >= MIN_ORDER and inside >= min(MIN_WORDS, MIN_COVER * max(1, int(core.sum())))
 
 
 def shared_shingles(texts: Iterable[list[str]]) -> set[tuple[str, ...]]:
@@ -231,8 +231,8 @@ def run_keys(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingle_similarity(item: np.ndarray, region: np.ndarray, weights: np.ndarray, core: np.ndarray) -> tuple[float, int, float]:
-    """The share of the item's weight in agreeing shingles in their order, the number of such words outside shared phrases, and the
-    share of the weight in agreeing shingles in any order."""
+    """The share of the item's weight in agreeing shingles in their order; of what agrees outside shared phrases, the share of the
+    weight that is in order; and the number of those words."""
     n, m, reach = len(item), len(region), SHINGLE // 2
     total = max(1, int(weights.sum()))
     if int(weights[np.isin(item, region)].sum()) < MIN_COVER * total:
@@ -241,7 +241,7 @@ def shingle_similarity(item: np.ndarray, region: np.ndarray, weights: np.ndarray
     padded[reach : n + reach] = weights
     whole = sum(padded[d : n + d] for d in range(SHINGLE))
     best = np.zeros(m + 1, np.int64)  # the heaviest chain that ends before a place of the region
-    number = np.zeros(m + 1, np.int64)
+    inside = np.zeros(m + 1, np.int64)  # the same outside shared phrases, with the number of words in the low bits
     anywhere = 0
     step = max(1, CELLS // (m + 1))
     for a in range(0, n, step):
@@ -255,15 +255,16 @@ def shingle_similarity(item: np.ndarray, region: np.ndarray, weights: np.ndarray
         for i in np.nonzero(good.any(axis=1))[0].tolist():
             at = np.nonzero(good[i])[0]
             weight = int(weights[a + i])
-            anywhere += weight
             longer = best[at] + weight
             best[at + 1] = np.maximum(best[at + 1], longer)
             np.maximum.accumulate(best, out=best)
             if core[a + i]:
-                longer = number[at] + 1
-                number[at + 1] = np.maximum(number[at + 1], longer)
-                np.maximum.accumulate(number, out=number)
-    return float(best[-1]) / total, int(number[-1]), anywhere / total
+                anywhere += weight
+                longer = inside[at] + ((weight << 32) + 1)
+                inside[at + 1] = np.maximum(inside[at + 1], longer)
+                np.maximum.accumulate(inside, out=inside)
+    heaviest = int(inside[-1])
+    return float(best[-1]) / total, (heaviest >> 32) / max(1, anywhere), heaviest & 0xFFFFFFFF
 
 
 def _search(index: ItemIndex, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
