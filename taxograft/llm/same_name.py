@@ -3,12 +3,18 @@
 Notation is removed by :func:`taxograft.functions.names.canonical`. Typing errors are found by a complete
 signature scheme on the canonical words: two errors touch at most two words, so
 
-* (one word touched) all words but one are intact: one signature for each word left out;
+* (one word touched) all words but one are intact, and of that one the first, middle or last third, with its place;
 * (two words touched, one error each) all words but two are intact, and of either touched word the first or the last
   half: four signatures for each pair left out.
 
-Two names with no more than two errors that leave the number of words unchanged always share a signature, and a signature
-holds everything but the touched pieces, so even words that many names share make no large buckets. Candidates are verified by
+Names of one or two words have too little besides the touched pieces to tell them apart; of their touched words all strings with up to two
+letters deleted (one in each of two) are signed instead: words within so many errors share one. Names of more than ``MAX_WORDS`` words are
+dealt into eight groups by their words' hashes; two errors touch at most four, so some four groups are intact, and every choice of four
+is signed. An error that joins or splits words changes their number: the forms that splitting or joining a probe's words
+gives are looked up as whole names.
+
+Two names with no more than two errors that leave the number of words unchanged always share a signature, however many words they have, and a
+signature holds everything but the touched pieces, so words that many names share make no large buckets. Candidates are verified by
 edit distance. Names are reduced to distinct canonical forms before any of it.
 """
 
@@ -16,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,14 +34,16 @@ from taxograft.llm.components import components
 from taxograft.operators.orphan_refs import bloom_filter, bloom_hits
 from taxograft.session import Scratch
 
-#: Names with more words than this are signed by five word groups instead (at most four can be touched by two errors).
-MAX_WORDS = 12
-#: A name outside the catalogue that stands this often also serves as a form that others may be mistyped from.
+#: Names with more words than this are signed by groups of words instead; letters of a word whose deletions are signed.
+MAX_WORDS, GROUPS, LONG = 12, 8, 20
+#: A name outside the catalogue that stands this often is compared first, as a form that others are mistyped from; what it
+#: leaves unlinked is compared with all.
 FREQUENT = 3
 
 
 _MASK = (1 << 64) - 1
-_ONE_OUT = xxhash.xxh64_intdigest("one word out")
+_WHOLE = xxhash.xxh64_intdigest("whole name")
+_CHOICES = list(combinations(range(GROUPS), GROUPS // 2))
 
 
 @lru_cache(maxsize=500_000)
@@ -50,26 +59,81 @@ def _halves(word: str, probe: bool) -> tuple[int, ...]:
     return tuple(xxhash.xxh64_intdigest(f"{side}{k}{word[:k] if side == '<' else word[n - k :]}") for k in sizes for side in "<>")
 
 
+@lru_cache(maxsize=500_000)
+def _thirds(word: str, probe: bool) -> tuple[int, ...]:
+    """Hashes of the three parts of a word. Two errors leave one part intact; a probe takes the parts that a reference of any near length
+    would have, at the places to which errors before and behind them can have moved them."""
+    m = len(word)
+    found = set()
+    for n in range(max(1, m - 2), m + 3) if probe else (m,):
+        for k in range(3):
+            start, end = n * k // 3, n * (k + 1) // 3
+            for moved in range(max(-k, m - n - 2 + k), min(k, m - n + 2 - k) + 1) if probe else (0,):
+                if 0 <= start + moved and end + moved <= m:
+                    found.add((n, k, word[start + moved : end + moved]))
+    return tuple(xxhash.xxh64_intdigest(f"{n}:{k}:{part}") for n, k, part in found)
+
+
+@lru_cache(maxsize=100_000)
+def _deletions(word: str, most: int) -> tuple[int, ...]:
+    """Hashes of the word with up to ``most`` letters deleted."""
+    found = {word[:i] + word[i + 1 :] for i in range(len(word))} if most else set()
+    if most == 2:
+        found |= {w[:i] + w[i + 1 :] for w in found for i in range(len(w))}
+    return tuple(xxhash.xxh64_intdigest(f"-{most}{w}") for w in {word, *found})
+
+
+def _pieces(word: str, errors: int, probe: bool) -> tuple[int, ...]:
+    """What a word of a short name leaves after so many errors: its deletions, or of a long word its halves or thirds."""
+    n, out = len(word), ()
+    if n <= LONG + (2 if probe else 0):
+        out += _deletions(word, errors)
+    if n > LONG - (2 if probe else 0):
+        out += _halves(word, probe) if errors == 1 else _thirds(word, probe)
+    return out
+
+
 def signatures(name: str, probe: bool) -> list[int]:
-    """The signatures of a canonical name as 64-bit sums of word and half-word hashes, whatever the order of the words."""
+    """The signatures of a canonical name as 64-bit sums of word and piece hashes, whatever the order of the words."""
     words = name.split(" ")
-    if len(words) > MAX_WORDS:
-        groups: dict[int, int] = {}
-        for w in words:
-            g = xxhash.xxh32_intdigest(w) % 5
-            groups[g] = groups.get(g, g + 1) + _word(w)
-        return [x & _MASK for x in groups.values()]
     own = [_word(w) for w in words]
-    half = [_halves(w, probe) for w in words]
     total = sum(own)
-    out = [total - h + _ONE_OUT & _MASK for h in own]
+    if len(words) > MAX_WORDS:
+        groups = [0] * GROUPS
+        for h in own:
+            groups[h % GROUPS] += h
+        size = len(words)
+        return [xxhash.xxh64_intdigest(f"{size}:{c}:{[groups[g] for g in chosen]}") for c, chosen in enumerate(_CHOICES)]
+    short = len(words) <= 2
+    out = [total - h + x & _MASK for w, h in zip(words, own) for x in (_pieces(w, 2, probe) if short else _thirds(w, probe))]
+    half = [_pieces(w, 1, probe) if short else _halves(w, probe) for w in words]
     for i in range(len(words)):
         for j in range(i):
             rest = total - own[i] - own[j]
             out += [rest + x + y & _MASK for x in half[i] for y in half[j]]
+    return list(dict.fromkeys(out))
+
+
+def respaced(name: str) -> set[str]:
+    """The canonical forms of a name with one blank too many or too few, or one mistyped as a letter."""
+    words = name.split(" ")
+    out: set[str] = set()
+    for i, w in enumerate(words):
+        rest = words[:i] + words[i + 1 :]
+        for k in range(1, len(w)):
+            out.add(" ".join(sorted([*rest, w[:k], w[k:]])))
+            if k < len(w) - 1:
+                out.add(" ".join(sorted([*rest, w[:k], w[k + 1 :]])))
+        for j, v in enumerate(words):
+            if i != j:
+                out.add(" ".join(sorted([*(x for n, x in enumerate(words) if n not in (i, j)), w + v])))
     return out
 
 
+def _whole(name: str) -> int:
+    return xxhash.xxh64_intdigest(name) + _WHOLE & _MASK
+
+
 def _signed(names: DataFrame, probe: bool, alias: str, among: tuple | None = None) -> DataFrame:
     """(name, sig) of each canonical name; with ``among`` (a Bloom filter's bits and size) only signatures that may be in it."""
     shared = names.sparkSession.sparkContext.broadcast(among[0]) if among else None
@@ -79,6 +143,8 @@ def _signed(names: DataFrame, probe: bool, alias: str, among: tuple | None = Non
             owner, sigs = [], []
             for name in batch["canon"]:
                 own = signatures(name, probe)
+                if name.count(" ") < MAX_WORDS:
+                    own += [_whole(x) for x in respaced(name)] if probe else [_whole(name)]
                 owner += [name] * len(own)
                 sigs += own
             codes = np.array(sigs, np.uint64).view(np.int64)
@@ -111,7 +177,7 @@ def _two_errors(a: Column, b: Column) -> Column:
 
 
 def mistyped_links(probes: DataFrame, refs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a canonical probe and another canonical reference within two errors.
+    """Distinct pairs (a, b) of a canonical probe and another canonical reference within two errors or one misplaced blank.
 
     The few probes' signatures make a Bloom filter of bounded size; references send only the signatures that pass it, so of the many
     references hardly anything is shuffled. The join is told to merge: estimates made before the explosion would broadcast it.
@@ -120,8 +186,15 @@ def mistyped_links(probes: DataFrame, refs: DataFrame) -> DataFrame:
     p = scratch.keep(_signed(probes, True, "a"))
     bits = bloom_filter(p.select(F.col("sig").alias("h")), p.count())
     r = _signed(refs, False, "b", bits)
-    pairs = p.hint("merge").join(r, "sig").where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    return scratch.keep(pairs.where(_two_errors(F.col("a"), F.col("b"))))
+    pairs = scratch.keep(p.hint("merge").join(r, "sig").where(F.col("a") != F.col("b")).select("a", "b").distinct())
+
+    @F.pandas_udf("boolean")
+    def one_blank(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([y in respaced(x) for x, y in zip(a, b)], dtype=bool)
+
+    marked = pairs.withColumn("_d", F.size(F.split("a", " ")) != F.size(F.split("b", " ")))
+    near = marked.where(~F.col("_d") & _two_errors(F.col("a"), F.col("b"))).select("a", "b")
+    return scratch.keep(near.unionByName(marked.where("_d").where(one_blank("a", "b")).select("a", "b")))
 
 
 def aliases(foreign: DataFrame, known: DataFrame) -> DataFrame:
@@ -129,14 +202,16 @@ def aliases(foreign: DataFrame, known: DataFrame) -> DataFrame:
     most frequent, else the smallest.
 
     ``foreign`` (canon, n) are distinct forms outside the catalogue and how often each stands, ``known`` (canon) the distinct catalogue.
-    Foreign forms are linked to known and frequent foreign ones, and what stays alone among itself. A name without a row here is its own
+    Foreign forms are linked to known and frequent foreign ones, and what stays alone to all foreign ones, linked or not, so no form stays alone
+    beside another within two errors, however seldom they stand. Two forms that both have a link are not compared again: of the
+    many mistyped forms of one name not all pairs are made. A name without a row here is its own
     class. Empty forms belong to no class and must be left out by the caller.
     """
     scratch = Scratch(foreign.sparkSession, "names")
     refs = known.select("canon").unionByName(foreign.where(F.col("n") >= FREQUENT).select("canon"))
     links = mistyped_links(foreign.select("canon"), refs)
     alone = scratch.keep(foreign.where(F.col("n") < FREQUENT).join(links.select(F.col("a").alias("canon")).distinct(), "canon", "left_anti").select("canon"))
-    more = mistyped_links(alone, alone)
+    more = mistyped_links(alone, foreign.select("canon"))
     comp = scratch.keep(components(links.unionByName(more)))
     # the clean form stands for its class, so that names written properly are the ones that need no replacement
     member = comp.join(known.select(F.col("canon").alias("node"), F.lit(0).alias("strange")), "node", "left").join(foreign.select(F.col("canon").alias("node"), "n"), "node", "left")

@@ -98,19 +98,43 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
-def test_signatures_are_complete():
-    rnd = random.Random(6)
+@pytest.mark.parametrize("n_words", [*range(1, 21), 60])
+def test_signatures_are_complete(n_words):
+    rnd = random.Random(n_words)
     letters = "abcdefghij"
-    for _ in range(300):
-        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(3, 8))) for _ in range(rnd.randint(2, 5))]
+    for trial in range(300):
+        sizes = (3, 8) if trial % 3 else (1, 30)
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(*sizes))) for _ in range(n_words)]
         name, wrong = " ".join(sorted(words)), list(words)
         for _ in range(2):
             i = rnd.randrange(len(wrong))
             w, at = wrong[i], rnd.randrange(len(wrong[i]))
-            wrong[i] = rnd.choice([w[:at] + w[at + 1 :] if len(w) > 2 else w, w[:at] + rnd.choice(letters) + w[at:], w[:at] + rnd.choice(letters) + w[at + 1 :]])
+            wrong[i] = rnd.choice([w[:at] + w[at + 1 :] if len(w) > 1 else w, w[:at] + rnd.choice(letters) + w[at:], w[:at] + rnd.choice(letters) + w[at + 1 :]])
         assert set(same_name.signatures(name, False)) & set(same_name.signatures(" ".join(sorted(wrong)), True)), (name, wrong)
 
 
+def test_no_signature_is_shared_by_many():
+    rnd = random.Random(18)
+    seen = {}
+    names = {"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(100_000)}
+    for n, name in enumerate(sorted(names)[:20_000]):
+        for s in same_name.signatures(name, False):
+            seen[s] = seen.get(s, 0) + 1
+        if n % 4 == 0:
+            for s in same_name.signatures(f"shoes {name}", False):
+                seen[s] = seen.get(s, 0) + 1
+    assert max(seen.values()) < 20
+
+
+def test_one_word_names(spark):
+    rnd = random.Random(19)
+    names = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(9, 12))) for _ in range(10_000)})
+    wrong = {n[:4] + "zq" + n[6:]: n for n in names[:100] if n[4:6] != "zq"}
+    df = spark.createDataFrame([(x, 1) for x in [*names, *wrong]], "canon string, n long")
+    got = dict(rows(same_name.aliases(df, df.select("canon").limit(0))))
+    assert all(got[w] == got[n] for w, n in wrong.items()) and len(got) < 300
+
+
 def test_aliases(spark):
     known = spark.createDataFrame([("alpha beta chairs golf",), ("gamma delta chairs golf",), ("12 frames omega sigma",), ("7 frames omega sigma",)], "canon string")
     foreign = spark.createDataFrame([("alpha beta chars golf", 1), ("alpha betta chairs gof", 1), ("all products", 50), ("al products", 1), ("quite other thing", 1), ("quite othr thing", 1)], "canon string, n long")
@@ -121,6 +145,14 @@ def test_aliases(spark):
     assert same_name.aliases(foreign.limit(0), known).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_links_do_not_depend_on_counts(spark, n):
+    known = spark.createDataFrame([("alpha beta chairs golf",)], "canon string")
+    foreign = spark.createDataFrame([("alpha beta chaixz golf", n), ("alpha beta chyqxz golf", 1), ("alphabeta chairs golf", 1), ("al beta chairs golf pha", 1), ("alpha betaxchairs golf", 1)], "canon string, n long")
+    got = dict(rows(same_name.aliases(foreign, known)))
+    assert len(got) == 6 and set(got.values()) == {"alpha beta chairs golf"}
+
+
 def test_record_groups(spark):
     cats = spark.createDataFrame([(5, "Red Wool Hat"), (3, "Blue Silk Tie"), (9, "Old Oak Desk"), (9, "old oak desk"), (7, "Raw Iron Nail")], "cat_id long, label string")
     sib = spark.createDataFrame([(1, 5), (1, 3), (2, 3), (2, 9), (4, 7), (None, 7), (5, None)], "cluster_id long, cat_id long")
