@@ -39,6 +39,8 @@ MAX_WORDS, GROUPS, LONG = 12, 8, 20
 #: A name outside the catalogue that stands this often is compared first, as a form that others are mistyped from; what it
 #: leaves unlinked is compared with all.
 FREQUENT = 3
+#: Words whose hashes a worker keeps, names whose signatures are built at a time.
+CACHED, AT_ONCE = 20_000, 256
 
 
 _MASK = (1 << 64) - 1
@@ -46,12 +48,12 @@ _WHOLE = xxhash.xxh64_intdigest("whole name")
 _CHOICES = list(combinations(range(GROUPS), GROUPS // 2))
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=CACHED)
 def _word(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=CACHED)
 def _halves(word: str, probe: bool) -> tuple[int, ...]:
     """Hashes of the first and last half. An error may have made a probe's word one letter longer or shorter than the reference's."""
     n = len(word)
@@ -59,7 +61,7 @@ def _halves(word: str, probe: bool) -> tuple[int, ...]:
     return tuple(xxhash.xxh64_intdigest(f"{side}{k}{word[:k] if side == '<' else word[n - k :]}") for k in sizes for side in "<>")
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=CACHED)
 def _thirds(word: str, probe: bool) -> tuple[int, ...]:
     """Hashes of the three parts of a word. Two errors leave one part intact; a probe takes the parts that a reference of any near length
     would have, at the places to which errors before and behind them can have moved them."""
@@ -74,7 +76,7 @@ def _thirds(word: str, probe: bool) -> tuple[int, ...]:
     return tuple(xxhash.xxh64_intdigest(f"{n}:{k}:{part}") for n, k, part in found)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=CACHED)
 def _deletions(word: str, most: int) -> tuple[int, ...]:
     """Hashes of the word with up to ``most`` letters deleted."""
     found = {word[:i] + word[i + 1 :] for i in range(len(word))} if most else set()
@@ -140,21 +142,22 @@ def _signed(names: DataFrame, probe: bool, alias: str, among: tuple | None = Non
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            owner, sigs = [], []
-            for name in batch["canon"]:
-                own = signatures(name, probe)
-                if name.count(" ") < MAX_WORDS:
-                    own += [_whole(x) for x in respaced(name)] if probe else [_whole(name)]
-                owner += [name] * len(own)
-                sigs += own
-            codes = np.array(sigs, np.uint64).view(np.int64)
-            names = np.array(owner, dtype=object)
-            if among and len(codes):
-                hit = bloom_hits(shared.value, among[1], codes)
-                names, codes = names[hit], codes[hit]
-            out = pd.DataFrame({alias: names, "sig": codes})
-            if len(out):
-                yield out
+            for a in range(0, len(batch), AT_ONCE):
+                some = batch["canon"].iloc[a : a + AT_ONCE].to_numpy()
+                sigs: list[int] = []
+                sizes = []
+                for name in some:
+                    own = signatures(name, probe)
+                    if name.count(" ") < MAX_WORDS:
+                        own += [_whole(x) for x in respaced(name)] if probe else [_whole(name)]
+                    sigs += own
+                    sizes.append(len(own))
+                codes, at = np.array(sigs, np.uint64).view(np.int64), np.repeat(np.arange(len(some)), sizes)
+                if among:
+                    hit = bloom_hits(shared.value, among[1], codes)
+                    at, codes = at[hit], codes[hit]
+                if len(codes):
+                    yield pd.DataFrame({alias: some[at], "sig": codes})
 
     return names.select("canon").mapInPandas(sign, f"{alias} string, sig long")
 
