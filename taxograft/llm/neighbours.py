@@ -1,13 +1,18 @@
 """The most similar vectors of every vector: a hash-prefix forest over random-hyperplane hash strings.
 
-Each tree hashes every vector to a 64-bit string and keeps the strings as one sorted array, spread over partitions by range.
-Vectors that agree in the longest prefix with a query stand next to it, so descending to the longest match is finding the
-query's place, and ascending to shorter prefixes is walking outwards. All trees ascend in step: each gives the
-query the same number of candidates, those with the longest prefixes. Candidates are scored in blocks of the array by
-matrix products and verified exactly; a pair that any tree brings together is found.
+Each tree hashes every vector to a string of 63 bits and keeps the strings as one sorted array, in which the vectors that share a
+prefix stand together. A query descends in every tree to its longest prefix match; then all trees ascend in step, one bit
+at a time, until the vectors that share the remaining prefix with it are enough over all trees together. So every query has a prefix length of its own: long where
+vectors are dense, short where they are sparse. A first pass over the arrays counts, for every vector, the sharers by length and adds
+them over the trees; a second one scores all pairs of which either shares the other's prefix, by matrix products, and keeps those
+that may reach the minimum. They are verified exactly.
+
+The number of trees follows from the number of vectors, so that the chance of never meeting a pair at the minimum similarity stays the
+same at any size. Arrays are spread over partitions by tree and leading bits, which is as far as trees ascend: no
+prefix reaches over a partition's border and the rows do not depend on the number of partitions.
 
 Copies (whatever their lengths) are collapsed before, so a vector that a third of all rows share costs as much as any other.
-A band is too narrow where many different vectors crowd around one direction: such groups are found by the width of the
+Groups of many different vectors around one direction have no prefixes that tell them apart: they are found by the width of the
 trees' prefix buckets and searched exactly, block against block.
 """
 
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -23,16 +29,32 @@ from pyspark.sql import functions as F
 
 from taxograft.session import Scratch
 
-TREES, BAND, DIM, SEED, MARGIN = 28, 96, 64, 20240607, 2e-3
+#: Bits of a hash string, dimensions, seed, and how far a cosine of vectors rounded to bytes may lie from the exact one.
+BITS, DIM, SEED, MARGIN = 63, 64, 20240607, 0.012
+#: Vectors per tree at which ascending stops, chance that a pair at the minimum similarity never meets at that width, prefix lengths
+#: below and above the usual one between which queries differ.
+BUCKET, MISS, ABOVE, BELOW = 192, 1e-3, 4, 10
 #: Distance of unit vectors whose float32 originals differ by length only; projections and cell width that find them.
 SAME, PROJECTIONS, CELL = 2.5e-7, 4, 2e-5
-#: Vectors of a group from which on it is searched exactly (28 bands still cover smaller ones), trees whose buckets
+#: Vectors of a group from which on it is searched exactly (smaller ones fit the trees' buckets), trees whose buckets
 #: show the groups, vectors of a block.
 WIDE, PIVOT_TREES, BLOCK = 600, 4, 4096
 
 
 def _planes(tree: int, dim: int) -> np.ndarray:
-    return np.random.default_rng(SEED + tree).standard_normal((dim, 63)).astype(np.float32)
+    return np.random.default_rng(SEED + tree).standard_normal((dim, BITS)).astype(np.float32)
+
+
+def forest_size(n: int, min_similarity: float, bucket: int = BUCKET) -> tuple[int, int]:
+    """The number of trees and the prefix length at which a tree's buckets hold ``bucket`` of ``n`` vectors on average.
+
+    Two vectors at the minimum similarity agree in a bit with probability 1 - angle / pi, in a prefix with a power of it; with so many
+    trees the chance that they share it in none is MISS.
+    """
+    length = max(0.0, log2(max(1, n) / bucket))
+    together = (1 - acos(min(1.0, min_similarity)) / pi) ** length
+    trees = 4 if together > 0.9 else max(4, ceil(log(MISS) / log(1 - together)))
+    return trees, int(length)
 
 
 def unit_vectors(vectors: DataFrame, dim: int = DIM) -> DataFrame:
@@ -55,7 +77,7 @@ def unit_vectors(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     return shaped.mapInPandas(scale, "id long, unit binary").groupBy("id").agg(F.min("unit").alias("unit"))
 
 
-def copy_classes(units: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def copy_classes(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Collapse copies: (cls, unit) of each distinct direction, and (cls, id); cls is the smallest id of its class.
 
     Scaling a float32 vector rounds every number anew and so moves its direction by up to ``SAME``. Directions are put in cells
@@ -104,7 +126,7 @@ def _matrix(column: pd.Series, dtype: type, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype).reshape(-1, dim)
 
 
-def crowded(reps: DataFrame, min_similarity: float, band: int = BAND, dim: int = DIM) -> DataFrame | None:
+def crowded(reps: DataFrame, min_similarity: float, dim: int = DIM) -> DataFrame | None:
     """(cls, grp, own): the groups of at least ``WIDE`` vectors around one direction, ``own`` marking the nearest of several; null without any.
 
     Their directions are the means of prefix buckets that hold far more vectors than their share.
@@ -113,7 +135,7 @@ def crowded(reps: DataFrame, min_similarity: float, band: int = BAND, dim: int =
     n = reps.count()
     if n < WIDE:
         return None
-    length = max(1, int(np.ceil(np.log2(n / band))))
+    length = max(1, int(np.ceil(np.log2(n / (BUCKET // 2)))))
 
     def buckets(m: np.ndarray) -> np.ndarray:
         powers = 1 << np.arange(length, dtype=np.int64)
@@ -198,66 +220,135 @@ def crowd_pairs(reps: DataFrame, groups: DataFrame, k: int, min_similarity: floa
     return top.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "sim").groupBy("x", "y").agg(F.max("sim").alias("sim"))
 
 
-def forest_pairs(reps: DataFrame, min_similarity: float, trees: int = TREES, band: int = BAND, dim: int = DIM) -> DataFrame:
-    """(x, y), x < y: distinct class pairs that some tree brings together and whose cosine may reach the minimum.
-
-    ``reps`` may name a crowded group (``grp``, -1 for none), whose own pairs are left out. Vectors travel as float16, whose
-    rounding moves a cosine by less than MARGIN; exact cosines are computed later.
-    """
-    if "grp" not in reps.columns:
-        reps = reps.withColumn("grp", F.lit(-1).cast("long"))
+def _whole_buckets(batches: Iterator[pd.DataFrame], floor: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by tree and code, re-cut so that no bucket of the shortest prefix is parted."""
+    rows: list[pd.DataFrame] = []
+    held = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows.append(batch)
+        held += len(batch)
+        if held < 16_384:
+            continue
+        part = pd.concat(rows, ignore_index=True)
+        tree, top = part["tree"].to_numpy(), part["code"].to_numpy() >> (BITS - floor)
+        ends = np.nonzero((tree[1:] != tree[:-1]) | (top[1:] != top[:-1]))[0]
+        if len(ends):
+            yield part.iloc[: ends[-1] + 1]
+            part = part.iloc[ends[-1] + 1 :]
+        rows, held = [part], len(part)
+    if held:
+        yield pd.concat(rows, ignore_index=True)
+
+
+def _bounds(tree: np.ndarray, code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a sorted array the first place and the place behind the last that share its prefix."""
+    top = code >> (BITS - length)
+    starts = np.concatenate([[0], np.nonzero((tree[1:] != tree[:-1]) | (top[1:] != top[:-1]))[0] + 1])
+    sizes = np.diff(np.append(starts, len(code)))
+    return np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+
+
+def _coded(reps: DataFrame, trees: int, floor: int, dim: int, ship: bool) -> DataFrame:
+    """The sorted arrays of all trees: (tree, code, cls) and with ``ship`` also (grp, level, v), v being the vector in bytes."""
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes = [_planes(t, dim) for t in range(trees)]
-        powers = (1 << np.arange(62, -1, -1, dtype=np.int64)).astype(np.int64)
+        powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             if not len(batch):
                 continue
-            m = np.frombuffer(b"".join(batch["unit"]), np.float64).reshape(-1, dim).astype(np.float32)
-            short = [v.tobytes() for v in m.astype(np.float16)]
+            m = _matrix(batch["unit"], np.float64, dim).astype(np.float32)
+            if ship:
+                small = np.rint(m * (127 / np.abs(m).max(axis=1, keepdims=True))).astype(np.int8)
+                short = [v.tobytes() for v in small]
             for t in range(trees):
-                bits = (m @ planes[t] > 0).astype(np.int64)
-                yield pd.DataFrame({"tree": np.int32(t), "code": bits @ powers, "cls": batch["cls"], "grp": batch["grp"], "v": short})
+                code = (m @ planes[t] > 0).astype(np.int64) @ powers
+                out = pd.DataFrame({"tree": np.int32(t), "top": code >> (BITS - floor), "code": code, "cls": batch["cls"]})
+                yield out.assign(grp=batch["grp"], level=batch["level"], v=short) if ship else out
+
+    kind = "tree int, top long, code long, cls long" + (", grp long, level int, v binary" if ship else "")
+    return reps.mapInPandas(hashes, kind).repartition("tree", "top").drop("top").sortWithinPartitions("tree", "code", "cls")
+
+
+def prefix_lengths(reps: DataFrame, trees: int, floor: int, bucket: int = BUCKET, dim: int = DIM) -> DataFrame:
+    """(cls, level): the longest prefix length at which the trees together hold ``trees * bucket`` other vectors that share it, at least
+    ``floor`` and at most ABOVE + BELOW more."""
+    lengths = [min(BITS, floor + i) for i in range(1, ABOVE + BELOW + 1)]
+    field = 21  # bits of a count; three travel in one number
+    most = (1 << field) // trees - 1
+    packs = [lengths[i : i + 3] for i in range(0, len(lengths), 3)]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _whole_buckets(batches, floor):
+            tree, code = part["tree"].to_numpy(), part["code"].to_numpy()
+            out = {"cls": part["cls"].to_numpy()}
+            for p, pack in enumerate(packs):
+                total = np.zeros(len(part), np.int64)
+                for i, length in enumerate(pack):
+                    low, high = _bounds(tree, code, length)
+                    total += np.minimum(high - low - 1, most) << (field * i)
+                out[f"p{p}"] = total
+            yield pd.DataFrame(out)
+
+    names = [f"p{p}" for p in range(len(packs))]
+    kind = "cls long, " + ", ".join(f"{n} long" for n in names)
+    sums = _coded(reps, trees, floor, dim, False).mapInPandas(count, kind).groupBy("cls").agg(*[F.sum(n).alias(n) for n in names])
+    enough = [
+        F.when(F.shiftright(f"p{p}", field * i).bitwiseAND(F.lit((1 << field) - 1)) >= min(most, trees * bucket), F.lit(length))
+        for p, pack in enumerate(packs)
+        for i, length in enumerate(pack)
+    ]
+    return sums.select("cls", F.greatest(F.lit(floor), *enough).cast("int").alias("level"))
+
+
+def forest_pairs(reps: DataFrame, min_similarity: float, bucket: int = BUCKET, dim: int = DIM) -> DataFrame:
+    """(x, y), x < y: distinct class pairs of which one shares, in some tree, the other's prefix, and whose cosine may reach the minimum.
+
+    ``reps`` may name a crowded group (``grp``, -1 for none), whose own pairs are left out. Vectors travel as bytes, whose
+    rounding moves a cosine by less than MARGIN; exact cosines are computed later.
+    """
+    if "grp" not in reps.columns:
+        reps = reps.withColumn("grp", F.lit(-1).cast("long"))
+    scratch = Scratch(reps.sparkSession, "levels")
+    trees, usual = forest_size(reps.count(), min_similarity, bucket)
+    floor = max(0, usual - ABOVE)
+    levels = scratch.keep(prefix_lengths(reps, trees, floor, bucket, dim))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[pd.DataFrame] = []
-        held = 0
-
-        def score(part: pd.DataFrame, fresh: int) -> pd.DataFrame:
-            """Pairs within the band of which the later row is among the last ``fresh``."""
-            m = np.frombuffer(b"".join(part["v"]), np.float16).reshape(-1, dim).astype(np.float32)
-            tree, cls, grp, n = part["tree"].to_numpy(), part["cls"].to_numpy(), part["grp"].to_numpy(), len(part)
-            xs, ys = [], []
+        for part in _whole_buckets(batches, floor):
+            n = len(part)
+            m = np.frombuffer(b"".join(part["v"]), np.int8).reshape(-1, dim).astype(np.float32)
+            m /= np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+            tree, code, cls, grp, level = (part[c].to_numpy() for c in ("tree", "code", "cls", "grp", "level"))
+            low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for length in np.unique(level).tolist():
+                mine = level == length
+                first, behind = _bounds(tree, code, length)
+                low[mine], high[mine] = first[mine], behind[mine]
+            # the last place whose own prefix reaches back to a row
+            back = np.zeros(n, np.int64)
+            np.maximum.at(back, low, np.arange(n))
+            reach = np.maximum(high, np.maximum.accumulate(back) + 1)
+            place = np.arange(n)
             step = 128
-            for a in range(n - fresh, n, step):
-                b, lo = min(n, a + step), max(0, a - band)
-                s = m[a:b] @ m[lo:b].T
-                i, j = np.nonzero(s >= min_similarity - MARGIN)
-                i, j = i + a, j + lo
-                ok = (j < i) & (i - j <= band) & (tree[i] == tree[j]) & ((grp[i] < 0) | (grp[i] != grp[j]))
-                xs.append(i[ok])
-                ys.append(j[ok])
-            i, j = np.concatenate(xs), np.concatenate(ys)
-            x, y = cls[i], cls[j]
-            return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)}).drop_duplicates()
-
-        tail: pd.DataFrame | None = None
-        for batch in batches:
-            rows.append(batch)
-            held += len(batch)
-            if held < 8192:
-                continue
-            part = pd.concat(([tail] if tail is not None else []) + rows, ignore_index=True)
-            yield score(part, held)
-            tail, rows, held = part.iloc[-band:], [], 0
-        if held:
-            part = pd.concat(([tail] if tail is not None else []) + rows, ignore_index=True)
-            yield score(part, held)
-
-    spark = reps.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    coded = reps.mapInPandas(hashes, "tree int, code long, cls long, grp long, v binary")
-    array = coded.repartitionByRange(parts, "tree", "code", "cls").sortWithinPartitions("tree", "code", "cls")
+            for a in range(0, n, step):
+                b = min(n, a + step)
+                xs, ys = [], []
+                for c in range(a, int(reach[a:b].max()), 8192):
+                    d = min(c + 8192, int(reach[a:b].max()))
+                    i, j = np.nonzero(m[a:b] @ m[c:d].T >= min_similarity - MARGIN)
+                    i, j = i + a, j + c
+                    met = (place[i] < place[j]) & ((j < high[i]) | (low[j] <= i)) & ((grp[i] < 0) | (grp[i] != grp[j]))
+                    xs.append(cls[i[met]])
+                    ys.append(cls[j[met]])
+                if xs:
+                    x, y = np.concatenate(xs), np.concatenate(ys)
+                    if len(x):
+                        yield pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)}).drop_duplicates()
+
+    array = _coded(reps.join(levels, "cls"), trees, floor, dim, True)
     return array.mapInPandas(scan, "x long, y long").where(F.col("x") != F.col("y")).distinct()
 
 
@@ -266,11 +357,12 @@ def similar_pairs(vectors: DataFrame, k: int = 10, min_similarity: float = 0.9,
 
     ``vectors`` has ``id`` (long) and ``embedding``. Null, short, zero or non-finite embeddings take no part;
     repeated rows count once; ties go to the smaller id, the vector itself left out. An empty input gives no rows. The
-    search is approximate (a pair may be missed, none is invented); similarities and ranks are exact.
+    search is approximate: a pair may be missed, and then a farther one of at least the minimum may take its rank. Similarities are
+    exact, ranks are those among the pairs found.
     """
     scratch = Scratch(vectors.sparkSession, "forest")
     units = scratch.keep(unit_vectors(vectors))
-    reps, members = copy_classes(units, k)
+    reps, members = copy_classes(units)
     reps, members = scratch.keep(reps), scratch.keep(members)
     groups = crowded(reps, min_similarity)
     if groups is None:

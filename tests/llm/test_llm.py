@@ -54,7 +54,7 @@ def test_copies_at_float32_lengths(spark):
     v = rng.standard_normal(64).astype(np.float32)
     data = [(i, [float(x) for x in v * np.float32(f)]) for i, f in enumerate(rng.uniform(0.1, 10, 1000))] + [(5000 + i, [float(x) for x in rng.standard_normal(64)]) for i in range(200)]
     df = spark.createDataFrame(data, "id long, embedding array<float>")
-    reps, members = neighbours.copy_classes(neighbours.unit_vectors(df), 10)
+    reps, members = neighbours.copy_classes(neighbours.unit_vectors(df))
     assert sorted(r["cls"] for r in reps.collect()) == [0, *range(5000, 5200)]
     assert members.where("cls = 0").count() == 1000
     want = {(min(i, j), max(i, j)) for i in range(1000) for j in [x for x in range(11) if x != i][:10]}
@@ -76,6 +76,35 @@ def test_a_third_near_one_vector(spark, noise):
     assert len(found & want) >= 0.98 * len(want) and len(found & want) >= 0.98 * len(found)
 
 
+def test_prefix_lengths_and_partitions(spark):
+    rng = np.random.default_rng(20)
+    centres = rng.standard_normal((300, 64))
+    m = np.vstack([c + 0.25 * rng.standard_normal((rng.integers(1, 40), 64)) for c in centres])
+    units = neighbours.unit_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>"))
+    reps = units.select(F.col("id").alias("cls"), "unit").persist()
+    trees, floor, bucket = 6, 2, 16
+    got = dict(rows(neighbours.prefix_lengths(reps, trees, floor, bucket)))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sharers = np.zeros((len(m), neighbours.ABOVE + neighbours.BELOW + 1), np.int64)
+    for t in range(trees):
+        bits = (u.astype(np.float32) @ neighbours._planes(t, 64) > 0).astype(np.int64)
+        for k in range(sharers.shape[1]):
+            prefix = bits[:, : floor + k] @ (1 << np.arange(floor + k))
+            _, at, n = np.unique(prefix, return_inverse=True, return_counts=True)
+            sharers[:, k] += n[at] - 1
+    want = {i: floor + max([0, *np.nonzero(sharers[i] >= trees * bucket)[0].tolist()]) for i in range(len(m))}
+    assert got == want and len(set(got.values())) > 3
+    # rows do not depend on the number of partitions
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in ("2", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(rows(neighbours.forest_pairs(reps, 0.9, 16), "x", "y"))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    assert neighbours.forest_size(150_000, 0.9)[0] < neighbours.forest_size(1_500_000, 0.9)[0] < 60
+
+
 # -- names, groups, splits
 
 
