@@ -2,12 +2,13 @@
 
 Two passes over the field, both in Arrow batches:
 
-1. *Profile.* Every candidate separator is tried on every field outside quotes. Per source the
-   operator sums fields with the candidate, pieces and the pieces' word counts, and the same for pieces that
-   are certain (quoted ones and list literals). A candidate is accepted for a source if enough of its fields
-   hold it (piece-count consistency) and its pieces look like the certain ones (piece type regularity).
-   Small sources lean on the profile of the whole table.
-2. *Split.* Each field is split at all accepted strong separators it holds; only where it holds none, at an
+1. *Profile.* Every candidate separator is tried on every field outside quotes. Per source the operator sums, for each candidate, the fields
+   that hold it, their pieces (and squares, for the spread of the piece counts) and the pieces' word counts, and the same for pieces that
+   are certain (quoted ones and list literals). A candidate's score is its piece-count consistency (1 for equal counts, less the wider they
+   spread) times its piece type regularity (1 if its pieces have as many words as the certain ones, less the farther they are off). Candidates that enough
+   fields hold and that score well are accepted, in the order of their scores. Small sources lean on the profile of the whole table. Where nothing is
+   certain, candidates are held against the mean of all, each weighted by its consistency.
+2. *Split.* Each field is split at all accepted strong separators it holds; only where it holds none, at the best
    accepted weak one (comma, slash, blank between quotes), since those may stand bare inside a value.
 
 Nothing is collected but nothing needs to be: the profile has one row per source and is joined back.
@@ -48,12 +49,14 @@ _COMPILED = {name: re.compile(pattern) for name, pattern, _ in CANDIDATES}
 _WEAK = tuple(name for name, _, weak in CANDIDATES if weak)
 _STRONG = tuple(name for name, _, weak in CANDIDATES if not weak)
 
-#: Share of a source's fields that must hold a candidate; how far the mean words of its pieces may lie from those
-#: of the certain pieces, in standard deviations or as a share; the weight of the table's own profile in fields.
-MIN_SHARE, MAX_DEVIATIONS, MAX_RATIO, PRIOR_FIELDS = 0.002, 1.0, 0.35, 200.0
+#: Share of a source's fields that must hold a candidate; least score; how far the mean words of its pieces may lie from those of the
+#: certain pieces to halve its regularity, in standard deviations or as a share; the weight of the table's own profile in
+#: fields; scores that differ by less than this are told apart by the order of CANDIDATES, the more specific first.
+MIN_SHARE, MIN_SCORE, DEVIATIONS, RATIO, PRIOR_FIELDS, SCORE_STEP = 0.002, 0.6, 1.0, 0.35, 200.0, 0.2
 NO_SOURCE = "\u0000"
 
-_QUOTED = re.compile(r'(?:"(?:[^"\\]|""|\\.)*"|“[^”]*”)')
+_QUOTED = re.compile(r"""(?:"(?:[^"\\]|""|\\.)*"|“[^”]*”|«[^«»]*»|'(?:[^'\\]|''|\\.|'(?=\w))*'(?=\s*(?:$|[,;|/>»\r\n\t]|::|\[)))""")
+_OPENING = '"“«\''
 _LITERAL = re.compile(r"^\s*[\[(]\s*(?:['\"].*['\"]\s*)?,?\s*[\])]\s*$", re.S)
 _BULLET = re.compile(r"^\s*(?:[-*•‣·–—]\s+|\(?\d{1,3}[.)]\s+)")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -104,17 +107,24 @@ def _prepare(text: str, prompt: bool) -> str:
     return _PROMPT.sub("", text, count=1) if prompt else text
 
 
+def _quoted(text: str) -> Iterator[re.Match]:
+    """The quoted stretches that start a piece; a mark after a letter or digit is an inch mark, an apostrophe or the like."""
+    at = 0
+    while m := _QUOTED.search(text, at):
+        before = text[: m.start()].rstrip(" ")
+        if before and _WORD.match(before[-1]):
+            at = m.start() + 1
+        else:
+            yield m
+            at = m.end()
+
+
 def _mask(text: str) -> str:
     """The text with quoted stretches that start a piece blotted out, at the same length."""
-    if '"' not in text and "“" not in text:
+    if not any(q in text for q in _OPENING):
         return text
     out, at = [], 0
-    for m in _QUOTED.finditer(text):
-        before = text[: m.start()].rstrip(" ")
-        if before and _WORD.match(before[-1]):  # an inch mark or the like, not an opening quote
-            continue
-        if m.start() < at:
-            continue
+    for m in _quoted(text):
         out.append(text[at : m.start()])
         out.append(_MASK * (m.end() - m.start()))
         at = m.end()
@@ -123,7 +133,8 @@ def _mask(text: str) -> str:
 
 
 def split_field(text: str | None, accepted: tuple[str, ...], prompt: bool = False) -> list[tuple[int, str]]:
-    """(position, value) of each value in one field; empty places count but give nothing; null gives nothing."""
+    """(position, value) of each value in one field, the accepted separators being given best first; empty places count but give nothing; null
+    gives nothing."""
     if text is None:
         return []
     text = _prepare(text, prompt)
@@ -135,7 +146,7 @@ def split_field(text: str | None, accepted: tuple[str, ...], prompt: bool = Fals
         # the blank between quotes has to be looked for where the quotes still stand
         use = [n for n in _STRONG if n in accepted and _COMPILED[n].search(masked)]
         if not use:
-            use = [n for n in _WEAK if n in accepted and n != "quoted_blank" and _COMPILED[n].search(masked)][:1]
+            use = [n for n in accepted if n in _WEAK and n != "quoted_blank" and _COMPILED[n].search(masked)][:1]
         if use:
             cuts = list(re.finditer("|".join(_PATTERN[n] for n in use), masked))
         elif "quoted_blank" in accepted:
@@ -155,23 +166,23 @@ def split_field(text: str | None, accepted: tuple[str, ...], prompt: bool = Fals
     return [(i, x) for i, x in enumerate(members, 1) if x]
 
 
-def _profile_one(text: str | None, prompt: bool) -> list[tuple[str, int, float, float, float]]:
-    """(candidate, fields, pieces, words, squared words) of one field; candidate '' holds the certain pieces."""
+def _profile_one(text: str | None, prompt: bool) -> list[tuple[str, int, float, float, float, float]]:
+    """(candidate, fields, pieces, squared pieces, words, squared words) of one field; candidate '' holds the certain pieces."""
     if text is None or not text.strip():
         return []
     text = _prepare(text, prompt)
 
-    def row(name: str, pieces: list[str]) -> tuple[str, int, float, float, float]:
+    def row(name: str, pieces: list[str]) -> tuple[str, int, float, float, float, float]:
         n = [len(_WORD.findall(x)) for x in pieces if x.strip()]
-        return name, 1, float(len(n)), float(sum(n)), float(sum(x * x for x in n))
+        return name, 1, float(len(n)), float(len(n) ** 2), float(sum(n)), float(sum(x * x for x in n))
 
     members = _literal(text)
     if members is not None:
         return [row("", members)]
     masked = _mask(text)
-    rows = [("*", 1, 0.0, 0.0, 0.0)]
+    rows = [("*", 1, 0.0, 0.0, 0.0, 0.0)]
     if _MASK in masked:
-        rows.append(row("", [x for x in _QUOTED.findall(text)]))
+        rows.append(row("", [m[0] for m in _quoted(text)]))
     # only fields that hold one strong candidate, or no strong one, tell of a candidate's own pieces
     held = [n for n in _STRONG if _COMPILED[n].search(masked)]
     if not held:
@@ -185,26 +196,27 @@ def _profile_one(text: str | None, prompt: bool) -> list[tuple[str, int, float,
 
 
 def separator_profile(df: DataFrame, text: str, source: str, prompt: bool = False) -> DataFrame:
-    """One row per source with the accepted separators (array<string>).
+    """One row per source with the accepted separators, best first (``accepted`` array<string>), and every candidate's share of the
+    fields and score (``scores`` array<struct>).
 
     Input: any frame with the text and source columns (null sources form one source of their own).
     An empty frame gives an empty profile.
     """
-    kind = T.StructType.fromDDL("source string, candidate string, fields long, pieces double, words double, squares double")
+    kind = T.StructType.fromDDL("source string, candidate string, fields long, pieces double, counts double, words double, squares double")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sums: dict[tuple, list[float]] = {}
             for src, value in zip(batch["source"], batch["text"]):
                 for name, *numbers in _profile_one(value, prompt):
-                    into = sums.setdefault((src, name), [0, 0.0, 0.0, 0.0])
+                    into = sums.setdefault((src, name), [0, 0.0, 0.0, 0.0, 0.0])
                     for i, x in enumerate(numbers):
                         into[i] += x
             if sums:
                 yield pd.DataFrame([(s, c, *v) for (s, c), v in sums.items()], columns=kind.names)
 
     base = df.select(F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    sums = ("fields", "pieces", "words", "squares")
+    sums = ("fields", "pieces", "counts", "words", "squares")
     per = base.mapInPandas(count, kind).groupBy("source", "candidate").agg(*[F.sum(c).alias(c) for c in sums])
     per = Scratch(df.sparkSession, "profile").keep(per.withColumn("source", F.coalesce("source", F.lit(NO_SOURCE))))
     # one row per candidate, of which there are a fixed few: the table's own profile as a prior of every source
@@ -218,15 +230,26 @@ def separator_profile(df: DataFrame, text: str, source: str, prompt: bool = Fals
             for c in sums
         ]
     )
-    mean = lambda i: F.col(f"words_{i}") / F.greatest(F.col(f"pieces_{i}"), F.lit(1e-9))
-    var_ref = F.col("squares_0") / F.greatest(F.col("pieces_0"), F.lit(1e-9)) - mean(0) * mean(0)
-    width = F.greatest(MAX_DEVIATIONS * F.sqrt(F.greatest(var_ref, F.lit(0.0))), MAX_RATIO * mean(0))
-    ok = lambda i: (
-        (F.col(f"fields_{i}") > MIN_SHARE * F.col("fields_1")) & ((F.col("pieces_0") < 1) | (F.abs(mean(i) - mean(0)) <= width))
-    )
-    flags = [F.when(ok(i), F.lit(n)) for i, n in enumerate(names, 2)]
-    accepted = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
-    return flat.select("source", accepted.alias("accepted"))
+    over = lambda x, y: x / F.greatest(y, F.lit(1e-9))
+    col = lambda c, i: F.col(f"{c}_{i}")
+    places = range(2, len(names) + 2)
+    # equal piece counts give 1, counts that spread as widely as they are large one half
+    even = {i: over(F.lit(1.0), F.lit(1.0) + F.greatest(over(col("counts", i) * col("fields", i), col("pieces", i) * col("pieces", i)) - 1, F.lit(0.0))) for i in places}
+    certain = F.col("pieces_0") >= 1
+    pooled = lambda c: F.when(certain, col(c, 0)).otherwise(sum((even[i] * col(c, i) for i in places), F.lit(0.0)))
+    centre = over(pooled("words"), pooled("pieces"))
+    spread = F.sqrt(F.greatest(over(pooled("squares"), pooled("pieces")) - centre * centre, F.lit(0.0)))
+    width = F.greatest(DEVIATIONS * spread, RATIO * centre, F.lit(1e-9))
+    off = {i: F.abs(over(col("words", i), col("pieces", i)) - centre) / width for i in places}
+    scores = [
+        F.struct(F.lit(n).alias("candidate"), over(col("fields", i), col("fields", 1)).alias("share"), (even[i] / (1 + off[i] * off[i])).alias("score"), F.lit([c for c, _, _ in CANDIDATES].index(n)).alias("place"))
+        for i, n in enumerate(names, 2)
+    ]
+    empty = F.array().cast("array<struct<candidate:string,share:double,score:double,place:int>>")
+    scored = flat.select("source", (F.array(*scores) if scores else empty).alias("scores"))
+    good = F.filter("scores", lambda x: (x["share"] > MIN_SHARE) & (x["score"] >= MIN_SCORE))
+    ranked = F.sort_array(F.transform(good, lambda x: F.struct((-F.floor(x["score"] / SCORE_STEP)).alias("s"), x["place"].alias("p"), x["candidate"].alias("c"))))
+    return scored.select("source", F.transform(ranked, lambda x: x["c"]).alias("accepted"), "scores")
 
 
 def with_pieces(df: DataFrame, text: str, source: str, prompt: bool = False) -> DataFrame:

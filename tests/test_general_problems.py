@@ -30,12 +30,47 @@ ALL = tuple(_PATTERN)
         ("A; B\tC|D", [(1, "A"), (2, "B"), (3, "C"), (4, "D")]),
         ("x\r\ny\nz", [(1, "x"), (2, "y"), (3, "z")]),
         ('"A b" "C d"', [(1, "A b"), (2, "C d")]),
+        ("'Shoes, low','Boots'", [(1, "Shoes, low"), (2, "Boots")]),
+        ("'Men's shoes, low', Boys' boots", [(1, "Men's shoes, low"), (2, "Boys' boots")]),
+        ("«A, b» | C", [(1, "A, b"), (2, "C")]),
+        ("A » B » C", [(1, "A"), (2, "B"), (3, "C")]),
+        ('Men\'s 7" Tablets, Girls\' Hats', [(1, 'Men\'s 7" Tablets'), (2, "Girls' Hats")]),
     ],
 )
 def test_split_field(text, want):
     assert split_field(text, ALL) == want
 
 
+def test_the_best_weak_separator_cuts():
+    assert split_field("a, b/c / d", ("spaced_slash", "comma")) == [(1, "a, b/c"), (2, "d")]
+    assert split_field("a, b/c / d", ("comma", "spaced_slash")) == [(1, "a"), (2, "b/c / d")]
+
+
+def test_scores(spark):
+    """Separators are told from marks inside names by even piece counts and by pieces that look like the certain ones."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(5))
+    name = lambda n=3: " ".join(word() for _ in range(n))
+    data = []
+    for i in range(400):
+        # commas separate; a slash stands now and then inside a name, and parts it into single words
+        data.append((f'"{name()}", {name()}, {name()}', "even"))
+        data.append((f"{word()} / {word()} / {word()} / {word()}" if i % 2 else f'"{name()}", "{name()}"', "words"))
+        # without any certain piece
+        data.append((f"{name()}; {name()}; {name()}", "plain"))
+    df = spark.createDataFrame(data, "text string, src string")
+    got = {r["src"]: (r["accepted"], {x["candidate"]: x["score"] for x in r["scores"]}) for r in separator_profile(df, "text", "src").withColumnRenamed("source", "src").collect()}
+    assert got["even"][0] == ["comma"] and "spaced_slash" not in got["words"][0]
+    assert got["words"][1]["spaced_slash"] < 0.5 < 0.9 < got["even"][1]["comma"]
+    assert got["plain"][0] == ["semicolon"]
+    alone = separator_profile(df.where("src = 'plain'"), "text", "src").first()
+    assert alone["accepted"] == ["semicolon"]
+    uneven = spark.createDataFrame([("; ".join(name() for _ in range(n)), "s") for n in [1, 2, 40] * 30], "text string, src string")
+    even = spark.createDataFrame([("; ".join(name() for _ in range(5)), "s") for _ in range(90)], "text string, src string")
+    score = lambda d: separator_profile(d, "text", "src").first()["scores"][0]["score"]
+    assert score(uneven) < 0.6 < score(even)
+
+
 def test_prompts():
     assert split_field("Summarise :\n1. A a\n2. \"B b\"", ALL, True) == [(1, "A a"), (2, "B b")]
     assert split_field("summarize: A[SEP][sep] B", ALL, True) == [(1, "A"), (3, "B")]
@@ -53,7 +88,7 @@ def test_profile_and_split(spark):
             names[0] += ", Large"  # a comma inside a value stands bare where the pipe separates
         data.append((i, sep.join(f'"{n}"' if j == 1 else n for j, n in enumerate(names)), source, names))
     df = spark.createDataFrame([(i, t, s, "clash") for i, t, s, _ in data], "id long, text string, src string, source string")
-    accepted = dict(rows(separator_profile(df, "text", "src")))
+    accepted = dict(rows(separator_profile(df, "text", "src"), "source", "accepted"))
     assert "comma" in accepted["comma"] and "pipe" in accepted["pipe"]
     got = split_packed(df, "text", "src", [df["id"]])
     assert rows(got, "_k0", "pos", "val") == sorted((i, j, n) for i, _, _, names in data for j, n in enumerate(names, 1))
