@@ -230,26 +230,31 @@ def separator_profile(df: DataFrame, text: str, source: str, prompt: bool = Fals
             for c in sums
         ]
     )
-    over = lambda x, y: x / F.greatest(y, F.lit(1e-9))
-    col = lambda c, i: F.col(f"{c}_{i}")
-    places = range(2, len(names) + 2)
+    order = [c for c, _, _ in CANDIDATES]
+    shape = "source string, accepted array<string>, scores array<struct<candidate:string,share:double,score:double>>"
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [_scores({n: tuple(r[f"{c}_{i}"] for c in sums) for i, n in enumerate(["", "*", *names])}) for r in batch.to_dict("records")]
+            good = [[x for x in own if x[1] > MIN_SHARE and x[2] >= MIN_SCORE] for own in rows]
+            best = [[n for n, _, _ in sorted(own, key=lambda x: (-int(x[2] / SCORE_STEP), order.index(x[0])))] for own in good]
+            yield pd.DataFrame({"source": batch["source"], "accepted": best, "scores": [[dict(zip(("candidate", "share", "score"), x)) for x in own] for own in rows]})
+
+    return flat.mapInPandas(score, shape)
+
+
+def _scores(sums: dict[str, tuple[float, ...]]) -> list[tuple[str, float, float]]:
+    """(candidate, share of the fields, score) from the sums (fields, pieces, squared pieces, words, squared words) of a source."""
     # equal piece counts give 1, counts that spread as widely as they are large one half
-    even = {i: over(F.lit(1.0), F.lit(1.0) + F.greatest(over(col("counts", i) * col("fields", i), col("pieces", i) * col("pieces", i)) - 1, F.lit(0.0))) for i in places}
-    certain = F.col("pieces_0") >= 1
-    pooled = lambda c: F.when(certain, col(c, 0)).otherwise(sum((even[i] * col(c, i) for i in places), F.lit(0.0)))
-    centre = over(pooled("words"), pooled("pieces"))
-    spread = F.sqrt(F.greatest(over(pooled("squares"), pooled("pieces")) - centre * centre, F.lit(0.0)))
-    width = F.greatest(DEVIATIONS * spread, RATIO * centre, F.lit(1e-9))
-    off = {i: F.abs(over(col("words", i), col("pieces", i)) - centre) / width for i in places}
-    scores = [
-        F.struct(F.lit(n).alias("candidate"), over(col("fields", i), col("fields", 1)).alias("share"), (even[i] / (1 + off[i] * off[i])).alias("score"), F.lit([c for c, _, _ in CANDIDATES].index(n)).alias("place"))
-        for i, n in enumerate(names, 2)
-    ]
-    empty = F.array().cast("array<struct<candidate:string,share:double,score:double,place:int>>")
-    scored = flat.select("source", (F.array(*scores) if scores else empty).alias("scores"))
-    good = F.filter("scores", lambda x: (x["share"] > MIN_SHARE) & (x["score"] >= MIN_SCORE))
-    ranked = F.sort_array(F.transform(good, lambda x: F.struct((-F.floor(x["score"] / SCORE_STEP)).alias("s"), x["place"].alias("p"), x["candidate"].alias("c"))))
-    return scored.select("source", F.transform(ranked, lambda x: x["c"]).alias("accepted"), "scores")
+    even = {n: 1 / (1 + max(0.0, c * f / (p * p) - 1)) if p else 0.0 for n, (f, p, c, _, _) in sums.items()}
+    found = [n for n in sums if n not in ("", "*")]
+    _, pieces, _, words, squares = sums[""]
+    if pieces < 1:
+        pieces, words, squares = (sum(even[n] * sums[n][i] for n in found) for i in (1, 3, 4))
+    centre = words / max(pieces, 1e-9)
+    width = max(DEVIATIONS * max(0.0, squares / max(pieces, 1e-9) - centre * centre) ** 0.5, RATIO * centre, 1e-9)
+    off = {n: abs(sums[n][3] / max(sums[n][1], 1e-9) - centre) / width for n in found}
+    return [(n, sums[n][0] / max(sums["*"][0], 1e-9), even[n] / (1 + off[n] ** 2)) for n in found]
 
 
 def with_pieces(df: DataFrame, text: str, source: str, prompt: bool = False) -> DataFrame:
