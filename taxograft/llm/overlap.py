@@ -6,6 +6,8 @@ their class) and hashed; evaluation hashes are joined with training hashes.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -24,6 +26,8 @@ TABLES = ("sub_pairs", "emb_triples", "gen_prompts")
 
 #: Between a row's two fields, and between the names of its second field.
 FIELD, NAME = "\x1e", "\x1f"
+#: Names of a batch whose clean forms are kept.
+CACHED = 20_000
 
 
 def _content(one: Column, many: Column) -> Column:
@@ -33,9 +37,10 @@ def _content(one: Column, many: Column) -> Column:
     @F.pandas_udf("string")
     def run(first: pd.Series, rest: pd.Series) -> pd.Series:
         out = []
+        clean = lru_cache(maxsize=CACHED)(canonical_name)
         for a, b in zip(first, rest):
-            head = canonical_name(a)
-            tail = canonical_name(b) if NAME not in b else NAME.join(sorted({canonical_name(x) for x in b.split(NAME)} - {""}))
+            head = clean(a)
+            tail = clean(b) if NAME not in b else NAME.join(sorted({clean(x) for x in b.split(NAME)} - {""}))
             out.append(f"{head}{FIELD}{tail}" if head and tail else None)
         return pd.Series(out, dtype=object)
 

@@ -58,7 +58,7 @@ def _halves(word: str, probe: bool) -> tuple[int, ...]:
     """Hashes of the first and last half. An error may have made a probe's word one letter longer or shorter than the reference's."""
     n = len(word)
     sizes = {(n - 1) // 2, n // 2, (n + 1) // 2} if probe else {n // 2}
-    return tuple(xxhash.xxh64_intdigest(f"{side}{k}{word[:k] if side == '<' else word[n - k :]}") for k in sizes for side in "<>")
+    return tuple(h for k in sizes for h in (xxhash.xxh64_intdigest(word[:k], 2 * k + 1), xxhash.xxh64_intdigest(word[n - k :], 2 * k + 2)))
 
 
 @lru_cache(maxsize=CACHED)
@@ -73,7 +73,7 @@ def _thirds(word: str, probe: bool) -> tuple[int, ...]:
             for moved in range(max(-k, m - n - 2 + k), min(k, m - n + 2 - k) + 1) if probe else (0,):
                 if 0 <= start + moved and end + moved <= m:
                     found.add((n, k, word[start + moved : end + moved]))
-    return tuple(xxhash.xxh64_intdigest(f"{n}:{k}:{part}") for n, k, part in found)
+    return tuple(xxhash.xxh64_intdigest(part, 3 * n + k + (1 << 40)) for n, k, part in found)
 
 
 @lru_cache(maxsize=CACHED)
@@ -116,6 +116,38 @@ def signatures(name: str, probe: bool) -> list[int]:
     return list(dict.fromkeys(out))
 
 
+@lru_cache(maxsize=CACHED)
+def _reference(word: str) -> tuple[int, ...]:
+    return (_word(word), *_halves(word, False), *_thirds(word, False))
+
+
+def reference_signatures(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``names``, signature) of references: those of :func:`signatures` and the whole name's, for names of one length at a time."""
+    by_size: dict[int, list[int]] = {}
+    places, codes = [], []
+    for i, name in enumerate(names):
+        size = name.count(" ") + 1
+        if 3 <= size <= MAX_WORDS:
+            by_size.setdefault(size, []).append(i)
+        else:
+            own = signatures(name, False) + ([_whole(name)] if size <= MAX_WORDS else [])
+            places.append(np.full(len(own), i))
+            codes.append(np.array(own, np.uint64))
+    for size, at in by_size.items():
+        m = np.array([[_reference(w) for w in names[i].split(" ")] for i in at], np.uint64)
+        own, half, third = m[:, :, 0], m[:, :, 1:3], m[:, :, 3:]
+        total = own.sum(axis=1)
+        i, j = np.tril_indices(size, -1)
+        rest = total[:, None] - own[:, i] - own[:, j]
+        two = rest[:, :, None, None] + half[:, i][:, :, :, None] + half[:, j][:, :, None, :]
+        one = (total[:, None] - own)[:, :, None] + third
+        whole = np.array([_whole(names[i]) for i in at], np.uint64)
+        every = np.concatenate([one.reshape(len(at), -1), two.reshape(len(at), -1), whole[:, None]], axis=1)
+        places.append(np.repeat(at, every.shape[1]))
+        codes.append(every.ravel())
+    return (np.concatenate(places), np.concatenate(codes)) if codes else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 def respaced(name: str) -> set[str]:
     """The canonical forms of a name with one blank too many or too few, or one mistyped as a letter."""
     words = name.split(" ")
@@ -144,15 +176,12 @@ def _signed(names: DataFrame, probe: bool, alias: str, among: tuple | None = Non
         for batch in batches:
             for a in range(0, len(batch), AT_ONCE):
                 some = batch["canon"].iloc[a : a + AT_ONCE].to_numpy()
-                sigs: list[int] = []
-                sizes = []
-                for name in some:
-                    own = signatures(name, probe)
-                    if name.count(" ") < MAX_WORDS:
-                        own += [_whole(x) for x in respaced(name)] if probe else [_whole(name)]
-                    sigs += own
-                    sizes.append(len(own))
-                codes, at = np.array(sigs, np.uint64).view(np.int64), np.repeat(np.arange(len(some)), sizes)
+                if probe:
+                    own = [signatures(n, True) + ([_whole(x) for x in respaced(n)] if n.count(" ") < MAX_WORDS else []) for n in some]
+                    at, codes = np.repeat(np.arange(len(some)), [len(x) for x in own]), np.array([x for sigs in own for x in sigs], np.uint64)
+                else:
+                    at, codes = reference_signatures(some.tolist())
+                codes = codes.view(np.int64)
                 if among:
                     hit = bloom_hits(shared.value, among[1], codes)
                     at, codes = at[hit], codes[hit]

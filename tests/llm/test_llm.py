@@ -142,6 +142,16 @@ def test_signatures_are_complete(n_words):
         assert set(same_name.signatures(name, False)) & set(same_name.signatures(" ".join(sorted(wrong)), True)), (name, wrong)
 
 
+def test_reference_signatures():
+    rnd = random.Random(23)
+    names = [" ".join("".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 25))) for _ in range(n)) for n in [*range(1, 16)] * 3]
+    at, codes = same_name.reference_signatures(names)
+    for i, name in enumerate(names):
+        want = set(same_name.signatures(name, False)) | ({same_name._whole(name)} if name.count(" ") < same_name.MAX_WORDS else set())
+        assert set(codes[at == i].tolist()) == want
+    assert len(same_name.reference_signatures([])[0]) == 0
+
+
 def test_no_signature_is_shared_by_many():
     rnd = random.Random(18)
     seen = {}
