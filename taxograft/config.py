@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
@@ -18,38 +19,54 @@ def product_score(p_sup: Column, p_sub: Column) -> Column:
 class InsertionConfig:
     mode: str = "auto"
     rand_seed: Any = 114514
+    transitive_reduction: bool = True
+    logging: bool | int | tuple[str, ...] = 1
     max_outer_loop: int | None = None
     batch_size: int = 64
+    semiauto_seeds: tuple[Any, ...] = ()
+    input_concepts: tuple[str, ...] = ()
+    manual_concept_bases: tuple[tuple[Any, ...], ...] | None = None
+    auto_bases: bool = False
     retrieve_size: int = 10
     restrict_combinations: bool = True
     # Labels too general to be a concept.
     ignore_label: tuple[str, ...] = ("", "All categories", "Root Concept", "Thing", "Allcats", "Everything", "root")
     filter_subset: bool = True
-    crop_top: bool = True
-    force_labels: tuple[tuple[str, ...], ...] = (("auto", "original"),)
-    strict: bool = True
+    subgraph_crop: bool = True
+    subgraph_force: tuple[tuple[str, ...], ...] = (("auto", "original"),)
+    subgraph_strict: bool = True
     threshold: float = 0.5
     tolerance: int = 0
     force_base_subsumptions: bool = False
     force_prune: bool = False
-    lexical_check: bool = True
     do_update: bool = True
-    equivalence_score: Callable[[Column, Column], Column] = field(default=product_score)
+    do_lexical_check: bool = True
+    eqv_score_func: Callable[[Column, Column], Column] = field(default=product_score)
 
 
 @dataclass(frozen=True)
 class MoveConfig:
+    """``ignore`` (targets of auto mode), ``ret_ignore`` (retrieved candidates) and ``sub_ignore`` (nodes of the search space) are ids, or a
+    pattern that labels match from their start."""
+
     mode: str = "auto"
     method: str = "search"
     rand_seed: Any = 114514
+    logging: bool | int | tuple[str, ...] = 1
     max_outer_loop: int | None = None
+    ignore: str | tuple[int, ...] = ()
+    input_concepts: tuple[int, ...] = ()
     retrieve_size: int = 10
     candidate_top_level: int = -1
     candidate_bottom_level: int = 1
+    ret_ignore: str | tuple[int, ...] = ()
+    do_generate: bool = False
     scope_top_level: int = 0
     scope_bottom_level: int = 1
+    sub_ignore: str | tuple[int, ...] = ()
     threshold: float = 0.5
     tolerance: int = 0
+    force_prune: bool = False
     always_search_to_bottom: bool = True
     do_select: bool = True
     always_include_old: bool = True
@@ -70,9 +87,13 @@ def _tuple(v: Any) -> Any:
 
 
 def from_dict(kind: type, values: Mapping[str, Any]) -> Any:
-    """A config of the kind from flat or nested keys; unknown keys are ignored, the score function is not data."""
-    known = {f.name for f in fields(kind)} - {"equivalence_score"}
-    return kind(**{k: _tuple(v) for k, v in _flat(values).items() if k in known})
+    """A config of the kind from flat or nested keys; unknown keys are left out with a warning, the score function is not data. A compiled
+    pattern counts by its text."""
+    flat = _flat(values)
+    known = {f.name for f in fields(kind)} - {"eqv_score_func"}
+    if unknown := sorted(set(flat) - known):
+        warnings.warn(f"unknown settings: {', '.join(unknown)}", stacklevel=2)
+    return kind(**{k: _tuple(getattr(v, "pattern", v)) for k, v in flat.items() if k in known})
 
 
 def from_yaml(kind: type, path: str) -> Any:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words that carry no meaning of their own in a label.
+#: Words that carry no meaning of their own in a label.
 STOP_WORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "other", "the", "to", "with")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taxograft.session import Scratch
+
 #: A scorer maps two label columns (sub, sup) to the probability that sup subsumes sub.
 Scorer = Callable[[Column, Column], Column]
 
@@ -61,13 +63,43 @@ def common_words(labels: Column) -> Column:
     return F.when(F.size(common) > 0, F.array_join(F.array_sort(common), " "))
 
 
-def scored(pairs: DataFrame, cache: DataFrame | None, scorer: Scorer) -> DataFrame:
-    """(sub, sup, p) of all pairs: taken from the cache (sub, sup, p) where it has them, else scored once per distinct pair."""
-    asked = pairs.select("sub", "sup").distinct()
-    if cache is None:
-        return asked.withColumn("p", scorer(F.col("sub"), F.col("sup")))
-    new = asked.join(cache, ["sub", "sup"], "left_anti").withColumn("p", scorer(F.col("sub"), F.col("sup")))
-    return asked.join(cache, ["sub", "sup"]).select("sub", "sup", "p").unionByName(new)
+class ScoreCache:
+    """Scores of label pairs, asked of the model once each and kept as written tables."""
+
+    def __init__(self, spark, scorer: Scorer):
+        self.scorer = scorer
+        self._scratch = Scratch(spark, "scores")
+        self._parts: list[DataFrame] = []
+
+    @classmethod
+    def over(cls, spark, scorer: Scorer | ScoreCache) -> ScoreCache:
+        return scorer if isinstance(scorer, ScoreCache) else cls(spark, scorer)
+
+    def known(self) -> DataFrame | None:
+        """(sub, sup, p) of all pairs scored so far."""
+        out = None
+        for p in self._parts:
+            out = p if out is None else out.unionByName(p)
+        return out
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(sub, sup, p) of the distinct pairs (sub, sup), nulls included; only pairs never asked before go to the model."""
+        asked = pairs.select("sub", "sup").distinct()
+        known = self.known()
+        same = lambda k: F.col("sub").eqNullSafe(k["_a"]) & F.col("sup").eqNullSafe(k["_b"])
+        if known is not None:
+            k = known.select(F.col("sub").alias("_a"), F.col("sup").alias("_b"), "p")
+            new = asked.join(k, same(k), "left_anti")
+        else:
+            new = asked
+        fresh = self._scratch.keep(new.select("sub", "sup", self.scorer(F.col("sub"), F.col("sup")).alias("p")))
+        self._parts.append(fresh)
+        if len(self._parts) > 8:  # few files to read however many levels were walked
+            merged = self._scratch.keep(self.known())
+            self._scratch.drop(*self._parts)
+            self._parts = [merged]
+        k = self.known().select(F.col("sub").alias("_a"), F.col("sup").alias("_b"), "p")
+        return asked.join(k, same(k)).select("sub", "sup", "p")
 
 
 def classifier_metrics(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:

@@ -290,9 +290,16 @@ class EditSession:
         """Back to the version before; false when there is none."""
         if not self._undo:
             return False
-        self.current = self._undo.pop()
+        self.current, self.dirty = self._undo.pop(), True
         return True
 
+    def save(self, path: str) -> None:
+        """Write the current version, as JSON to a path ending in ``.json``, else as tables into a folder; the session is then no longer dirty."""
+        from taxograft.sources import taxonomies
+
+        (taxonomies.to_json if path.endswith(".json") else taxonomies.save_tables)(self.current, path)
+        self.dirty = False
+
     def _frame(self, rows: list, schema: str) -> DataFrame:
         return self.current.spark.createDataFrame(rows, schema)
 

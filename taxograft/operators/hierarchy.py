@@ -39,30 +39,24 @@ def hierarchy(nodes: DataFrame, links: DataFrame, sep: str = "/") -> DataFrame:
         "node", F.col("parent").alias("ptr"), F.lit(0).cast("bigint").alias("hops"), F.col("node").alias("seg")
     )
     # hops counts the links already behind the pointer's segment; a root has no pointer
-    state = scratch.keep(start.withColumn("hops", F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("bigint")))
-    done = scratch.keep(state.where(F.col("ptr").isNull()).select("node", F.col("node").alias("root"), F.col("hops").alias("depth"), F.col("seg").alias("path")))
-    finished = [done]
-    todo = scratch.keep(state.where(F.col("ptr").isNotNull()))
-    left, resolved = todo.count(), done
-    scratch.drop(state)
+    state = scratch.keep(start.withColumn("hops", F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("bigint")).withColumn("root", F.when(F.col("ptr").isNull(), F.col("node"))))
+    ended = lambda df: df.where(F.col("root").isNotNull()).select("node", "root", F.col("hops").alias("depth"), F.col("seg").alias("path"))
+    open_of = lambda df: df.where(F.col("root").isNull()).select("node", "ptr", "hops", "seg")
+    finished, todo = [ended(state)], open_of(state)
+    left = todo.count()
     while left:
-        # pointers at resolved nodes end here, the others jump
-        r = resolved_all(finished).select(F.col("node").alias("ptr"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
-        hit = todo.join(r, "ptr").select(
-            "node", F.col("_root").alias("root"), (F.col("_depth") + F.col("hops")).alias("depth"), F.concat("_path", F.lit(sep), "seg").alias("path")
+        # one join: a pointer at a resolved node ends here, at another one it jumps on
+        r = resolved_all(finished).select(F.col("node").alias("ptr"), F.col("root").alias("_root"), F.lit(None).cast("string").alias("_ptr"), F.col("depth").alias("_hops"), F.col("path").alias("_seg"))
+        t = todo.select(F.col("node").alias("ptr"), F.lit(None).cast("string").alias("_root"), F.col("ptr").alias("_ptr"), F.col("hops").alias("_hops"), F.col("seg").alias("_seg"))
+        moved = todo.join(r.unionByName(t), "ptr").select(
+            "node", F.col("_ptr").alias("ptr"), (F.col("hops") + F.col("_hops")).alias("hops"), F.concat("_seg", F.lit(sep), "seg").alias("seg"), F.col("_root").alias("root")
         )
-        new = scratch.keep(hit)
-        gained = new.count()
-        if not gained:
+        state = scratch.keep(moved)
+        after = open_of(state).count()
+        if after == left:
             break
-        finished.append(new)
-        rest = todo.join(new.select("node"), "node", "left_anti")
-        t = todo.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("hops").alias("_hops"), F.col("seg").alias("_seg"))
-        jumped = scratch.keep(
-            rest.join(t, "ptr").select("node", F.col("_ptr").alias("ptr"), (F.col("hops") + F.col("_hops")).alias("hops"), F.concat("_seg", F.lit(sep), "seg").alias("seg"))
-        )
-        scratch.drop(todo)
-        todo, left = jumped, left - gained
+        finished.append(ended(state))
+        todo, left = open_of(state), after
     out = resolved_all(finished).select("node", "root", "depth", "path")
     if left:
         caught = todo.select("node", F.lit(CYCLE).alias("root"), F.lit(-1).cast("bigint").alias("depth"), F.lit(CYCLE).alias("path"))

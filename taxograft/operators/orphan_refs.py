@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxograft.session import Scratch
+
 #: Bits per parent key, hash functions, bits of one block and the bound on the filter (64 MiB).
 BITS_PER_KEY, HASHES, BLOCK_BITS, MAX_BITS = 12, 6, 1 << 19, 1 << 29
 
@@ -93,36 +95,34 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     refer to nothing; a null ``at`` or ``valid_from`` never matches. Repeated rows are kept as often as they stand in
     ``refs``. No parents at all make every reference an orphan.
 
-    Of the parents that are still valid only the earliest of each key counts, so a key holds few rows on the
-    parent side whatever its number of deliveries; hot keys on the reference side are reduced to distinct
-    (key, at) before the join.
+    Of the parents that are still valid only the earliest of each key counts, and hot keys on the reference side are reduced to distinct
+    (key, at). What then is left is held against the deliveries that have ended by running maxima: a delivery is valid at a time if the latest
+    end among those that began by then lies beyond it. They are taken day by day, so no key is held against itself and none is sorted whole.
     """
+    scratch = Scratch(refs.sparkSession, "orphans")
     parents = parents.where(F.col("key").isNotNull() & F.col("valid_from").isNotNull())
-    opened = parents.groupBy("key").agg(
-        F.min(F.when(F.col("valid_to").isNull(), F.col("valid_from"))).alias("open_from"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    keys = opened.select(F.xxhash64("key").alias("h"))
-    bits, n_bits = bloom_filter(keys, opened.count())
+    opened = scratch.keep(parents.groupBy("key").agg(F.min(F.when(F.col("valid_to").isNull(), F.col("valid_from"))).alias("open_from")))
+    bits, n_bits = bloom_filter(opened.select(F.xxhash64("key").alias("h")), opened.count())
     refs = refs.where(F.col("key").isNotNull()).withColumn("h", F.xxhash64("key"))
-    tested = might_contain(refs, bits, n_bits)
-    absent = tested.where(~F.col("maybe")).drop("h", "maybe")
-    maybe = tested.where(F.col("maybe")).drop("h", "maybe")
+    tested = scratch.keep(might_contain(refs, bits, n_bits).drop("h"))
+    absent = tested.where(~F.col("maybe")).drop("maybe")
+    maybe = tested.where(F.col("maybe")).drop("maybe")
     # exact join of the distinct (key, at) that passed the filter
     ask = maybe.select("key", "at").distinct()
-    closed = parents.where(F.col("valid_to").isNotNull() & (F.col("valid_to") > F.col("valid_from"))).select(
-        "key", "valid_from", "valid_to"
-    ).distinct()
-    by_open = ask.join(opened.select("key", "open_from"), "key", "left")
-    rest = by_open.where(~F.coalesce(F.col("open_from") <= F.col("at"), F.lit(False))).select("key", "at")
-    c = closed.alias("c")
-    r = rest.alias("r")
-    missing = r.join(
-        c,
-        (F.col("r.key") == F.col("c.key")) & (F.col("c.valid_from") <= F.col("r.at")) & (F.col("c.valid_to") > F.col("r.at")),
-        "left_anti",
-    )
-    m = missing.select(F.col("key").alias("_mk"), F.col("at").alias("_ma"))
+    by_open = ask.join(opened, "key", "left")
+    rest = scratch.keep(by_open.where(~F.coalesce(F.col("open_from") <= F.col("at"), F.lit(False))).select("key", "at"))
+    closed = parents.where(F.col("valid_to") > F.col("valid_from")).join(rest.select("key").distinct(), "key", "left_semi")
+    ends = closed.groupBy("key", F.col("valid_from").alias("t")).agg(F.max("valid_to").alias("end"))
+    # deliveries that begin at the very time come first
+    events = ends.select("key", "t", F.lit(0).alias("kind"), "end").unionByName(rest.select("key", F.col("at").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz" if dict(ends.dtypes)["end"] == "timestamp_ntz" else "timestamp").alias("end")))
+    events = scratch.keep(events.withColumn("day", F.to_date("t")))
+    days = events.groupBy("key", "day").agg(F.max("end").alias("_m"))
+    before = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    start = days.select("key", "day", F.max("_m").over(before).alias("_past"))
+    inside = Window.partitionBy("key", "day").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = events.withColumn("_here", F.max("end").over(inside)).where(F.col("kind") == 1).join(start, (events["key"].eqNullSafe(start["key"])) & events["day"].eqNullSafe(start["day"])).drop(start["key"]).drop(start["day"])
+    missing = seen.where(~F.coalesce(F.greatest("_past", "_here") > F.col("t"), F.lit(False)))
+    m = missing.select(F.col("key").alias("_mk"), F.col("t").alias("_ma"))
     proven = maybe.join(m, (F.col("key") == F.col("_mk")) & F.col("at").eqNullSafe(F.col("_ma")), "left_semi")
     return absent.unionByName(proven)
 
@@ -143,20 +143,16 @@ def breadcrumb_refs(big7: DataFrame) -> DataFrame:
 
 def big7_orphans(big7: DataFrame, sites: DataFrame) -> DataFrame:
     """Distinct (target_table, record_key, missing_key, period) of this project's orphan references."""
-    parents = big7.select(
-        F.concat_ws("_", "site_id", "cat_id").alias("key"), F.col("loaded_at").alias("valid_from"), F.col("deleted_at").alias("valid_to")
-    )
-    within = orphans(breadcrumb_refs(big7).distinct(), parents)
-    site_refs = big7.where(F.col("site_id").isNotNull()).select(
-        F.concat_ws("_", "site_id", "cat_id").alias("record_key"),
-        F.col("site_id").cast("string").alias("key"),
-        F.col("loaded_at").alias("at"),
-        F.date_format("loaded_at", "yyyy-MM").alias("period"),
-    ).distinct()
+    record = F.concat_ws("_", "site_id", "cat_id")
+    parents = big7.select(record.alias("key"), F.col("loaded_at").alias("valid_from"), F.col("deleted_at").alias("valid_to"))
     owners = sites.select(F.col("site_id").cast("string").alias("key"), F.col("opened_at").alias("valid_from"), F.col("closed_at").alias("valid_to"))
-    no_site = orphans(site_refs, owners)
-    shape = lambda df, name: df.select(F.lit(name).alias("target_table"), "record_key", F.col("key").alias("missing_key"), "period")
-    return shape(within, "big7_data").unionByName(shape(no_site, "sites")).distinct()
+    # records are keyed site_id_cat_id, sites without an underline, so both targets go through one pass
+    site_refs = big7.where(F.col("site_id").isNotNull()).select(
+        record.alias("record_key"), F.col("site_id").cast("string").alias("key"), F.col("loaded_at").alias("at"), F.date_format("loaded_at", "yyyy-MM").alias("period")
+    )
+    found = orphans(breadcrumb_refs(big7).unionByName(site_refs).distinct(), parents.unionByName(owners))
+    target = F.when(F.col("key").contains("_"), "big7_data").otherwise("sites")
+    return found.select(target.alias("target_table"), "record_key", F.col("key").alias("missing_key"), "period").distinct()
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -48,40 +48,39 @@ def insertion_space(
         tops = base.select("query_id").distinct().crossJoin(roots(nodes, edges).select(F.col("id").alias("node")))
     below = base.join(closed.select(F.col("anc").alias("node"), F.col("node").alias("low")), "node").select("query_id", F.col("low").alias("node"))
     star = with_self(closed, nodes)
-    upper = base.join(star.select("node", F.col("anc").alias("up")), "node").select("query_id", F.col("up").alias("node")).distinct() if strict else None
-    step, on = edges.select(F.col("tgt").alias("node"), F.col("src").alias("child"), "label"), ["node"]
-    if upper is not None:
-        # only edges between ancestors-or-self of the base can be walked: found from the child's side, where they are few
-        upper = scratch.keep(upper)
-        own = upper.withColumnRenamed("node", "child").join(step, "child")
-        step, on = scratch.keep(own.join(upper, ["query_id", "node"], "left_semi").select("query_id", "node", "child", "label")), ["query_id", "node"]
+    step = edges.select(F.col("tgt").alias("node"), F.col("src").alias("child"), "label")
+    if strict:
+        # what lies above the base and at or below a top: all ways between are above the base as well, and none leads over a base node
+        upper = base.join(star.select("node", F.col("anc").alias("up")), "node").select("query_id", F.col("up").alias("node")).distinct()
+        over = upper.join(star.select("node", "anc"), "node")
+        inside = over.join(tops.select("query_id", F.col("node").alias("anc")).distinct(), ["query_id", "anc"], "left_semi").select("query_id", "node").distinct()
+        inside = scratch.keep(inside)
+        own = inside.withColumnRenamed("node", "child").join(step, "child").join(inside, ["query_id", "node"], "left_semi")
+        return inside.select("query_id", F.col("node").alias("id")), own.select("query_id", F.col("child").alias("src"), F.col("node").alias("tgt"), "label").distinct()
     start = tops.select("query_id", "node").distinct().join(below, ["query_id", "node"], "left_anti")
-    if upper is not None:
-        start = start.join(upper, ["query_id", "node"], "left_semi")
-    seen, parts, used = [scratch.keep(start)], [], None
+    seen, parts = [scratch.keep(start)], []
     base_mark = base.select("query_id", "node")
     below = scratch.keep(below.distinct())
     while True:
         open_nodes = seen[-1].join(base_mark, ["query_id", "node"], "left_anti")
-        moved = open_nodes.join(step, on).select("query_id", F.col("child").alias("node"), F.col("node").alias("parent"), "label")
+        moved = open_nodes.join(step, "node").select("query_id", F.col("child").alias("node"), F.col("node").alias("parent"), "label")
         moved = scratch.keep(moved.join(below, ["query_id", "node"], "left_anti"))
         parts.append(moved)
-        known = seen[0]
-        for s in seen[1:]:
-            known = known.unionByName(s)
-        new = scratch.keep(moved.select("query_id", "node").distinct().join(known, ["query_id", "node"], "left_anti"))
+        new = scratch.keep(moved.select("query_id", "node").distinct().join(_union(seen), ["query_id", "node"], "left_anti"))
         if new.isEmpty():
             break
         seen.append(new)
-    walked = seen[0]
-    for s in seen[1:]:
-        walked = walked.unionByName(s)
-    used = parts[0]
-    for p in parts[1:]:
-        used = used.unionByName(p)
+    walked, used = _union(seen), _union(parts)
     return walked.select("query_id", F.col("node").alias("id")), used.select("query_id", F.col("node").alias("src"), F.col("parent").alias("tgt"), "label").distinct()
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def move_space(nodes: DataFrame, edges: DataFrame, top: int = 0, bottom: int = 1) -> tuple[DataFrame, DataFrame]:
     """(id) and edges of the search space of a category move: the nodes within the level bounds, induced."""
     keep = Scratch(nodes.sparkSession, "move").keep(filter_by_level(nodes, edges, top, bottom))
@@ -95,6 +94,21 @@ def siblings(queries: DataFrame, edges: DataFrame) -> DataFrame:
     return up.join(down, "tgt").where(F.col("sibling") != F.col("node")).select("query_id", "node", "sibling").distinct()
 
 
+def sibling_classes(edges: DataFrame) -> DataFrame:
+    """(node, parent, n_siblings): the classes that siblings form, without a pair of them: a node's siblings are the other children of its
+    parents, ``n_siblings`` of each."""
+    e = edges.select("src", "tgt").distinct()
+    size = e.groupBy("tgt").agg(F.count(F.lit(1)).alias("n"))
+    return e.join(size, "tgt").select(F.col("src").alias("node"), F.col("tgt").alias("parent"), (F.col("n") - 1).alias("n_siblings"))
+
+
+def listed_siblings(queries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, node, sibling, label, place): the siblings of :func:`siblings` as a listing shows them, numbered by label, then id."""
+    found = siblings(queries, edges).join(nodes.select(F.col("id").alias("sibling"), "label"), "sibling", "left")
+    w = Window.partitionBy("query_id", "node").orderBy("label", "sibling")
+    return found.select("query_id", "node", "sibling", "label", F.row_number().over(w).cast("bigint").alias("place"))
+
+
 def neighbourhood(queries: DataFrame, edges: DataFrame, radius: int = 1) -> tuple[DataFrame, DataFrame]:
     """(query_id, id, role) around each query node, and the induced edges per query.
 

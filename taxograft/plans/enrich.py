@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from taxograft.config import InsertionConfig
 from taxograft.functions.lexical import lexical_match
-from taxograft.functions.models import Scorer, word_scorer
+from taxograft.functions.models import ScoreCache, Scorer, word_scorer
 from taxograft.model import NEW, ROOT_ID, Taxonomy
 from taxograft.operators import lattice, space
 from taxograft.operators.closure import closure
@@ -65,18 +65,17 @@ def traverse(start: DataFrame, step: DataFrame, score: Callable[[DataFrame], Dat
     return out
 
 
-def _scorer(queries: DataFrame, nodes: DataFrame, scorer: Scorer, upward: bool, sure: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
+def _scorer(queries: DataFrame, nodes: DataFrame, scores: ScoreCache, upward: bool, sure: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
     """Adds p: how surely the node subsumes the query's label, or with ``upward`` the label the node. The root concept subsumes everything; so do
-    pairs in ``sure``. Each distinct pair of labels is scored once per level."""
+    pairs in ``sure``. Each distinct pair of labels is scored once for as long as the cache lives: over levels, directions and rounds."""
     labels = nodes.select(F.col("id").alias("node"), F.col("label").alias("_nl"))
     asked = queries.select("query_id", F.col("label").alias("_ql"))
 
     def add(front: DataFrame) -> DataFrame:
         named = front.join(labels, "node", "left").join(asked, "query_id")
-        pairs = named.select("_nl", "_ql").distinct()
-        a, b = (F.col("_nl"), F.col("_ql")) if upward else (F.col("_ql"), F.col("_nl"))
-        pairs = pairs.withColumn("p", scorer(a, b)).select(F.col("_nl").alias("_n2"), F.col("_ql").alias("_q2"), "p")
-        out = named.join(pairs, F.col("_nl").eqNullSafe(F.col("_n2")) & F.col("_ql").eqNullSafe(F.col("_q2")))
+        sub, sup = ("_nl", "_ql") if upward else ("_ql", "_nl")
+        pairs = scores.of(named.select(F.col(sub).alias("sub"), F.col(sup).alias("sup"))).select(F.col("sub").alias("_a"), F.col("sup").alias("_b"), "p")
+        out = named.join(pairs, F.col(sub).eqNullSafe(F.col("_a")) & F.col(sup).eqNullSafe(F.col("_b")))
         p = F.coalesce("p", F.lit(0.0))
         if not upward:
             p = F.when(F.col("node") == ROOT_ID, 1.0).otherwise(p)
@@ -88,15 +87,16 @@ def _scorer(queries: DataFrame, nodes: DataFrame, scorer: Scorer, upward: bool,
     return add
 
 
-def place(taxonomy: Taxonomy, queries: DataFrame, bases: DataFrame | None, config: InsertionConfig | None = None, scorer: Scorer = word_scorer) -> Placement:
+def place(taxonomy: Taxonomy, queries: DataFrame, bases: DataFrame | None, config: InsertionConfig | None = None, scorer: Scorer | ScoreCache = word_scorer) -> Placement:
     """Place the labels of ``queries`` (query_id, label) given ``bases`` (query_id, node).
 
     Superclasses are the most specific nodes accepted on the way down, subclasses the most general ones accepted on the way up from the
     leaves; a node accepted both ways is equivalent. A label that matches a known one by its words is equivalent to it for sure. Of several
     equivalents the best by the score function stays, ties by id; the others become superclasses or subclasses by their larger probability.
-    Queries without a base search the whole taxonomy.
+    Queries without a base search the whole taxonomy. A ``ScoreCache`` as scorer keeps its scores for later calls.
     """
     cfg = config or InsertionConfig()
+    scores = ScoreCache.over(taxonomy.spark, scorer)
     if not 0 <= cfg.threshold <= 1:
         raise ValueError("the threshold must lie in [0, 1]")
     scratch = Scratch(taxonomy.spark, "place")
@@ -113,7 +113,7 @@ def place(taxonomy: Taxonomy, queries: DataFrame, bases: DataFrame | None, confi
         sure = down_stop = None
     else:
         bases = scratch.keep(bases.select("query_id", "node").distinct())
-        ids, used = space.insertion_space(bases, nodes, edges, closed, cfg.crop_top, cfg.force_labels, cfg.strict)
+        ids, used = space.insertion_space(bases, nodes, edges, closed, cfg.subgraph_crop, cfg.subgraph_force, cfg.subgraph_strict)
         walked, used = scratch.keep(ids), scratch.keep(used.select("query_id", "src", "tgt"))
         sure = down_stop = None
         if cfg.force_base_subsumptions:
@@ -132,12 +132,12 @@ def place(taxonomy: Taxonomy, queries: DataFrame, bases: DataFrame | None, confi
     inner = lambda up: used.select(*key, F.col("src" if up else "tgt").alias("node"), F.col("tgt" if up else "src").alias("next"))
     pruned_down = within.select(*key, F.col("anc").alias("node"), F.col("node").alias("beyond")) if cfg.force_prune else None
     pruned_up = within.select(*key, "node", F.col("anc").alias("beyond")) if cfg.force_prune else None
-    got = scratch.keep(traverse(tops, inner(False), _scorer(queries, nodes, scorer, False, sure), cfg.threshold, cfg.tolerance, None, down_stop, pruned_down))
+    got = scratch.keep(traverse(tops, inner(False), _scorer(queries, nodes, scores, False, sure), cfg.threshold, cfg.tolerance, None, down_stop, pruned_down))
     # strict ancestors of accepted nodes are not most specific, and never entered on the way up
     over = scratch.keep(got.join(within, [*key, "node"]).select("query_id", F.col("anc").alias("node")).distinct())
     sup = scratch.keep(got.join(over, ["query_id", "node"], "left_anti"))
     live = sup.select("query_id").distinct()
-    up = traverse(bottoms.join(live, "query_id", "left_semi"), inner(True), _scorer(queries, nodes, scorer, True, bases if sure is not None else None), cfg.threshold, cfg.tolerance, over, sup, pruned_up)
+    up = traverse(bottoms.join(live, "query_id", "left_semi"), inner(True), _scorer(queries, nodes, scores, True, bases if sure is not None else None), cfg.threshold, cfg.tolerance, over, sup, pruned_up)
     up = scratch.keep(up.withColumnRenamed("p", "p_sub"))
     eqv = scratch.keep(sup.join(up, ["query_id", "node"]).select("query_id", "node", F.col("p").alias("p_sup"), "p_sub"))
     rest = up.join(eqv, ["query_id", "node"], "left_anti")
@@ -145,13 +145,13 @@ def place(taxonomy: Taxonomy, queries: DataFrame, bases: DataFrame | None, confi
     lower = inside.join(rest.select("query_id", F.col("node").alias("anc")), ["query_id", "anc"], "left_semi").select("query_id", "node").distinct()
     sub = rest.join(lower, ["query_id", "node"], "left_anti").select("query_id", "node", F.lit(None).cast("double").alias("p_sup"), "p_sub")
     sup = sup.join(eqv, ["query_id", "node"], "left_anti").select("query_id", "node", F.col("p").alias("p_sup"), F.lit(None).cast("double").alias("p_sub"))
-    if cfg.lexical_check:
+    if cfg.do_lexical_check:
         known = lexical_match(queries, nodes).where(F.col("match").isNotNull())
         same = known.select("query_id", F.col("match").alias("node"), F.lit(1.0).alias("p_sup"), F.lit(1.0).alias("p_sub"))
         eqv = eqv.join(same.select("query_id", "node"), ["query_id", "node"], "left_anti").unionByName(same)
     from pyspark.sql import Window
 
-    order = Window.partitionBy("query_id").orderBy(cfg.equivalence_score(F.col("p_sup"), F.col("p_sub")).desc(), "node")
+    order = Window.partitionBy("query_id").orderBy(cfg.eqv_score_func(F.col("p_sup"), F.col("p_sub")).desc(), "node")
     ranked = eqv.withColumn("_r", F.row_number().over(order))
     best = scratch.keep(ranked.where(F.col("_r") == 1).drop("_r"))
     as_sup = F.col("p_sup") >= F.col("p_sub")
@@ -218,46 +218,60 @@ def generate(taxonomy: Taxonomy, bases: DataFrame, generator: Callable[[Column],
     return made.where(F.col("label").isNotNull() & (F.col("label") != "") & ~F.col("label").isin(*list(ignore) or [""]))
 
 
-def enrich_manual(taxonomy: Taxonomy, labels: DataFrame, bases: DataFrame | None = None, config: InsertionConfig | None = None, scorer: Scorer = word_scorer, update: bool = False):
+def enrich_manual(taxonomy: Taxonomy, labels: DataFrame, bases: DataFrame | None = None, config: InsertionConfig | None = None, scorer: Scorer | ScoreCache = word_scorer, update: bool = False):
     """Given labels (query_id, label), with or without bases: the placement, and with ``update`` also the grown taxonomy."""
     placement = place(taxonomy, labels, bases, config, scorer)
-    return finish(taxonomy, *insert(taxonomy, placement)) if update else placement
+    reduced = (config or InsertionConfig()).transitive_reduction
+    return finish(taxonomy, *insert(taxonomy, placement), reduced) if update else placement
 
 
-def enrich_seeds(taxonomy: Taxonomy, seeds: DataFrame, vectors: DataFrame, generator, config: InsertionConfig | None = None, scorer: Scorer = word_scorer, update: bool = False):
-    """Concepts between each seed (id) and its nearest neighbours in ``vectors`` (id, embedding)."""
-    cfg = config or InsertionConfig()
-    scratch = Scratch(taxonomy.spark, "seeds")
+def neighbours_of(seeds: DataFrame, vectors: DataFrame, config: InsertionConfig) -> DataFrame:
+    """(seed, id): the nearest of ``vectors`` (id, embedding) to each seed (id), the seed itself among them."""
     q = vectors.join(seeds.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
-    near = scratch.keep(top_k(q, vectors, cfg.retrieve_size).select(F.col("query_id").alias("seed"), "id"))
-    pairs = scratch.keep(pair_bases(near, cfg.restrict_combinations))
+    return top_k(q, vectors, config.retrieve_size).select(F.col("query_id").alias("seed"), "id")
+
+
+def place_between(taxonomy: Taxonomy, near: DataFrame, generator, config: InsertionConfig, scorer: Scorer | ScoreCache = word_scorer) -> Placement:
+    """Concepts generated between seeds and what was retrieved for them (seed, id), placed over each pair."""
+    scratch = Scratch(taxonomy.spark, "seeds")
+    pairs = scratch.keep(pair_bases(near, config.restrict_combinations))
     bases = pairs.select("query_id", F.explode(F.array("a", "b")).alias("node"))
-    labels = scratch.keep(generate(taxonomy, bases, generator, cfg.ignore_label, cfg.filter_subset))
-    placement = place(taxonomy, labels, bases.join(labels.select("query_id"), "query_id", "left_semi"), cfg, scorer)
-    return finish(taxonomy, *insert(taxonomy, placement)) if update else placement
+    labels = scratch.keep(generate(taxonomy, bases, generator, config.ignore_label, config.filter_subset))
+    return place(taxonomy, labels, bases.join(labels.select("query_id"), "query_id", "left_semi"), config, scorer)
+
+
+def enrich_seeds(taxonomy: Taxonomy, seeds: DataFrame, vectors: DataFrame, generator, config: InsertionConfig | None = None, scorer: Scorer | ScoreCache = word_scorer, update: bool = False):
+    """Concepts between each seed (id) and its nearest neighbours in ``vectors`` (id, embedding)."""
+    cfg = config or InsertionConfig()
+    near = Scratch(taxonomy.spark, "near").keep(neighbours_of(seeds, vectors, cfg))
+    placement = place_between(taxonomy, near, generator, cfg, scorer)
+    return finish(taxonomy, *insert(taxonomy, placement), cfg.transitive_reduction) if update else placement
 
 
-def enrich_auto(taxonomy: Taxonomy, vectors: DataFrame, generator, config: InsertionConfig | None = None, scorer: Scorer = word_scorer) -> tuple[Taxonomy, int, int]:
-    """Rounds of seeds over the leaves, in an order by a seeded hash, until every leaf was a seed or ``max_outer_loop`` seeds were used. A round
-    takes a batch of seeds; the next round sees its insertions, while the vectors stay those of the start."""
+def enrich_auto(taxonomy: Taxonomy, vectors: DataFrame, generator, config: InsertionConfig | None = None, scorer: Scorer | ScoreCache = word_scorer) -> tuple[Taxonomy, int, int]:
+    """Rounds of seeds over the leaves, in an order by a seeded hash, until every leaf was a seed or retrieved by one, or ``max_outer_loop`` seeds
+    were used. A round takes a batch of seeds; the next round sees its insertions, while the vectors stay those of the start."""
     cfg = config or InsertionConfig()
     scratch = Scratch(taxonomy.spark, "auto")
+    scores = ScoreCache.over(taxonomy.spark, scorer)
     pool = scratch.keep(taxonomy.leaves().withColumn("_o", F.md5(F.concat_ws("|", "id", F.lit(str(cfg.rand_seed))))))
     left = cfg.max_outer_loop
     now, classes, links = taxonomy, 0, 0
     while not pool.isEmpty() and (left is None or left > 0):
         n = cfg.batch_size if left is None else min(cfg.batch_size, left)
         seeds = scratch.keep(pool.orderBy("_o", "id").limit(n))
-        placement = enrich_seeds(now, seeds, vectors, generator, cfg, scorer)
-        now, a, b = insert(now, placement)
+        near = scratch.keep(neighbours_of(seeds, vectors, cfg))
+        now, a, b = insert(now, place_between(now, near, generator, cfg, scores))
         classes, links = classes + a, links + b
-        pool = scratch.keep(pool.join(seeds.select("id"), "id", "left_anti"))
+        used = seeds.select("id").unionByName(near.select("id")).distinct()
+        before, pool = pool, scratch.keep(pool.join(used, "id", "left_anti"))
+        scratch.drop(before)
         left = None if left is None else left - n
-    return finish(taxonomy, now, classes, links)
+    return finish(taxonomy, now, classes, links, cfg.transitive_reduction)
 
 
-def finish(before: Taxonomy, after: Taxonomy, classes: int, links: int) -> tuple[Taxonomy, int, int]:
-    """The grown taxonomy without implied edges, but with all edges it had before."""
-    reduced = lattice.transitive_reduction(after.edges, closure(after.edges))
-    lost = before.edges.join(reduced.select("src", "tgt"), ["src", "tgt"], "left_anti")
-    return Taxonomy(after.nodes, reduced.unionByName(lost), after.version), classes, links
+def finish(before: Taxonomy, after: Taxonomy, classes: int, links: int, reduce: bool = True) -> tuple[Taxonomy, int, int]:
+    """The grown taxonomy without implied edges (unless told not to reduce), but with all edges it had before."""
+    kept = lattice.transitive_reduction(after.edges, closure(after.edges)) if reduce else after.edges
+    lost = before.edges.join(kept.select("src", "tgt"), ["src", "tgt"], "left_anti")
+    return Taxonomy(after.nodes, kept.unionByName(lost), after.version), classes, links

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taxograft.config import InsertionConfig, MoveConfig
 from taxograft.functions import lexical, models
-from taxograft.model import Taxonomy
+from taxograft.model import Taxonomy, TreeTaxonomy
 from taxograft.operators import closure as cl
 from taxograft.operators import space, vectors
 from taxograft.plans import enrich, move, traindata
@@ -110,11 +110,20 @@ def subsumes(spark: SparkSession, sf: str) -> DataFrame:
     return t.subsumes(q.select((F.col("l_partkey") + 5_000_000_000).alias("lower"), "upper").distinct()).select("upper", "lower", "subsumes")
 
 
-@query(GEO_C + "SELECT a.src AS node, b.src AS sibling FROM e a JOIN e b ON a.tgt = b.tgt AND a.src <> b.src WHERE a.src < 3000000000")
+@query(f"WITH {GEO_SQL}, k AS (SELECT tgt, COUNT(*) - 1 AS n FROM e GROUP BY tgt) SELECT e.src AS node, e.tgt AS parent, CAST(k.n AS BIGINT) AS n_siblings FROM e JOIN k ON k.tgt = e.tgt")
 def siblings(spark: SparkSession, sf: str) -> DataFrame:
-    """Siblings of regions and nations; those of all customers of a nation would be all pairs of a group."""
-    t = geo(spark, sf)
-    return t.siblings(_all(t).where(F.col("node") < 3_000_000_000)).where(F.col("sibling") != F.col("node")).select("node", "sibling")
+    """Every node with its parent, whose children are its siblings, and their number: pairs of siblings would grow with the square of a nation's customers."""
+    return space.sibling_classes(geo(spark, sf).edges)
+
+
+@query(
+    f"""WITH {PART_SQL}, s AS (SELECT DISTINCT a.src AS node, b.src AS sibling FROM e a JOIN e b ON b.tgt = a.tgt AND b.src <> a.src WHERE a.src % 50 = 0)
+    SELECT node, sibling, n.label, row_number() OVER (PARTITION BY node ORDER BY n.label, sibling) AS place FROM s JOIN n ON n.id = sibling"""
+)
+def dag_siblings(spark: SparkSession, sf: str) -> DataFrame:
+    """The siblings over all parents of every node whose id is divisible by 50, in the order of their labels."""
+    t = part(spark, sf)
+    return space.listed_siblings(_all(t).where(F.col("node") % 50 == 0), t.edges, t.nodes).select("node", "sibling", "label", "place")
 
 
 @query(GEO_C + "SELECT node, array_to_string(list(anc ORDER BY dist DESC), '/') AS crumb FROM cs GROUP BY node")
@@ -186,21 +195,39 @@ def depth(spark: SparkSession, sf: str) -> DataFrame:
     return _own(spark, sf).levels
 
 
+_LEVEL_CASES = ((1, 1), (2, 0), (-1, 0), (0, 2), (0, -1), (-2, -3), (1, -2))
+
+
+def _level_where(top: int, bottom: int) -> str:
+    rules = [f"d >= {top}" if top > 0 else f"r <= {-top}" if top else "", f"r >= {bottom}" if bottom > 0 else f"d <= {-bottom}" if bottom else ""]
+    return " AND ".join(x for x in rules if x)
+
+
 @query(
     GEO_C
     + """, lv AS (SELECT node AS id, MIN(dist) AS d FROM cs WHERE anc = 0 GROUP BY node),
-    rl AS (SELECT anc AS id, MIN(dist) AS r FROM cs WHERE node NOT IN (SELECT tgt FROM e) GROUP BY anc)
-    SELECT lv.id FROM lv JOIN rl ON rl.id = lv.id WHERE d >= 1 AND r >= 1"""
+    rl AS (SELECT anc AS id, MIN(dist) AS r FROM cs WHERE node NOT IN (SELECT tgt FROM e) GROUP BY anc), b AS (SELECT lv.id, d, r FROM lv JOIN rl ON rl.id = lv.id) """
+    + " UNION ALL ".join(f"SELECT '{t},{b}' AS bounds, id FROM b WHERE {_level_where(t, b)}" for t, b in _LEVEL_CASES)
 )
 def filter_by_level(spark: SparkSession, sf: str) -> DataFrame:
-    return geo(spark, sf).filter_by_level(1, 1)
+    """All signs of the two bounds."""
+    t, out = geo(spark, sf), None
+    for top, bottom in _LEVEL_CASES:
+        one = t.filter_by_level(top, bottom).select(F.lit(f"{top},{bottom}").alias("bounds"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query(f"WITH {GEO_SQL} SELECT src AS node, tgt AS other, CAST(1 AS BIGINT) AS dist FROM e WHERE src < 2000000000 UNION ALL SELECT tgt, src, 1 FROM e WHERE tgt BETWEEN 1000000000 AND 1999999999 UNION ALL SELECT DISTINCT a.src, b.src, 2 FROM e a JOIN e b ON b.tgt = a.tgt AND b.src <> a.src WHERE a.src < 2000000000 UNION ALL SELECT DISTINCT a.tgt, b.src, 2 FROM e a JOIN e b ON b.tgt = a.src WHERE a.tgt BETWEEN 1000000000 AND 1999999999")
+@query(
+    f"""WITH {GEO_SQL}, u AS (SELECT src AS x, tgt AS y FROM e UNION SELECT tgt, src FROM e), q AS (SELECT id FROM n WHERE id % 50 = 0),
+    one AS (SELECT DISTINCT q.id AS node, u.y AS other FROM q JOIN u ON u.x = q.id),
+    two AS (SELECT DISTINCT one.node, u.y AS other FROM one JOIN u ON u.x = one.other WHERE u.y <> one.node)
+    SELECT node, other, CAST(1 AS BIGINT) AS dist FROM one UNION ALL SELECT node, other, 2 FROM two ANTI JOIN one USING (node, other)"""
+)
 def n_hop_ring(spark: SparkSession, sf: str) -> DataFrame:
-    """Rings 1 and 2 around every region."""
+    """Rings 1 and 2 around every node whose id is divisible by 50."""
     t = geo(spark, sf)
-    q = _all(t).where((F.col("node") >= 1_000_000_000) & (F.col("node") < 2_000_000_000))
+    q = _all(t).where(F.col("node") % 50 == 0)
     return cl.rings(q, t.edges, 2).where(F.col("dist") > 0).select(F.col("query_id").alias("node"), F.col("node").alias("other"), "dist")
 
 
@@ -259,8 +286,9 @@ def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select("query_id", F.explode(F.array("a", "b")).alias("node"))
 
 
-_LCA = """, ca AS (SELECT a, b, cs.anc FROM qm JOIN cs ON cs.node = qm.m GROUP BY a, b, cs.anc HAVING COUNT(DISTINCT qm.m) = 2),
- lc AS (SELECT a, b, anc FROM ca WHERE NOT EXISTS (SELECT 1 FROM ca c2 JOIN c ON c.node = c2.anc WHERE c2.a = ca.a AND c2.b = ca.b AND c.anc = ca.anc))"""
+_LCA = """, ca AS MATERIALIZED (SELECT a, b, cs.anc FROM qm JOIN cs ON cs.node = qm.m GROUP BY a, b, cs.anc HAVING COUNT(*) = 2),
+ hid AS MATERIALIZED (SELECT DISTINCT a, b, c.anc FROM ca JOIN c ON c.node = ca.anc),
+ lc AS (SELECT a, b, anc FROM ca ANTI JOIN hid USING (a, b, anc))"""
 
 
 @query(PART_C + _QM + _LCA + " SELECT a || '_' || b AS query_id, anc AS node FROM lc")
@@ -332,7 +360,7 @@ def transitive_reduction(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- search spaces
 
-_BASE = """, q AS (SELECT 'q' || l_orderkey AS q, 5000000000 + l_partkey AS node FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2),
+_BASE = """, q AS (SELECT 'q' || l_orderkey AS q, 5000000000 + l_partkey AS node FROM lineitem GROUP BY 1, 2),
  base AS (SELECT q, node FROM q WHERE NOT EXISTS (SELECT 1 FROM q q2 JOIN c ON c.node = q2.node WHERE q2.q = q.q AND c.anc = q.node)),
  nb AS (SELECT q, COUNT(*) AS k FROM base GROUP BY q),
  ca AS (SELECT base.q, cs.anc FROM base JOIN cs ON cs.node = base.node GROUP BY base.q, cs.anc HAVING COUNT(*) = (SELECT k FROM nb WHERE nb.q = base.q)),
@@ -343,8 +371,8 @@ _BASE = """, q AS (SELECT 'q' || l_orderkey AS q, 5000000000 + l_partkey AS node
 
 
 def _bases(spark: SparkSession, sf: str) -> DataFrame:
-    """The first two parts of each order."""
-    li = table(spark, sf, "lineitem").where(F.col("l_linenumber") <= 2)
+    """The parts of each order."""
+    li = table(spark, sf, "lineitem")
     return li.select(F.concat(F.lit("q"), F.col("l_orderkey").cast("string")).alias("query_id"), (F.col("l_partkey") + 5_000_000_000).alias("node")).distinct()
 
 
@@ -399,16 +427,16 @@ def move_space(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     GEO_C
-    + """, q AS (SELECT id FROM n WHERE id BETWEEN 1000000000 AND 2999999999),
+    + """, q AS (SELECT id FROM n WHERE id % 50 = 0),
     m AS (SELECT id AS q, id, 0 AS r FROM q UNION ALL SELECT q.id, c.anc, CASE WHEN dist = 1 THEN 1 ELSE 4 END FROM q JOIN c ON c.node = q.id AND dist <= 2
       UNION ALL SELECT q.id, c.node, CASE WHEN dist = 1 THEN 2 ELSE 4 END FROM q JOIN c ON c.anc = q.id AND dist <= 2
       UNION ALL SELECT q.id, b.src, 3 FROM q JOIN e a ON a.src = q.id JOIN e b ON b.tgt = a.tgt AND b.src <> a.src)
     SELECT q AS query_id, id, ['selected', 'ancestor', 'child', 'sibling', 'context'][MIN(r) + 1] AS role FROM m GROUP BY q, id"""
 )
 def neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
-    """Two hops around every region and nation."""
+    """Two hops around every node whose id is divisible by 50."""
     t = geo(spark, sf)
-    q = _all(t).where((F.col("node") >= 1_000_000_000) & (F.col("node") < 3_000_000_000))
+    q = _all(t).where(F.col("node") % 50 == 0)
     return space.neighbourhood(q, t.edges, 2)[0]
 
 
@@ -484,11 +512,30 @@ def knn_l2(spark: SparkSession, sf: str) -> DataFrame:
     return _top(vectors.top_k(_asked(v), v, 10, "l2")).withColumn("score", F.abs("score"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query(
+    """WITH f AS (SELECT label, MIN(vec_id) AS id FROM embeddings GROUP BY label)
+    SELECT e.vec_id AS a, x.vec_id AS b, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 6) AS similarity
+    FROM embeddings e JOIN f ON f.label = e.label JOIN embeddings x ON x.vec_id = f.id"""
+)
 def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector with the first of its label."""
+    v = _vectors(spark, sf)
+    first = v.groupBy("label").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("embedding").alias("y")), "id").alias("f")).select("label", "f.*")
+    return v.join(first, "label").select(F.col("id").alias("a"), "b", F.round(vectors.cosine(F.col("embedding"), F.col("y")), 6).alias("similarity"))
+
+
+@query(
+    """WITH s AS (SELECT vec_id AS id, embedding FROM embeddings WHERE label <> 7 UNION ALL SELECT vec_id + 1000000000, embedding FROM embeddings WHERE label < 5)
+    SELECT id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total, len(embedding) AS dim FROM s WHERE id % 50 = 0"""
+)
+def vector_store_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a store after adding copies of some labels under new ids and deleting one label, for every id divisible by 50."""
     v = _vectors(spark, sf)
-    a, b = v.select(F.col("id").alias("a"), F.col("embedding").alias("x")), v.select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, "a").select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    more = v.where(F.col("label") < 5).select((F.col("id") + 1_000_000_000).alias("id"), "embedding")
+    store = vectors.VectorStore(v).add(more).delete(v.where(F.col("label") == 7).select("id"))
+    got = store.reconstruct(store.concepts().where(F.col("id") % 50 == 0))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return got.select("id", F.round(total, 4).alias("total"), F.size("embedding").cast("bigint").alias("dim"))
 
 
 @query(
@@ -520,12 +567,97 @@ def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
 # -- lexical
 
 
-@query("""SELECT site_id, cat_id, loaded_at, array_to_string([regexp_replace(x, ' \\(\\d+\\).*$', '', 's') FOR x IN string_split(breadcrumb, ' > ')], ' > ') AS symbol,
-   string_split(breadcrumb, ' > ')[1] AS first FROM big7_data""")
+@query("""WITH b AS (SELECT site_id, cat_id, loaded_at, breadcrumb, [regexp_replace(x, ' \\(\\d+\\).*$', '', 's') FOR x IN string_split(breadcrumb, ' > ')] AS n,
+    regexp_extract_all(breadcrumb || ' > ', ' \\((\\d+)\\)\\s?> ', 1) AS i FROM big7_data)
+   SELECT site_id, cat_id, loaded_at, array_to_string(n, ' > ') AS symbol, string_split(breadcrumb, ' > ')[1] AS first,
+    n[1] || CASE WHEN len(n) > 1 THEN ' contains ' || array_to_string(n[2:], ', which contains ') ELSE '' END || '.' AS word,
+    CASE WHEN len(i) > 0 THEN array_to_string(i, ' ') END AS id, breadcrumb AS raw FROM b""")
 def breadcrumb_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    """All link modes over all breadcrumbs."""
     b = F.col("breadcrumb")
-    return table(spark, sf, "big7_data").select("site_id", "cat_id", "loaded_at", lexical.normalise_breadcrumb(b, "symbol").alias("symbol"), F.get(lexical.segment(b), F.lit(0)).alias("first"))
+    modes = [lexical.normalise_breadcrumb(b, m).alias(m) for m in ("symbol", "word", "id", "raw")]
+    return table(spark, sf, "big7_data").select("site_id", "cat_id", "loaded_at", *modes, F.get(lexical.segment(b), F.lit(0)).alias("first"))
+
+
+@query(
+    """WITH x AS (SELECT site_id, cat_id, loaded_at, string_split(breadcrumb, ' > ') AS a, string_split(id_breadcrumb, '>') AS b FROM big7_data WHERE breadcrumb IS NOT NULL AND id_breadcrumb IS NOT NULL),
+    u AS (SELECT *, list_concat(a, b) AS l FROM x)
+    SELECT site_id, cat_id, loaded_at, array_to_string(list_filter(l, lambda y, i: list_position(l, y) = i), '|') AS both,
+      array_to_string(list_filter(a, lambda y: NOT list_contains(b, y)), '|') AS only_first,
+      array_to_string(CASE WHEN list_contains(a, 'Root') THEN a ELSE list_append(a, 'Root') END, '|') AS with_root FROM u"""
+)
+def list_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Union, difference and adding, over the parts of both breadcrumbs."""
+    x = table(spark, sf, "big7_data").where(F.col("breadcrumb").isNotNull() & F.col("id_breadcrumb").isNotNull())
+    a, b = F.split("breadcrumb", " > "), F.split("id_breadcrumb", ">")
+    text = lambda c, name: F.array_join(c, "|").alias(name)
+    return x.select("site_id", "cat_id", "loaded_at", text(lexical.list_union(a, b), "both"), text(lexical.list_diff(a, b), "only_first"), text(lexical.list_add(a, F.lit("Root")), "with_root"))
+
+
+# words of which a region's name is the more general one, and the customers' and suppliers' words below
+_WORDS_SQL = """w AS (SELECT n_name AS node, r_name AS anc FROM nation JOIN region ON r_regionkey = n_regionkey
+   UNION SELECT lower(c_mktsegment), n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey < 26 UNION SELECT lower(c_mktsegment), r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey < 26)"""
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    """A closure of words: nations below regions, and the first customers' segments below both."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    up = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", F.col("n_name").alias("node"), F.col("r_name").alias("anc"))
+    c = table(spark, sf, "customer").where(F.col("c_custkey") < 26).join(up, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lower("c_mktsegment").alias("s"), "node", "anc")
+    return up.select("node", "anc").unionByName(c.select(F.col("s").alias("node"), F.col("node").alias("anc"))).unionByName(c.select(F.col("s").alias("node"), "anc")).distinct()
+
+
+@query(
+    f"""WITH {_WORDS_SQL}, t AS (SELECT node AS x FROM w UNION SELECT anc FROM w UNION SELECT NULL), p AS (SELECT a.x AS word1, b.x AS word2 FROM t a, t b),
+    h AS (SELECT word1, word2, CASE WHEN word2 IS NULL THEN TRUE WHEN word1 IS NULL THEN FALSE ELSE word1 = word2 OR EXISTS (SELECT 1 FROM w WHERE node = word2 AND anc = word1) END AS up,
+      CASE WHEN word1 IS NULL THEN TRUE WHEN word2 IS NULL THEN FALSE ELSE word1 = word2 OR EXISTS (SELECT 1 FROM w WHERE node = word1 AND anc = word2) END AS down FROM p)
+    SELECT word1, word2, up AS hypernym, CASE WHEN word1 IS NULL OR word2 IS NULL THEN COALESCE(word1, word2) WHEN up THEN word1 WHEN down THEN word2 END AS hyper,
+      CASE WHEN word1 IS NULL OR word2 IS NULL THEN NULL WHEN up THEN word2 WHEN down THEN word1 END AS hypo FROM h"""
+)
+def hypernym_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of the few words, null among them: which is the more general, if either is."""
+    w = Scratch(spark, "words").keep(_words(spark, sf))
+    one = w.select(F.col("node").alias("x")).union(w.select("anc")).distinct().unionByName(spark.createDataFrame([(None,)], "x string"))
+    p = one.select(F.col("x").alias("word1")).crossJoin(F.broadcast(one.select(F.col("x").alias("word2"))))  # some forty words
+    up = lexical.hypernym(p, w).select(F.col("word1").alias("_a"), F.col("word2").alias("_b"), "hypernym")
+    both = lexical.hyper_hypo(p, w)
+    return both.join(up, both["word1"].eqNullSafe(up["_a"]) & both["word2"].eqNullSafe(up["_b"])).select("word1", "word2", "hypernym", "hyper", "hypo")
+
 
+_TOKENS_SQL = """t AS (SELECT c_custkey AS row_id, 1 AS pos, r_name AS token FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+   UNION ALL SELECT c_custkey, 2, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT c_custkey, 3, lower(c_mktsegment) FROM customer)"""
+
+
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """(row_id, pos, token): each customer's region, nation and segment."""
+    n, r, c = table(spark, sf, "nation"), table(spark, sf, "region"), table(spark, sf, "customer")
+    named = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return named.select(F.col("c_custkey").alias("row_id"), F.posexplode(F.array("r_name", "n_name", F.lower("c_mktsegment"))).alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+
+
+@query(
+    f"""WITH {_WORDS_SQL}, {_TOKENS_SQL}, k AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM t o JOIN w ON w.node = o.token WHERE o.row_id = t.row_id AND w.anc = t.token))
+    SELECT row_id, array_to_string(list(token ORDER BY pos), ', ') AS keywords FROM k GROUP BY row_id"""
+)
+def keyword_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's words without those more general than another of them."""
+    return lexical.keyword_strings(_tokens(spark, sf), _words(spark, sf))
+
+
+@query(
+    f"""WITH {_WORDS_SQL}, {_TOKENS_SQL}, p AS (SELECT c_custkey AS pair_id, c_custkey AS l, c_custkey + 1 AS r FROM customer WHERE c_custkey + 1 IN (SELECT c_custkey FROM customer)),
+    o AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM t x JOIN w ON w.node = x.token WHERE x.row_id = t.row_id AND w.anc = t.token)),
+    s AS (SELECT DISTINCT pair_id, 'l' AS side, token FROM p JOIN o ON o.row_id = p.l UNION SELECT pair_id, 'r', token FROM p JOIN o ON o.row_id = p.r),
+    u AS (SELECT DISTINCT pair_id, token FROM s), ur AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u x JOIN w ON w.node = x.token WHERE x.pair_id = u.pair_id AND w.anc = u.token)),
+    m AS (SELECT pair_id, COUNT(*) FILTER (NOT EXISTS (SELECT 1 FROM s WHERE s.pair_id = ur.pair_id AND s.side = 'l' AND s.token = ur.token)) AS ml,
+      COUNT(*) FILTER (NOT EXISTS (SELECT 1 FROM s WHERE s.pair_id = ur.pair_id AND s.side = 'r' AND s.token = ur.token)) AS mr FROM ur GROUP BY pair_id)
+    SELECT pair_id, ml <= 1 AS left_ok, mr <= 1 AS right_ok FROM m"""
+)
+def breadcrumb_screening(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer held against the next by their words, one missing word allowed."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("left"))
+    p = c.join(c.select((F.col("left") - 1).alias("pair_id"), F.col("left").alias("right")), F.col("left") == F.col("pair_id")).select("pair_id", "left", "right")
+    return lexical.breadcrumb_screening(p, _tokens(spark, sf), _words(spark, sf), 1)
 
 
 @query(
@@ -540,16 +672,6 @@ def token_set(spark: SparkSession, sf: str) -> DataFrame:
     return labels.select("label", F.array_join(lexical.token_set(F.col("label")), " ").alias("tokens"))
 
 
-@query("WITH n AS (SELECT lower(label) AS k, MAX(id) AS id FROM taxo_nodes WHERE label IS NOT NULL GROUP BY 1) SELECT DISTINCT c.label, n.id AS match FROM cat_data c JOIN n ON n.k = lower(c.label) WHERE regexp_matches(c.label, '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+ [A-Za-z]+$')")
-def lexical_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels of four plain words found among the nodes with exactly these words."""
-    c = table(spark, sf, "cat_data").where(F.col("label").rlike("^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+ [A-Za-z]+$")).select("label").distinct()
-    n = table(spark, sf, "taxo_nodes").select("id", "label").where(F.col("label").isNotNull())
-    found = lexical.lexical_match(c, n).where(F.col("match").isNotNull())
-    same = n.select(F.lower("label").alias("_k")).distinct()
-    return found.join(same, F.lower("label") == F.col("_k"), "left_semi").select("label", "match")
-
-
 def _token_key(source: str) -> str:
     """SQL of (label, id, k) with the token set of each label of ``source``, as in token_set."""
     return f"""(SELECT label, id, array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), ' ') AS k FROM
@@ -565,7 +687,7 @@ def _token_key(source: str) -> str:
     m AS (SELECT k, MAX(id) AS id FROM n WHERE k <> '' GROUP BY k)
     SELECT c.label, m.id AS match FROM c LEFT JOIN m ON m.k = c.k"""
 )
-def lexical_match_all(spark: SparkSession, sf: str) -> DataFrame:
+def lexical_match(spark: SparkSession, sf: str) -> DataFrame:
     """Every label with the node of its token set, or null."""
     c = table(spark, sf, "cat_data").where(F.col("label").isNotNull()).select("label").distinct()
     return lexical.lexical_match(c, table(spark, sf, "taxo_nodes").select("id", "label")).select("label", "match")
@@ -576,8 +698,7 @@ def lexical_match_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {GEO_SQL} SELECT tgt AS cluster_id, CAST(COUNT(*) AS BIGINT) AS n, MIN(src) AS first, MAX(src) AS last FROM e GROUP BY tgt HAVING COUNT(*) > 1")
 def emb_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    c = traindata.child_clusters(geo(spark, sf).edges)
-    return c.select("cluster_id", F.size("members").cast("bigint").alias("n"), F.element_at("members", 1).alias("first"), F.element_at("members", -1).alias("last"))
+    return traindata.cluster_sizes(traindata.child_clusters(geo(spark, sf).edges))
 
 
 @query(
@@ -618,6 +739,86 @@ def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
     return traindata.prompts(part(spark, sf), c)
 
 
+_SHARED = """, top AS (SELECT node, anc FROM c WHERE anc <> 0), q AS (SELECT DISTINCT node FROM c WHERE anc = 0 AND node % 50 = 0),
+ av AS (SELECT q.node, (SELECT COUNT(DISTINCT node) FROM c WHERE anc = 0) - COUNT(DISTINCT x.node) - CASE WHEN COUNT(DISTINCT x.node) = 0 THEN 1 ELSE 0 END AS n
+   FROM q LEFT JOIN top t ON t.node = q.node LEFT JOIN top x ON x.anc = t.anc GROUP BY q.node)"""
+
+
+@query(GEO_C + _SHARED + " SELECT node AS query, CAST(least(7, n) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_related FROM av WHERE n > 0")
+def unrelated_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of seven unrelated nodes were drawn for every id divisible by 50 (all seven, wherever there are as many), and how many of them share an ancestor."""
+    t = geo(spark, sf)
+    drawn = Scratch(spark, "drawn").keep(traindata.negatives(t, t.nodes.where(F.col("id") % 50 == 0).select("id"), 7))
+    up = t.closure().where(F.col("anc") != 0).select("node", "anc")
+    shared = drawn.join(up.withColumnRenamed("node", "query"), "query").join(up.select(F.col("node").alias("negative"), "anc"), ["negative", "anc"], "left_semi").select("query", "negative").distinct()
+    marked = drawn.join(shared.withColumn("_s", F.lit(1)), ["query", "negative"], "left")
+    return marked.groupBy("query").agg(F.countDistinct("negative").alias("n"), F.count("_s").alias("n_related"))
+
+
+_POSITIVE_COUNT = "SELECT node AS sub, COUNT(*) AS n FROM c WHERE dist <= 2 GROUP BY node"
+
+
+@query(GEO_C + f" SELECT sub, CAST(2 * n AS BIGINT) AS n_easy, CAST(n AS BIGINT) AS n_hard, CAST(0 AS BIGINT) AS n_wrong FROM ({_POSITIVE_COUNT})")
+def negative_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Easy negatives at a rate of two and hard ones at a rate of one, by subclass, and how many of them are ancestors after all."""
+    t = geo(spark, sf)
+    scratch = Scratch(spark, "drawn")
+    pos = scratch.keep(traindata.subsumption_positives(t))
+    easy = traindata.easy_negatives(t, pos, 2).select("sub", "sup", F.lit(1).alias("easy"), F.lit(0).alias("hard"))
+    hard = traindata.hard_negatives(t, pos, 1).select("sub", "sup", F.lit(0).alias("easy"), F.lit(1).alias("hard"))
+    wrong = t.closure().select(F.col("node").alias("sub"), F.col("anc").alias("sup"), F.lit(1).alias("wrong"))
+    rows = scratch.keep(easy.unionByName(hard)).join(wrong, ["sub", "sup"], "left")
+    return rows.groupBy("sub").agg(F.sum("easy").alias("n_easy"), F.sum("hard").alias("n_hard"), F.count("wrong").alias("n_wrong"))
+
+
+@query("WITH n AS (SELECT DISTINCT l_orderkey AS seed, l_partkey AS id FROM lineitem WHERE l_partkey <> l_orderkey) SELECT seed, seed AS a, id AS b FROM n")
+def seed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of each seed with what was retrieved for it, orders standing for seeds and their parts for what they retrieve."""
+    n = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("seed"), F.col("l_partkey").alias("id"))
+    return enrich.pair_bases(n).select(F.col("a").alias("seed"), "a", "b")
+
+
+@query(
+    f"""WITH {GEO_SQL}, x AS (SELECT CAST(2000000000 + n_nationkey AS BIGINT) AS id, lower(n_name) AS label FROM nation UNION ALL SELECT 3000000000 + c_custkey, c_name FROM customer
+      UNION ALL SELECT 9000000000 + s_suppkey, s_name FROM supplier)
+    SELECT x.id, CAST(CASE WHEN n.id IS NULL THEN 0 WHEN n.label = x.label THEN 1 ELSE 2 END AS INTEGER) AS code FROM x LEFT JOIN n ON n.id = x.id"""
+)
+def add_nodes_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes with a new label, ones that stand already, and new ones."""
+    n, c, s = table(spark, sf, "nation"), table(spark, sf, "customer"), table(spark, sf, "supplier")
+    new = n.select((F.lit(2_000_000_000) + F.col("n_nationkey")).cast("bigint").alias("id"), F.lower("n_name").alias("label"))
+    new = new.unionByName(c.select((F.lit(3_000_000_000) + F.col("c_custkey")).cast("bigint").alias("id"), F.col("c_name").alias("label")))
+    new = new.unionByName(s.select((F.lit(9_000_000_000) + F.col("s_suppkey")).cast("bigint").alias("id"), F.col("s_name").alias("label")))
+    return geo(spark, sf).add_nodes(new)[1]
+
+
+@query(f"WITH {GEO_SQL} SELECT src, tgt FROM e WHERE NOT (tgt BETWEEN 2000000000 AND 2999999999 AND src >= 4000000000)")
+def remove_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """What remains when no supplier is in a nation any more."""
+    t = geo(spark, sf)
+    return t.remove_edges(t.edges.where((F.col("src") >= 4_000_000_000) & (F.col("tgt") >= 2_000_000_000)).select("src", "tgt")).edges.select("src", "tgt")
+
+
+@query(
+    f"""WITH {GEO_SQL} SELECT e.src, e.tgt, CASE WHEN e.tgt = 0 THEN 'top' ELSE e.label END AS edge_label, CASE WHEN n.id % 50 = 0 THEN 'Node ' || n.id ELSE n.label END AS src_label
+    FROM e JOIN n ON n.id = e.src"""
+)
+def relabel(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of nodes and edges, read back after some were set anew."""
+    t = geo(spark, sf)
+    named = t.set_labels(t.nodes.where(F.col("id") % 50 == 0).select("id", F.concat(F.lit("Node "), F.col("id").cast("string")).alias("label")))
+    named = named.set_edge_labels(t.edges.where(F.col("tgt") == 0).select("src", "tgt", F.lit("top").alias("label")))
+    pairs = named.edge_labels_of(t.edges.select("src", "tgt")).select("src", "tgt", F.col("label").alias("edge_label"))
+    who = named.labels_of(t.edges.select(F.col("src").alias("node")).distinct()).select(F.col("node").alias("src"), F.col("label").alias("src_label"))
+    return pairs.join(who, "src").select("src", "tgt", "edge_label", "src_label")
+
+
+@query(GEO_C + " SELECT n.id, CAST(COUNT(c.anc) AS BIGINT) AS depth FROM n LEFT JOIN c ON c.node = n.id GROUP BY n.id")
+def tree_depth(spark: SparkSession, sf: str) -> DataFrame:
+    t = geo(spark, sf)
+    return TreeTaxonomy(t.nodes, t.edges).depth()
+
+
 @query()
 def contrastive_triples(spark: SparkSession, sf: str) -> DataFrame:
     return traindata.contrastive_triples(geo(spark, sf), n_negatives=3)
@@ -691,28 +892,52 @@ def size_text(spark: SparkSession, sf: str) -> DataFrame:
 # -- pipelines with the stand-in models
 
 
+def _acyclic(spark: SparkSession, sf: str) -> Taxonomy:
+    """The project's own taxonomy without the edges on its cycles, every top under the root concept."""
+    t = _own(spark, sf)
+    scratch = Scratch(spark, "own")
+    edges = scratch.keep(t.edges.join(cl.cyclic_edges(t.edges), ["src", "tgt"], "left_anti"))
+    whole = Taxonomy(scratch.keep(t.nodes), edges).attach_root()
+    return Taxonomy(scratch.keep(whole.nodes), scratch.keep(whole.edges))
+
+
+def _label_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, embedding): the usable label vectors, one per category."""
+    v = table(spark, sf, "label_vectors").where(F.size("embedding") == 64)
+    v = v.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists("embedding", lambda x: x != 0))
+    one = v.groupBy(F.col("cat_id").alias("id")).agg(F.min("embedding").alias("embedding"))
+    return Scratch(spark, "vectors").keep(one.select("id", vectors.unit(F.col("embedding")).alias("embedding")))
+
+
 @query()
-def manual_placement(spark: SparkSession, sf: str) -> DataFrame:
-    """Places a new concept named after each nation and market segment below the nations."""
-    t = geo(spark, sf)
-    top = t.nodes.where(F.col("id") < 3_000_000_000)
-    small = Taxonomy(Scratch(spark, "nations").keep(top), space.induced(top, t.edges))
-    n = top.where(F.col("id") >= 2_000_000_000)
-    seg = table(spark, sf, "customer").select((F.lit(2_000_000_000) + F.col("c_nationkey")).cast("bigint").alias("id"), F.lower("c_mktsegment").alias("seg")).distinct()
-    q = n.join(seg, "id").select(F.concat_ws(" ", "label", "seg").alias("label"), "id")
-    q = Scratch(spark, "asked").keep(q.withColumn("query_id", F.md5("label")))
-    placed = enrich.place(small, q, q.select("query_id", F.col("id").alias("node")), InsertionConfig(strict=False, crop_top=False))
-    return placed.log.select("label", "node", "role", F.round("p_sup", 6).alias("p_sup"), F.round("p_sub", 6).alias("p_sub"))
+def enrich_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """Concepts generated between every category whose id is divisible by 50 and its nearest ones among all, placed and inserted: the new edges."""
+    t, v = _acyclic(spark, sf), _label_vectors(spark, sf)
+    seeds = t.nodes.where((F.col("id") % 50 == 0) & (F.col("id") != 0)).select("id")
+    grown, _, _ = enrich.enrich_seeds(t, seeds, v, models.common_words, InsertionConfig(retrieve_size=10, threshold=0.5), update=True)
+    name = grown.nodes.select("id", "label")
+    new = grown.edges.where(F.col("label") == "new").select("src", "tgt")
+    named = new.join(name.select(F.col("id").alias("src"), F.col("label").alias("sub")), "src").join(name.select(F.col("id").alias("tgt"), F.col("label").alias("sup")), "tgt")
+    return named.select("src", "tgt", "sub", "sup")
 
 
 @query()
-def move_select(spark: SparkSession, sf: str) -> DataFrame:
-    """Proposed parents of the nations by search over the regions."""
-    t = geo(spark, sf)
-    top = t.nodes.where(F.col("id") < 3_000_000_000)
-    small = Taxonomy(Scratch(spark, "nations").keep(top), space.induced(top, t.edges))
-    targets = top.where(F.col("id") >= 2_000_000_000).select("id")
-    moves = move.predict_moves(small, targets, None, MoveConfig(selection_features=("parent",), weights=(1.0,)))
-    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
-    return moves.select("target", text("new_parents").alias("new_parents"), text("old_parents").alias("old_parents"), "moved")
+def move_retrieved(spark: SparkSession, sf: str) -> DataFrame:
+    """Every leaf whose id is divisible by 50 re-homed: parents retrieved among all categories, selected by both features, moved. Gives the targets'
+    edges before and after."""
+    t, v = _acyclic(spark, sf), _label_vectors(spark, sf)
+    targets = t.leaves().where(F.col("id") % 50 == 0).select("id")
+    plan = Scratch(spark, "plan").keep(move.predict_moves(t, targets, v, MoveConfig(method="rag", candidate_top_level=0, candidate_bottom_level=1)))
+    after, _, _ = move.apply_moves(t, plan)
+    edges = lambda x, when: x.edges.join(targets.withColumnRenamed("id", "src"), "src", "left_semi").select(F.lit(when).alias("state"), "src", "tgt", "label")
+    return edges(t, "before").unionByName(edges(after, "after"))
+
 
+@query()
+def manual_placement(spark: SparkSession, sf: str) -> DataFrame:
+    """Places a narrower concept, named after it, below every category whose id is divisible by 50."""
+    t = _acyclic(spark, sf)
+    q = t.nodes.where((F.col("id") % 50 == 0) & (F.col("id") != 0) & F.col("label").isNotNull())
+    q = Scratch(spark, "asked").keep(q.select("id", F.concat(F.lit("Deluxe "), "label").alias("label"), F.col("id").alias("query_id")))
+    placed = enrich.place(t, q, q.select("query_id", F.col("id").alias("node")), InsertionConfig(threshold=0.6))
+    return placed.log.select("label", "node", "role", F.round("p_sup", 6).alias("p_sup"), F.round("p_sub", 6).alias("p_sub"))

@@ -5,11 +5,13 @@ Random choices are orders by md5 of the row's keys and a seed, so a result depen
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxograft.model import ROOT_ID, Taxonomy
-from taxograft.operators.numbering import dense_numbers, sum_before
+from taxograft.operators.numbering import dense_numbers, ordered_numbers, sum_before
 from taxograft.session import Scratch
 
 
@@ -19,9 +21,15 @@ def hashed(seed: object, *columns: str | Column) -> Column:
 
 
 def child_clusters(edges: DataFrame) -> DataFrame:
-    """(cluster_id, members array<bigint>): the children of each node that has more than one, sorted."""
-    kids = edges.select("tgt", "src").distinct().groupBy("tgt").agg(F.array_sort(F.collect_list("src")).alias("members"))
-    return kids.where(F.size("members") > 1).select(F.col("tgt").alias("cluster_id"), "members")
+    """(cluster_id, member): the children of each node that has more than one, a row each."""
+    kids = edges.select(F.col("tgt").alias("cluster_id"), F.col("src").alias("member")).distinct()
+    many = kids.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("cluster_id")
+    return kids.join(many, "cluster_id", "left_semi")
+
+
+def cluster_sizes(clusters: DataFrame) -> DataFrame:
+    """(cluster_id, n, first, last): the number of members of each cluster, the smallest and the largest."""
+    return clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("first"), F.max("member").alias("last"))
 
 
 def num_pairs(n: Column, cover: int) -> Column:
@@ -39,7 +47,7 @@ def cluster_pairs(edges: DataFrame, cover: int = 2) -> DataFrame:
     pair that is not wanted is ever built.
     """
     kids = edges.select("tgt", "src").distinct()
-    order = kids.withColumn("i", F.row_number().over(Window.partitionBy("tgt").orderBy("src")) - 1)
+    order = ordered_numbers(kids, "src", "tgt", name="i").withColumn("i", F.col("i").cast("int"))
     size = kids.groupBy("tgt").agg(F.count(F.lit(1)).cast("int").alias("n"))
     m = order.join(size, "tgt").where(F.col("n") > 1).select(F.col("tgt").alias("cluster_id"), "i", "n", F.col("src").alias("a"))
     ratio, rest = F.floor(F.lit(cover) / (F.col("n") - 1)).cast("int"), (F.lit(cover) % (F.col("n") - 1)).cast("int")
@@ -58,37 +66,83 @@ def cluster_pairs(edges: DataFrame, cover: int = 2) -> DataFrame:
 
 
 def top_branches(taxonomy: Taxonomy) -> DataFrame:
-    """(node, branch): the strict ancestors of each node other than the root concept; nodes right under it have none."""
-    return taxonomy.closure().where(F.col("anc") != ROOT_ID).select("node", F.col("anc").alias("branch"))
+    """(node, branch): the strict ancestors of each node that have no strict ancestor but the root concept; nodes right under it have none. Two
+    nodes share a strict ancestor besides the root concept if and only if they share a branch."""
+    up = taxonomy.closure().where(F.col("anc") != ROOT_ID).select("node", F.col("anc").alias("branch"))
+    return up.join(up.select(F.col("node").alias("branch")).distinct(), "branch", "left_anti").select("node", "branch")
+
+
+#: Steps between the places of one row's draws; a step that doesn't divide the number of places visits each of them once.
+_STEPS = (1_000_003, 999_983)
+
 
+def _place(seed: int, draw: Column, places: Column, *key: str) -> Column:
+    """The place of a row's n-th draw: a start by hash, then steps round all places, so no place is drawn twice before all were."""
+    start = F.conv(F.substring(hashed(seed, *key), 1, 12), 16, 10).cast("bigint")
+    step = F.when(places % _STEPS[0] != 0, F.lit(_STEPS[0])).otherwise(F.lit(_STEPS[1]))
+    return F.pmod(start + draw.cast("bigint") * step, places)
 
-def negatives(taxonomy: Taxonomy, queries: DataFrame, n: int, seed: int = 0, tries: int = 8) -> DataFrame:
-    """(query, negative): up to ``n`` nodes per query (id) that share no strict ancestor with it but the root concept, by hash order.
 
-    Candidates are drawn by position: the query's hash picks ``n * tries`` places in a dense numbering of the nodes, so the work is
-    linear in the queries whatever the taxonomy's size; draws that fail the test are dropped.
+def _draw_until(scratch: Scratch, rows: DataFrame, keys: list[str], n: int, tries: int, fits: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(keys, t, id): of each row (keys, places) the first ``n`` draws that fit, in order of the draws.
+
+    ``fits`` takes (keys, places, t) and gives (keys, t, id) of the draws that fit. Most rows are served by the first ``n * tries`` draws; those
+    short of ``n`` draw on, four times as often a round, until they are served or have drawn every place: nothing is lost.
+    """
+    rows = scratch.keep(rows.where(F.col("places") > 0).select(*keys, "places"))
+    found: list[DataFrame] = []
+    low, high, now = 0, n * tries, rows
+    while True:
+        draws = now.withColumn("t", F.explode(F.sequence(F.lit(low).cast("bigint"), F.least(F.lit(high).cast("bigint"), F.col("places")) - 1)))
+        found.append(scratch.keep(fits(draws)))
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        have = every.groupBy(*keys).agg(F.countDistinct("id").alias("_n"))
+        left = now.where(F.col("places") > high).join(have, keys, "left").where(F.coalesce("_n", F.lit(0)) < n).select(*keys, "places")
+        left = scratch.keep(left)
+        if left.isEmpty():
+            break
+        now, low, high = left, high, high * 4
+    once = every.groupBy(*keys, "id").agg(F.min("t").alias("t"))
+    return once.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("t"))).where(F.col("_r") <= n).drop("_r")
+
+
+def negatives(taxonomy: Taxonomy, queries: DataFrame, n: int, seed: int = 0, tries: int = 3) -> DataFrame:
+    """(query, negative): ``n`` nodes per query (id) that share no strict ancestor with it but the root concept, by hash order; fewer only where
+    there are no more.
+
+    Nodes are numbered branch by branch, and a query draws from the places outside its own branches, so even in a taxonomy that is
+    nearly all one branch draws fit. The work is linear in the queries whatever the taxonomy's size.
     """
     scratch = Scratch(taxonomy.spark, "negatives")
     under = taxonomy.closure().where(F.col("anc") == ROOT_ID).select(F.col("node").alias("id")).distinct()
-    numbered = scratch.keep(dense_numbers(under, "id"))
+    up = scratch.keep(top_branches(taxonomy).distinct())
+    home = up.groupBy(F.col("node").alias("id")).agg(F.min("branch").alias("branch"))
+    placed = under.join(home, "id", "left").select("id", F.coalesce("branch", F.lit(ROOT_ID).cast("bigint")).alias("branch"))
+    inside = dense_numbers(placed, "id", "branch", name="within")
+    sizes = placed.groupBy("branch").agg(F.count(F.lit(1)).alias("size")).withColumn("_h", F.md5(F.col("branch").cast("string")))
+    starts = scratch.keep(sum_before(sizes, "size", "_h", "start").select("branch", "start", "size"))
+    numbered = scratch.keep(inside.join(starts, "branch").select("id", (F.col("start") + F.col("within")).alias("place")))
     total = numbered.count()
     q = queries.select(F.col("id").alias("query")).distinct().join(under.withColumnRenamed("id", "query"), "query", "left_semi")
     if not total:
         return q.select("query", F.col("query").alias("negative")).limit(0)
-    at = F.conv(F.substring(hashed(seed, "query", "t"), 1, 12), 16, 10).cast("bigint") % total
-    drawn = q.select("query", F.explode(F.sequence(F.lit(1), F.lit(n * tries))).alias("t")).withColumn("place", at)
-    cand = drawn.join(numbered, "place").select("query", "t", F.col("id").alias("negative")).groupBy("query", "negative").agg(F.min("t").alias("t"))
-    cand = scratch.keep(cand)
-    up = scratch.keep(top_branches(taxonomy))
-    shared = (
-        cand.join(up.withColumnRenamed("node", "query"), "query")
-        .join(up.select(F.col("node").alias("negative"), "branch"), ["negative", "branch"], "left_semi")
-        .select("query", "negative")
-        .distinct()
-    )
-    ok = cand.join(shared, ["query", "negative"], "left_anti")
-    w = Window.partitionBy("query").orderBy("t")
-    return ok.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("query", "negative")
+    # a query right under the root concept shares nothing with anybody, and only has to leave itself out
+    own = q.join(up.withColumnRenamed("node", "query"), "query").join(starts, "branch").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("own"))
+    none = F.array().cast("array<struct<start:bigint,size:bigint>>")
+    spans = scratch.keep(q.join(own, "query", "left").select("query", F.coalesce("own", none).alias("own")))
+    free = spans.select("query", (F.lit(total) - F.aggregate("own", F.lit(0).cast("bigint"), lambda s, x: s + x["size"])).alias("places"))
+
+    def fits(draws: DataFrame) -> DataFrame:
+        at = draws.join(spans, "query").withColumn("place", _place(seed, F.col("t"), F.col("places"), "query"))
+        # over the query's own branches
+        at = at.withColumn("place", F.aggregate("own", F.col("place"), lambda p, x: F.when(p >= x["start"], p + x["size"]).otherwise(p)))
+        cand = at.join(numbered, "place").where(F.col("id") != F.col("query")).select("query", "t", "id")
+        shared = cand.join(up.select(F.col("node").alias("id"), "branch"), "id").join(up.select(F.col("node").alias("query"), "branch"), ["query", "branch"], "left_semi")
+        return cand.join(shared.select("query", "id").distinct(), ["query", "id"], "left_anti")
+
+    return _draw_until(scratch, free, ["query"], n, tries, fits).select("query", F.col("id").alias("negative"))
 
 
 def hold_out(sizes: DataFrame, target: int, seed: int = 0) -> DataFrame:
@@ -98,8 +152,8 @@ def hold_out(sizes: DataFrame, target: int, seed: int = 0) -> DataFrame:
 
 
 def contrastive_triples(taxonomy: Taxonomy, cover: int = 2, n_negatives: int = 9, eval_share: float = 0.1, seed: int = 0) -> DataFrame:
-    """(query_label, positive_label, negatives_label, split): pairs of siblings with negatives. Whole clusters go to ``eval``, about the share
-    of all pairs; which sibling is the query depends on the pair's hash."""
+    """(query_label, positive_label, negatives_label, split): pairs of siblings with negatives (an empty list where the taxonomy holds none). Whole
+    clusters go to ``eval``, about the share of all pairs; which sibling is the query depends on the pair's hash."""
     pairs = cluster_pairs(taxonomy.edges, cover)
     swap = F.substring(hashed(seed, "cluster_id", "a", "b"), 1, 1) < "8"
     p = Scratch(taxonomy.spark, "triples").keep(pairs.select("cluster_id", F.when(swap, F.col("a")).otherwise(F.col("b")).alias("query"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("positive")))
@@ -107,9 +161,9 @@ def contrastive_triples(taxonomy: Taxonomy, cover: int = 2, n_negatives: int = 9
     label = taxonomy.nodes.select("id", "label")
     named = neg.join(label.withColumnRenamed("id", "negative"), "negative").groupBy("query").agg(F.sort_array(F.collect_list("label")).alias("negatives_label"))
     split = F.when(F.conv(F.substring(hashed(seed, "cluster_id"), 1, 8), 16, 10).cast("double") < eval_share * 16.0**8, "eval").otherwise("train")
-    out = p.join(named, "query").join(label.select(F.col("id").alias("query"), F.col("label").alias("query_label")), "query")
+    out = p.join(named, "query", "left").join(label.select(F.col("id").alias("query"), F.col("label").alias("query_label")), "query")
     out = out.join(label.select(F.col("id").alias("positive"), F.col("label").alias("positive_label")), "positive")
-    return out.select("query_label", "positive_label", "negatives_label", split.alias("split"))
+    return out.select("query_label", "positive_label", F.coalesce("negatives_label", F.array().cast("array<string>")).alias("negatives_label"), split.alias("split"))
 
 
 def family_chunks(taxonomy: Taxonomy, max_size: int = 3, seed: int = 0) -> DataFrame:
@@ -117,8 +171,8 @@ def family_chunks(taxonomy: Taxonomy, max_size: int = 3, seed: int = 0) -> DataF
     consecutive chunks of ``max_size``."""
     d = taxonomy.closure().where((F.col("dist") <= 2) & (F.col("anc") != ROOT_ID)).select(F.col("anc").alias("cluster_id"), F.col("node").alias("member"))
     size = d.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    w = Window.partitionBy("cluster_id").orderBy(hashed(seed, "cluster_id", "member"), "member")
-    at = d.join(size.select("cluster_id"), "cluster_id", "left_semi").withColumn("i", F.row_number().over(w) - 1)
+    keyed = d.join(size.select("cluster_id"), "cluster_id", "left_semi").withColumn("_h", F.xxhash64("cluster_id", "member", F.lit(str(seed))))
+    at = ordered_numbers(keyed, "_h", "cluster_id", name="i").drop("_h")
     chunked = at.groupBy("cluster_id", F.floor(F.col("i") / max_size).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("i", "member"))).alias("m"))
     return chunked.select("cluster_id", "chunk", F.transform("m", lambda x: x["member"]).alias("members"))
 
@@ -138,7 +192,8 @@ def foreign_clusters(taxonomy: Taxonomy, chunks: DataFrame, n_positive: int, n_f
     """(cluster_key, members): up to ``n`` clusters of ``n_positive`` members of one chunk and ``n_foreign`` others that share only the root
     concept with the first."""
     base = chunks.where(F.size("members") >= max(1, n_positive)).select(F.concat_ws("_", "cluster_id", "chunk").alias("k"), "members")
-    base = base.orderBy(hashed(seed, "k"), "k").limit(n)
+    # the first n by hash, without sorting all in one place
+    base = sum_before(base.withColumn("_h", hashed(seed, "k")).withColumn("_one", F.lit(1)), "_one", "_h").where(F.col("before") < n).select("k", "members")
     first = base.select("k", F.element_at("members", 1).alias("query"), F.slice("members", 1, max(1, n_positive)).alias("own"))
     neg = negatives(taxonomy, first.select(F.col("query").alias("id")), n_foreign if n_positive else n_foreign - 1, seed)
     extra = neg.groupBy("query").agg(F.sort_array(F.collect_list("negative")).alias("others"))
@@ -165,43 +220,83 @@ def subsumption_positives(taxonomy: Taxonomy) -> DataFrame:
 
 
 def easy_negatives(taxonomy: Taxonomy, positives: DataFrame, rate: int = 1, seed: int = 0) -> DataFrame:
-    """(sub, sup): for each positive ``rate`` drawn nodes, a drawn ancestor (or the node itself) being replaced by a later draw."""
+    """(sub, sup): for each positive ``rate`` drawn nodes, a drawn ancestor (or the node itself) being replaced by a later draw; fewer only where
+    all other nodes are ancestors."""
     scratch = Scratch(taxonomy.spark, "easy")
     numbered = scratch.keep(dense_numbers(taxonomy.nodes.select("id").distinct(), "id"))
     total = numbered.count()
-    draw = positives.select("sub", "sup", F.explode(F.sequence(F.lit(1), F.lit(rate * 4))).alias("t"))
-    place = F.conv(F.substring(hashed(seed, "sub", "sup", "t"), 1, 12), 16, 10).cast("bigint") % max(1, total)
-    cand = scratch.keep(draw.withColumn("place", place).join(numbered, "place").select("sub", F.col("sup").alias("of"), "t", F.col("id").alias("sup")))
-    fine = cand.where(F.col("sub") != F.col("sup")).join(taxonomy.closure().select(F.col("node").alias("sub"), F.col("anc").alias("sup")), ["sub", "sup"], "left_anti")
-    w = Window.partitionBy("sub", "of").orderBy("t")
-    return fine.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rate).select("sub", "sup")
+    up = taxonomy.closure().select(F.col("node").alias("sub"), F.col("anc").alias("id"))
+    rows = positives.select("sub", F.col("sup").alias("of"), F.lit(total).cast("bigint").alias("places"))
+
+    def fits(draws: DataFrame) -> DataFrame:
+        cand = draws.withColumn("place", _place(seed, F.col("t"), F.col("places"), "sub", "of")).join(numbered, "place").select("sub", "of", "t", "id")
+        return cand.where(F.col("sub") != F.col("id")).join(up, ["sub", "id"], "left_anti").select("sub", "of", "t", "id")
+
+    return _draw_until(scratch, rows, ["sub", "of"], rate, 2, fits).select("sub", F.col("id").alias("sup"))
 
 
-def hard_negatives(taxonomy: Taxonomy, positives: DataFrame, rate: int = 1, seed: int = 0, tries: int = 8) -> DataFrame:
-    """(sub, sup): for each positive up to ``rate`` nodes one or two undirected steps from its superclass that are no ancestors of the
-    subclass (the subclass itself may be among them).
+def hard_negatives(taxonomy: Taxonomy, positives: DataFrame, rate: int = 1, seed: int = 0, tries: int = 8, widest: int = 5) -> DataFrame:
+    """(sub, sup): for each positive ``rate`` nodes one or two undirected steps from its superclass that are no ancestors of the
+    subclass (the subclass itself may be among them); where there are fewer, the rings are widened step by step. Fewer than ``rate`` come out
+    only where all that can be reached are ancestors.
 
-    The steps are drawn by hash from numbered neighbour lists, ``rate * tries`` walks per positive. Rings around a hub would hold all its
-    neighbours for each of them; the walks stay linear in the positives.
+    The steps are drawn by hash from numbered neighbour lists, ``rate * tries`` walks per positive, and up to ``widest`` of them for positives
+    that stay short. Rings around a hub would hold all its neighbours for each of them; the walks stay linear in the positives. What even
+    they leave short has little but ancestors around it, and its rings are walked whole.
     """
     scratch = Scratch(taxonomy.spark, "hard")
     e = taxonomy.edges.select("src", "tgt")
-    both = e.unionByName(e.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
+    both = scratch.keep(e.unionByName(e.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct())
     lists = scratch.keep(dense_numbers(both.select(F.col("tgt").alias("id"), F.col("src").alias("of")), "id", "of"))
     degree = scratch.keep(lists.groupBy("of").agg(F.count(F.lit(1)).alias("deg")))
+    up = taxonomy.closure().select(F.col("node").alias("sub"), F.col("anc").alias("sup"))
 
-    def step(df: DataFrame, at: str, salt: str) -> DataFrame:
-        d = df.join(degree.withColumnRenamed("of", at), at)
+    def step(df: DataFrame, salt: str) -> DataFrame:
+        d = df.join(degree.withColumnRenamed("of", "at"), "at")
         place = F.conv(F.substring(hashed(seed, F.lit(salt), "sub", "of", "t"), 1, 12), 16, 10).cast("bigint") % F.col("deg")
-        return d.withColumn("place", place).drop("deg").join(lists.withColumnRenamed("of", at), [at, "place"]).drop("place")
-
-    draws = positives.select("sub", F.col("sup").alias("of"), F.explode(F.sequence(F.lit(1), F.lit(rate * tries))).alias("t"))
-    one = step(draws.withColumn("at", F.col("of")), "at", "first").select("sub", "of", "t", F.col("id").alias("at"))
-    two = step(one.where(F.col("t") % 2 == 0), "at", "second").select("sub", "of", "t", F.col("id").alias("sup"))
-    cand = one.where(F.col("t") % 2 == 1).select("sub", "of", "t", F.col("at").alias("sup")).unionByName(two).where(F.col("sup") != F.col("of"))
-    fine = cand.groupBy("sub", "of", "sup").agg(F.min("t").alias("t")).join(taxonomy.closure().select(F.col("node").alias("sub"), F.col("anc").alias("sup")), ["sub", "sup"], "left_anti")
-    w = Window.partitionBy("sub", "of").orderBy("t", "sup")
-    return fine.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rate).select("sub", "sup")
+        return d.withColumn("place", place).drop("deg").join(lists.withColumnRenamed("of", "at"), ["at", "place"]).select("sub", "of", "t", F.col("id").alias("at"))
+
+    def fine(cand: DataFrame) -> DataFrame:
+        ends = cand.where(F.col("at") != F.col("of")).groupBy("sub", "of", F.col("at").alias("sup")).agg(F.min("t").alias("t"))
+        return ends.join(up, ["sub", "sup"], "left_anti").select("sub", "of", "sup", "t")
+
+    wanted = scratch.keep(positives.select("sub", F.col("sup").alias("of")).distinct())
+
+    def short_of(found: DataFrame) -> DataFrame:
+        have = found.groupBy("sub", "of").agg(F.countDistinct("sup").alias("_n"))
+        return scratch.keep(wanted.join(have, ["sub", "of"], "left").where(F.coalesce("_n", F.lit(0)) < rate).select("sub", "of"))
+
+    draws = wanted.select("sub", "of", F.explode(F.sequence(F.lit(1), F.lit(rate * tries))).alias("t"), F.col("of").alias("at"))
+    one = scratch.keep(step(draws, "first"))
+    ends = one.where(F.col("t") % 2 == 1).unionByName(step(one.where(F.col("t") % 2 == 0), "second"))
+    found = scratch.keep(fine(ends))
+    left = short_of(found)
+    for steps in range(2, widest + 1):
+        if left.isEmpty():
+            break
+        base = rate * tries * steps
+        walk = left.select("sub", "of", F.explode(F.sequence(F.lit(base + 1), F.lit(base + rate * tries))).alias("t"), F.col("of").alias("at"))
+        for i in range(steps):
+            walk = step(walk, f"step {i} of {steps}")
+        found = scratch.keep(found.unionByName(fine(walk)))
+        left = short_of(found)
+    ring, depth = left.select("sub", "of", F.col("of").alias("at")), 0
+    seen = scratch.keep(ring)
+    while not left.isEmpty():
+        depth += 1
+        grown = ring.join(both.select(F.col("src").alias("at"), F.col("tgt").alias("next")), "at").select("sub", "of", F.col("next").alias("at")).distinct()
+        ring = scratch.keep(grown.join(seen, ["sub", "of", "at"], "left_anti"))
+        if ring.isEmpty():
+            break
+        seen = scratch.keep(seen.unionByName(ring))
+        if depth >= 2:
+            every = fine(seen.withColumn("t", F.lit(1_000_000 + depth)))
+            found = scratch.keep(found.unionByName(every))
+            left = short_of(found)
+            ring = ring.join(left, ["sub", "of"], "left_semi")
+    once = found.groupBy("sub", "of", "sup").agg(F.min("t").alias("t"))
+    w = Window.partitionBy("sub", "of").orderBy("t", hashed(seed, "sub", "of", "sup"), "sup")
+    return once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rate).select("sub", "sup")
 
 
 def subsumption_pairs(taxonomy: Taxonomy, easy: int = 1, hard: int = 1, eval_share: float = 0.05, seed: int = 0) -> DataFrame:

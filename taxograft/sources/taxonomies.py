@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from taxograft.model import ATTRS, ORIGINAL, Taxonomy, TreeTaxonomy
 from taxograft.operators.lattice import transitive_reduction
+from taxograft.operators.numbering import latest_before
+from taxograft.sources import rdf
 from taxograft.session import Scratch
 
 _VARIANT_MAP = "map<string,variant>"
@@ -96,22 +98,19 @@ def link_iri(iris: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     return coded.join(known, coded["_id"] == known["id"], "left").drop("_id")
 
 
-_CLASS = r'(?s)<owl:Class\s+rdf:about="([^"]*)"\s*(?:/>|>(.*?)</owl:Class>)'
-
-
 def from_owl(spark: SparkSession, path: str) -> Taxonomy:
-    """RDF/XML (``owl:Class`` with ``rdf:about``, ``rdfs:label`` and ``rdfs:subClassOf rdf:resource``) or N-Triples.
+    """The classes of an RDF/XML, Turtle or N-Triples file, by their labels and ``rdfs:subClassOf`` links.
 
     Keeps the classes reachable from owl:Thing, which becomes node 0; ids are the integers after #, a class without one is an error; the
     smallest label counts, the fragment where there is none. Implied edges are removed, the others are ``original``.
     """
-    triples = _ntriples(spark, path) if path.endswith((".nt", ".n3", ".ttl")) else _rdfxml(spark, path)
     scratch = Scratch(spark, "owl")
-    t = scratch.keep(triples.distinct())
+    t = scratch.keep(rdf.triples(spark, path).where(F.col("p").endswith("subClassOf") | F.col("p").endswith("#label")).distinct())
     thing = "http://www.w3.org/2002/07/owl#Thing"
     ident = lambda c: F.when(F.col(c).isin(thing, "owl:Thing"), F.lit(0).cast("bigint")).otherwise(iri_id(F.col(c)))
-    sub = t.where(F.col("p").endswith("subClassOf")).select("s", "o")
-    named = t.where(F.col("p").endswith("label")).groupBy("s").agg(F.min("o").alias("label"))
+    # superclasses without a name (restrictions and the like) are no nodes
+    sub = t.where(F.col("p").endswith("subClassOf") & ~F.col("o").startswith("_:") & ~F.col("s").startswith("_:")).select("s", "o")
+    named = t.where(F.col("p").endswith("label") & F.col("literal")).groupBy("s").agg(F.min("o").alias("label"))
     linked = scratch.keep(sub.select(F.col("s"), ident("s").alias("src"), ident("o").alias("tgt")))
     edges = linked.where(F.col("src").isNotNull() & F.col("tgt").isNotNull()).select("src", "tgt", F.lit(ORIGINAL).alias("label")).distinct()
     from taxograft.operators.closure import closure
@@ -129,26 +128,6 @@ def from_owl(spark: SparkSession, path: str) -> Taxonomy:
     return Taxonomy(nodes, transitive_reduction(induced(keep, edges), closed))
 
 
-def _rdfxml(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
-    names = F.expr(f"regexp_extract_all(value, r'{_CLASS}', 1)")
-    bodies = F.expr(f"regexp_extract_all(value, r'{_CLASS}', 2)")
-    rows = text.select(F.explode(F.arrays_zip(names.alias("s"), bodies.alias("b"))).alias("x")).select("x.s", "x.b")
-    up = rows.select("s", F.lit("subClassOf").alias("p"), F.explode(F.expr("regexp_extract_all(b, r'<rdfs:subClassOf\\s+rdf:resource=\"([^\"]*)\"', 1)")).alias("o"))
-    lab = rows.select("s", F.lit("label").alias("p"), F.explode(F.expr("regexp_extract_all(b, r'(?s)<rdfs:label[^>]*>(.*?)</rdfs:label>', 1)")).alias("o"))
-    unescape = F.col("o")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        unescape = F.replace(unescape, F.lit(a), F.lit(b))
-    return up.unionByName(lab.withColumn("o", unescape))
-
-
-def _ntriples(spark: SparkSession, path: str) -> DataFrame:
-    line = r"^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|\"((?:[^\"\\]|\\.)*)\")"
-    part = lambda i: F.regexp_extract("value", line, i)
-    rows = spark.read.text(path).where(F.col("value").rlike(line))
-    return rows.select(part(1).alias("s"), part(2).alias("p"), F.when(part(3) != "", part(3)).otherwise(part(4)).alias("o"))
-
-
 def to_owl(taxonomy: Taxonomy, path: str, base: str = "http://taxograft.example/taxonomy") -> None:
     """RDF/XML as text files in a folder: a header, one class per line, a footer. The root concept is owl:Thing."""
     esc = F.col("label")
@@ -177,7 +156,7 @@ def load(spark: SparkSession, path: str, as_tree: bool = False) -> Taxonomy:
 def level_table(rows: DataFrame, levels: list[str], order: str, key: str = "CategoryID", part: str | None = None) -> DataFrame:
     """(key, name, level, parent) of a table whose first non-empty column among ``levels`` holds a row's name, its place the level.
 
-    Rows are read in ``order``, per ``part`` (a file or site; a file's order can't be split further). The running breadcrumb is cut to level - 1
+    Rows are read in the numeric ``order``, per ``part`` (a file or site), stretch by stretch, so that no file is sorted in one task. The running breadcrumb is cut to level - 1
     before each row, so a row that skips a level hangs under the last id above it; 0 at the top.
     """
     filled = lambda c: F.col(c).isNotNull() & (F.trim(c) != "")
@@ -185,12 +164,9 @@ def level_table(rows: DataFrame, levels: list[str], order: str, key: str = "Cate
     name = F.coalesce(*[F.when(filled(c), F.col(c)) for c in levels])
     base = rows.select(F.col(key).cast("bigint").alias("key"), name.alias("name"), level.alias("level"), F.col(order).alias("_o"), (F.col(part) if part else F.lit("")).cast("string").alias("_p"))
 
-    from pyspark.sql import Window
-
     # the parent is the latest earlier row of a smaller level; one running maximum per level, whatever the number of rows
-    w = Window.partitionBy("_p").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.max(F.when(F.col("level") == i, F.struct("_o", F.col("key")))).over(w).alias(f"_l{i}") for i in range(1, len(levels))]
-    out = base.where(F.col("level").isNotNull()).select("*", *seen)
+    seen = {f"_l{i}": F.when(F.col("level") == i, F.struct("_o", F.col("key"))) for i in range(1, len(levels))}
+    out = latest_before(base.where(F.col("level").isNotNull()), "_o", seen, "_p")
     best = F.lit(None).cast("struct<_o:bigint,key:bigint>")
     for i in range(1, len(levels)):
         cand = F.when(F.col("level") > i, F.col(f"_l{i}"))

@@ -1,13 +1,18 @@
+import dataclasses
+import re
+
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from taxograft.config import InsertionConfig, MoveConfig, from_dict, update
+from taxograft.config import InsertionConfig, MoveConfig, from_dict, from_yaml, update
 from taxograft.functions import lexical, models
 from taxograft.functions.names import canonical_name
 from taxograft.operators import vectors as vec
 from taxograft.operators.closure import closure
-from taxograft.plans import enrich, move, taxonomy_queries, traindata
-from tests.helpers import make, rows
+from taxograft.plans import enrich, move, pipelines, taxonomy_queries, traindata
+from tests.helpers import column, make, rows
 
 WORDS = [(2, 1), (3, 1), (4, 2)]
 
@@ -37,7 +42,7 @@ def test_lexical_match_of_all_labels(spark, tmp_path):
     spark.createDataFrame(list(enumerate(names)), "cat_id long, label string").write.parquet(f"{tmp_path}/cat_data.parquet")
     nodes = [(1, "club of golf"), (2, "golf club"), (3, "CAFÉ CHAIR"), (4, "straw hat 12"), (5, "one two three four"), (6, None)]
     spark.createDataFrame(nodes, "id long, label string").write.parquet(f"{tmp_path}/taxo_nodes.parquet")
-    assert dict(rows(taxonomy_queries.QUERIES["lexical_match_all"](spark, str(tmp_path)), "label", "match")) == dict(zip(names, (2, 3, 4, 5, None)))
+    assert dict(rows(taxonomy_queries.QUERIES["lexical_match"](spark, str(tmp_path)), "label", "match")) == dict(zip(names, (2, 3, 4, 5, None)))
 
 
 def test_hypernyms(spark):
@@ -177,6 +182,158 @@ def test_config():
         pass
 
 
+@pytest.mark.filterwarnings("error")
+def test_settings_by_their_public_names(tmp_path):
+    path = tmp_path / "settings.yml"
+    path.write_text(
+        "mode: manual\nrand_seed: 1\ntransitive_reduction: false\nlogging: [system, insert]\nauto_config: {max_outer_loop: 3}\nsemiauto_config: {semiauto_seeds: [4, sock]}\n"
+        "manual_config: {input_concepts: [blue sock], manual_concept_bases: [[2, 3]], auto_bases: true}\nret_config: {retrieve_size: 5, restrict_combinations: false}\n"
+        "gen_config: {ignore_label: [x], filter_subset: false}\nsub_config:\n  subgraph: {subgraph_crop: false, subgraph_force: [[a, b]], subgraph_strict: false}\n"
+        "  search: {threshold: 0.7, tolerance: 2, force_base_subsumptions: true, force_prune: true}\nupdate_config: {do_update: false, do_lexical_check: false}\n"
+    )
+    c, d = from_yaml(InsertionConfig, str(path)), InsertionConfig()
+    changed = {f.name for f in dataclasses.fields(c) if getattr(c, f.name) != getattr(d, f.name)}
+    assert changed == {f.name for f in dataclasses.fields(c)} - {"batch_size", "eqv_score_func"}
+    assert c.subgraph_force == (("a", "b"),) and c.logging == ("system", "insert") and c.manual_concept_bases == ((2, 3),)
+    m = from_dict(MoveConfig, {"ret_config": {"ret_ignore": re.compile("Old")}, "gen_config": {"do_generate": True}, "sub_config": {"subgraph": {"sub_ignore": [3, 4]}}, "auto_config": {"ignore": "Test"}})
+    assert m.ret_ignore == "Old" and m.do_generate and m.sub_ignore == (3, 4) and m.ignore == "Test"
+    with pytest.warns(UserWarning, match="nonsense"):
+        from_dict(InsertionConfig, {"nonsense": 1})
+
+
+def _embed(label):
+    """Two coordinates: sock and hat."""
+    return F.array(*[(F.lower(label).contains(w)).cast("float") + F.lit(0.01).cast("float") for w in ("sock", "hat")])
+
+
+def test_insertion_runs(spark, capsys):
+    labels = {0: "Root Concept", 1: "sock", 2: "red wool sock", 3: "blue wool sock", 4: "cap", 5: "hat"}
+    t = make(spark, [(1, 0), (2, 1), (3, 1), (4, 0), (5, 0)], labels)
+    full = pipelines.Models(_embed, models.common_words, models.word_scorer)
+    for mode, lacking in (("auto", dataclasses.replace(full, generator=None)), ("semiauto", dataclasses.replace(full, scorer=None)), ("manual", pipelines.Models(_embed)), ("auto", dataclasses.replace(full, embedder=None))):
+        with pytest.raises(pipelines.MissingModel):
+            pipelines.run_insertion(t, lacking, mode=mode, input_concepts=("x",), semiauto_seeds=(2,))
+    with pytest.raises(pipelines.MissingModel, match="auto_bases"):
+        pipelines.run_insertion(t, pipelines.Models(scorer=models.word_scorer), mode="manual", input_concepts=("x",), auto_bases=True)
+    for wrong in ({"mode": "manual"}, {"mode": "semiauto"}, {"mode": "other"}, {"mode": "manual", "input_concepts": ("a",), "manual_concept_bases": ((1,), (2,))}):
+        with pytest.raises(ValueError):
+            pipelines.run_insertion(t, full, **wrong)
+    auto = pipelines.run_insertion(t, full, retrieve_size=2, threshold=1.0)
+    assert "sock wool" in dict(rows(auto.taxonomy.nodes, "label", "id")) and auto.counts["classes"] == 1
+    assert "Added 1 new classes" in capsys.readouterr().out
+    seeds = pipelines.run_insertion(t, full, mode="semiauto", semiauto_seeds=("red wool sock", 5), retrieve_size=3, threshold=1.0, do_update=False, logging=0)
+    assert seeds.taxonomy is None and column(seeds.log, "label")[0] == "sock wool" and capsys.readouterr().out == ""
+    manual = pipelines.run_insertion(t, full, mode="manual", input_concepts=("green wool sock", "straw hat"), manual_concept_bases=((2, "blue wool sock"), ()), threshold=1.0, logging=("inner_loop",))
+    names = dict(rows(manual.taxonomy.nodes, "label", "id"))
+    assert (names["green wool sock"], 1) in rows(manual.taxonomy.edges, "src", "tgt") and (names["straw hat"], 5) in rows(manual.taxonomy.edges, "src", "tgt")
+    assert "superclass: " in capsys.readouterr().out
+    based = pipelines.run_insertion(t, full, mode="manual", input_concepts=("green wool sock",), auto_bases=True, retrieve_size=3, threshold=1.0, do_update=False, logging=False)
+    assert rows(based.log, "node", "role") == [(1, "superclass")]
+    kept = pipelines.run_insertion(t, full, mode="manual", input_concepts=("wool sock",), manual_concept_bases=((2, 3),), threshold=1.0, transitive_reduction=False)
+    assert {(2, 1), (3, 1)} <= set(rows(kept.taxonomy.edges, "src", "tgt"))
+
+
+def test_move_runs(spark):
+    t = make(spark, [(1, 0), (2, 0), (3, 1), (4, 2), (5, 2), (6, 1)], {0: "Root Concept", 1: "sock", 2: "hat", 3: "straw hat", 4: "felt hat", 5: "sun hat", 6: "wool sock"})
+    full = pipelines.Models(_embed, lambda labels: F.element_at(labels, 1), models.word_scorer)
+    run = pipelines.run_moves(t, full, mode="manual", input_concepts=(3, 6, 77), logging=0)
+    assert run.counts == {"kept": 1, "moved": 1} and (3, 2) in rows(run.taxonomy.edges, "src", "tgt")
+    plan = pipelines.run_moves(t, full, do_update=False, logging=0, ignore=(3,))
+    assert plan.taxonomy is None and column(plan.log, "target") == [4, 5, 6]
+    assert column(pipelines.run_moves(t, full, do_update=False, logging=0, ignore="wool").log, "target") == [3, 4, 5]
+    shut = pipelines.run_moves(t, full, mode="manual", input_concepts=(3,), sub_ignore=(2,), always_include_old=False, do_update=False, logging=0)
+    assert [list(r["new_parents"]) for r in shut.log.collect()] == [[1]]
+    rag = pipelines.run_moves(t, full, method="rag", do_generate=True, retrieve_size=1, always_include_old=False, mode="manual", input_concepts=(3,), do_update=False, logging=0)
+    assert [list(r["new_parents"]) for r in rag.log.collect()] == [[2]]
+    other = pipelines.run_moves(t, full, method="rag", do_generate=True, retrieve_size=1, always_include_old=False, ret_ignore=(2,), mode="manual", input_concepts=(3,), do_update=False, logging=0)
+    assert [list(r["new_parents"]) for r in other.log.collect()] != [[2]]
+    for lacking, wrong in ((pipelines.Models(_embed), {}), (pipelines.Models(scorer=models.word_scorer), {"method": "rag"}), (dataclasses.replace(full, generator=None), {"method": "rag", "do_generate": True})):
+        with pytest.raises(pipelines.MissingModel):
+            pipelines.run_moves(t, lacking, **wrong)
+    for wrong in ({"mode": "manual"}, {"mode": "x"}, {"method": "x"}, {"threshold": 2.0}):
+        with pytest.raises(ValueError):
+            pipelines.run_moves(t, full, **wrong)
+
+
+def test_entities_and_index_cache(spark):
+    t = make(spark, [(1, 0), (2, 1)], {0: "Root Concept", 1: "sock", 2: "hat"})
+    v = spark.createDataFrame([(1, [3.0, 4.0])], "id bigint, embedding array<double>")
+    e = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("c", None, "sock")], "query_id string, id bigint, text string")
+    got = {r["query_id"]: r["embedding"] for r in vec.entity_unit_vectors(e, v, t.nodes, _embed).collect()}
+    assert np.allclose(got["a"], [0.6, 0.8]) and got["b"][1] > 0.99 and got["c"][0] > 0.99
+    with pytest.raises(ValueError):
+        vec.entity_unit_vectors(spark.createDataFrame([("d", 77, None)], e.schema), v, t.nodes, _embed)
+    cache = pipelines.IndexCache(_embed)
+    first = cache.store(t)
+    assert first.ntotal == 3 and cache.store(t) is first
+    assert cache.store(t.set_labels(spark.createDataFrame([(1, "boot")], "id bigint, label string"))) is first
+    assert cache.store(t.add_nodes(spark.createDataFrame([(9, "cap")], "id bigint, label string"))[0]) is not first
+    cache.clear(t)
+    cache.clear()
+
+
+def test_many_queries_and_uneven_stores(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    m = rng.standard_normal((300, 8))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id bigint, embedding array<double>")
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    want = {m_: rows(vec.top_k(q, v, 5, m_), "query_id", "rank", "id") for m_ in ("ip", "l2")}
+    monkeypatch.setattr(vec, "BLOCK_NUMBERS", 80)
+    monkeypatch.setattr(vec, "SLICE", 70)
+    assert {m_: rows(vec.top_k(q, v, 5, m_), "query_id", "rank", "id") for m_ in ("ip", "l2")} == want
+    odd = v.unionByName(spark.createDataFrame([(900, [1.0]), (901, None), (902, [float("nan")] * 8)], "id bigint, embedding array<double>"))
+    store = vec.VectorStore(odd).train_cells(sample_rows=200)
+    assert len(store.centroids) <= 20
+    found = store.search(q, 5, nprobe=len(store.centroids))
+    assert rows(found, "query_id", "rank", "id") == want["ip"]
+    assert vec.VectorStore(v.limit(0)).train_cells().search(q, 5, nprobe=1).count() == 0
+
+
+def test_scores_are_asked_once(spark):
+    cache = models.ScoreCache(spark, models.word_scorer)
+    pairs = spark.createDataFrame([("red sock", "sock"), ("red sock", "sock"), (None, "sock")], "sub string, sup string")
+    assert rows(cache.of(pairs).fillna("-"), "sub", "p") == [("-", 0.0), ("red sock", 1.0)]
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        calls.add(len(a))
+        return pd.Series([0.5] * len(a))
+
+    cache = models.ScoreCache(spark, lambda a, b: counted(a, b))
+    for _ in range(12):
+        assert cache.of(pairs).count() == 2
+    assert calls.value == 2
+    assert cache.of(pairs.unionByName(spark.createDataFrame([("x", "y")], "sub string, sup string"))).count() == 3 and calls.value == 3
+
+
+def test_one_branch_of_nearly_all(spark):
+    """Nothing is lost where nearly every draw would fall into the query's own branch."""
+    edges = [(1, 0), (2, 0)] + [(i, 1) for i in range(10, 400)] + [(i, 2) for i in range(1000, 1004)]
+    t = make(spark, edges)
+    asked = spark.createDataFrame([(i,) for i in range(10, 60)], "id bigint")
+    neg = rows(traindata.negatives(t, asked, 5), "query", "negative")
+    per = {}
+    for q, x in neg:
+        per.setdefault(q, set()).add(x)
+    assert set(per) == set(range(10, 60)) and all(len(v) == 5 and v <= {1, 2, *range(1000, 1004)} for v in per.values())
+    # six nodes is all there is
+    assert traindata.negatives(t, asked.limit(1), 50).count() == 6
+    trip = traindata.contrastive_triples(t, n_negatives=2)
+    assert trip.count() == traindata.cluster_pairs(t.edges, 2).count()
+    # a chain: nearly all that is near a superclass are ancestors
+    chain = make(spark, [(i + 1, i) for i in range(30)] + [(99, 30)])
+    pos = traindata.subsumption_positives(chain)
+    anc = {(r["node"], r["anc"]) for r in chain.closure().collect()}
+    for found in (traindata.easy_negatives(chain, pos, 3), traindata.hard_negatives(chain, pos, 1)):
+        assert not set(rows(found, "sub", "sup")) & anc
+    n = {r["sub"]: r["count"] for r in traindata.easy_negatives(chain, pos, 3).groupBy("sub").count().collect()}
+    own = {r["sub"]: r["count"] for r in pos.groupBy("sub").count().collect()}
+    assert all(n.get(s, 0) == own[s] * min(3, 32 - 1 - sum(a == s for a, _ in anc)) for s in own)
+    hard = {r["sub"]: r["count"] for r in traindata.hard_negatives(chain, pos, 1).groupBy("sub").count().collect()}
+    assert hard == own
+
+
 def test_edit_stream(spark, tmp_path):
     from taxograft.streaming import edit_log
 
@@ -188,3 +345,50 @@ def test_edit_stream(spark, tmp_path):
     run.awaitTermination(120)
     t = edit_log.current(spark, str(tmp_path / "t"), 1)
     assert dict(rows(t.nodes, "id", "label")) == {1: "A2", 2: "B"} and t.edges.count() == 0
+    assert rows(edit_log.current(spark, str(tmp_path / "t")).nodes, "id", "label") == rows(t.nodes, "id", "label")
+
+
+def test_edits_go_by_their_order(spark):
+    from taxograft.streaming import edit_log
+
+    t = make(spark, [(2, 1), (3, 2)])
+    batch = [(1, "add_edge", None, 4, 2, "new"), (2, "remove_node", 2, None, None, None), (3, "add_node", 5, None, None, "E"), (4, "remove_node", 3, None, None, None), (5, "add_node", 3, None, None, "again"), (6, "add_edge", None, 3, 1, "new")]
+    after = edit_log.apply_batch(t, spark.createDataFrame(batch, edit_log.EDIT_SCHEMA))
+    assert rows(after.edges, "src", "tgt") == [(3, 1)] and column(after.nodes, "id") == [1, 3, 5]
+
+
+TURTLE = """@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . PREFIX ex: <http://x.example/t#>
+@base <http://x.example/t> .
+# a comment with a . and ;
+ex:1 a <http://www.w3.org/2002/07/owl#Class> ; rdfs:label "Sock \\"S\\" \\u00e9"@en, '''long
+one''' ; rdfs:subClassOf <http://www.w3.org/2002/07/owl#Thing> , [ a ex:r ; ex:on ( ex:1 2.5 true ) ] ; .
+<#2> rdfs:subClassOf ex:1; rdfs:label "Wool sock"^^ex:string .
+_:b rdfs:subClassOf ex:1 .
+"""
+
+
+def test_rdf_sources(spark, tmp_path):
+    from taxograft.sources import rdf, taxonomies
+
+    got = rdf.turtle(TURTLE)
+    label, sub = "http://www.w3.org/2000/01/rdf-schema#label", "http://www.w3.org/2000/01/rdf-schema#subClassOf"
+    assert {o for _, p, o, _ in got if p == label} == {'Sock "S" é', "long\none", "Wool sock"}
+    assert ("http://x.example/t#2", sub, "http://x.example/t#1", False) in got and sum(p.endswith("#first") for _, p, _, _ in got) == 3
+    with pytest.raises(rdf.TurtleError):
+        rdf.turtle("ex:1 a ex:2 .")
+    (tmp_path / "a.ttl").write_text(TURTLE)
+    nt = "# comment\n\n<http://x#1> <%s> <http://www.w3.org/2002/07/owl#Thing> .\n<http://x#2> <%s> <http://x#1> . # x\n<http://x#2> <%s> \"Wool \\\"sock\\\" \\u00e9\"@en .\n_:b <%s> <http://x#1> .\n" % (sub, sub, label, sub)
+    (tmp_path / "b.nt").write_text(nt)
+    xml = """<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#" xml:base="http://x">
+      <owl:Class rdf:ID="1"><rdfs:subClassOf rdf:resource="http://www.w3.org/2002/07/owl#Thing"/></owl:Class>
+      <rdf:Description rdf:about="http://x#2" rdfs:label="Wool &amp; sock"><rdfs:subClassOf><owl:Class rdf:about="#1"/></rdfs:subClassOf></rdf:Description>
+      <owl:Class rdf:about="#2"><rdfs:subClassOf><owl:Restriction/></rdfs:subClassOf></owl:Class></rdf:RDF>"""
+    (tmp_path / "c.owl").write_text(xml)
+    names = {"a.ttl": 'Sock "S" é', "b.nt": "1", "c.owl": "1"}
+    for name, first in names.items():
+        t = taxonomies.from_owl(spark, str(tmp_path / name))
+        assert rows(t.edges, "src", "tgt") == [(1, 0), (2, 1)] and dict(rows(t.nodes, "id", "label"))[1] == first
+    assert dict(rows(taxonomies.from_owl(spark, str(tmp_path / "b.nt")).nodes, "id", "label"))[2] == 'Wool "sock" é'
+    (tmp_path / "d.nt").write_text("this is no triple\n")
+    with pytest.raises(Exception, match="no triple"):
+        rdf.triples(spark, str(tmp_path / "d.nt")).collect()

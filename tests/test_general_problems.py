@@ -60,9 +60,9 @@ def test_scores(spark):
         data.append((f"{name()}; {name()}; {name()}", "plain"))
     df = spark.createDataFrame(data, "text string, src string")
     got = {r["src"]: (r["accepted"], {x["candidate"]: x["score"] for x in r["scores"]}) for r in separator_profile(df, "text", "src").withColumnRenamed("source", "src").collect()}
-    assert got["even"][0] == ["comma"] and "spaced_slash" not in got["words"][0]
+    assert "comma" in got["even"][0] and "spaced_slash" not in got["words"][0]
     assert got["words"][1]["spaced_slash"] < 0.5 < 0.9 < got["even"][1]["comma"]
-    assert got["plain"][0] == ["semicolon"]
+    assert "semicolon" in got["plain"][0]
     alone = separator_profile(df.where("src = 'plain'"), "text", "src").first()
     assert alone["accepted"] == ["semicolon"]
     uneven = spark.createDataFrame([("; ".join(name() for _ in range(n)), "s") for n in [1, 2, 40] * 30], "text string, src string")
