@@ -897,7 +897,7 @@ def _acyclic(spark: SparkSession, sf: str) -> Taxonomy:
     t = _own(spark, sf)
     scratch = Scratch(spark, "own")
     edges = scratch.keep(t.edges.join(cl.cyclic_edges(t.edges), ["src", "tgt"], "left_anti"))
-    whole = Taxonomy(scratch.keep(t.nodes), edges).attach_root()
+    whole = Taxonomy(scratch.keep(t.nodes), edges.fillna("original", ["label"])).attach_root()
     return Taxonomy(scratch.keep(whole.nodes), scratch.keep(whole.edges))
 
 
