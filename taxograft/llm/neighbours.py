@@ -33,7 +33,7 @@ from taxograft.session import Scratch
 BITS, DIM, SEED, MARGIN = 63, 64, 20240607, 0.012
 #: Vectors per tree at which ascending stops, chance that a pair at the minimum similarity never meets at that width, prefix lengths
 #: below and above the usual one between which queries differ.
-BUCKET, MISS, ABOVE, BELOW = 192, 1e-3, 4, 10
+BUCKET, MISS, ABOVE, BELOW = 96, 1e-3, 4, 10
 #: Distance of unit vectors whose float32 originals differ by length only; projections and cell width that find them.
 SAME, PROJECTIONS, CELL = 2.5e-7, 4, 2e-5
 #: Vectors of a group from which on it is searched exactly (smaller ones fit the trees' buckets), trees whose buckets
@@ -135,7 +135,7 @@ def crowded(reps: DataFrame, min_similarity: float, dim: int = DIM) -> DataFrame
     n = reps.count()
     if n < WIDE:
         return None
-    length = max(1, int(np.ceil(np.log2(n / (BUCKET // 2)))))
+    length = max(1, int(np.ceil(np.log2(n / BUCKET))))
 
     def buckets(m: np.ndarray) -> np.ndarray:
         powers = 1 << np.arange(length, dtype=np.int64)
