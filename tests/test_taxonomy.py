@@ -233,3 +233,17 @@ def test_auto_targets(spark):
     t = make(spark, [(1, 0), (2, 0), (3, 1), (4, 1)], {3: "keep", 4: "Test one", 2: "two"})
     assert column(auto_targets(t, MoveConfig(), "Test"), "id") == [2, 3]
     assert auto_targets(t, MoveConfig(max_outer_loop=1), "Test", spark.createDataFrame([(2,)], "id bigint")).first()["id"] == 3
+
+
+def test_closure_cte_rows(spark):
+    """No limit on the rows of a recursion cuts the closure short, and the session's own limit stays as it was."""
+    edges = make(spark, [(i, 0) for i in range(1, 40)] + [(i, i - 30) for i in range(40, 70)] + [(40, 10)]).edges
+    key = cl.ROW_LIMIT
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        got = rows(cl.closure_cte(spark, edges), "node", "anc", "dist")
+        assert spark.conf.get(key) == "50"
+    finally:
+        spark.conf.set(key, before)
+    assert got == rows(cl.closure(edges), "node", "anc", "dist") and len(got) == 99
