@@ -247,3 +247,42 @@ def test_closure_cte_rows(spark):
     finally:
         spark.conf.set(key, before)
     assert got == rows(cl.closure(edges), "node", "anc", "dist") and len(got) == 99
+
+
+def test_neighbourhood_roles_by_query(spark):
+    """Many askers below few parents, nodes with several roles, queries of two nodes, a loop: as by a search through all pairs."""
+    edges = [(1, 0), (2, 0), (3, 1), (3, 2), (4, 1), (4, 2), (5, 1), (5, 3), (6, 3), (6, 1), (7, 8), (8, 7), *((i, 2) for i in range(20, 60))]
+    asks = [("a", 3), ("b", 4), ("c", 5), ("d", 1), ("d", 5), ("e", 0), ("f", 7), ("g", 99), ("h", 3), ("h", 6), *((f"n{i}", i) for i in range(20, 60))]
+    e = set(edges)
+    want = {}
+
+    def put(q, node, rank):
+        want[q, node] = min(rank, want.get((q, node), 9))
+
+    for q, n in asks:
+        put(q, n, 0)
+        for s, t in e:
+            if s == n:
+                put(q, t, 1)
+                for s2, t2 in e:
+                    if s2 == t:
+                        put(q, t2, 4)
+                    if t2 == t and s2 != n:
+                        put(q, s2, 3)
+            if t == n:
+                put(q, s, 2)
+                for s2, t2 in e:
+                    if t2 == s:
+                        put(q, s2, 4)
+    names = ("selected", "ancestor", "child", "sibling", "context")
+    queries = spark.createDataFrame(asks, "query_id string, node bigint")
+    got = rows(space.neighbourhood(queries, make(spark, edges).edges, 2)[0], "query_id", "id", "role")
+    assert got == sorted((q, n, names[r]) for (q, n), r in want.items())
+
+
+def test_neighbourhood_is_not_gathered(spark):
+    """The siblings of many askers below one parent are neither shuffled nor sorted by query: only their few makers are."""
+    edges = make(spark, [(i, 0) for i in range(1, 1001)]).edges
+    asked = spark.range(1, 1001).select(F.col("id").alias("query_id"), F.col("id").alias("node"))
+    tail = space.neighbourhood(asked, edges, 2)[0]._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in tail and "Exchange" not in tail
