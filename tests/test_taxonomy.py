@@ -286,3 +286,21 @@ def test_neighbourhood_is_not_gathered(spark):
     asked = spark.range(1, 1001).select(F.col("id").alias("query_id"), F.col("id").alias("node"))
     tail = space.neighbourhood(asked, edges, 2)[0]._jdf.queryExecution().executedPlan().toString().split("Join")[0]
     assert "Aggregate" not in tail and "Exchange" not in tail
+
+
+def test_listed_siblings_places(spark):
+    """Listings of nodes with one and several parents, equal and missing labels, an asker twice, and a parent with more children than a part holds."""
+    edges = [(1, 0), (2, 0), (3, 1), (3, 2), (4, 1), (4, 2), (5, 1), (6, 2), (7, 1), (7, 2), (7, 2), (8, 9), *((i, 6) for i in range(100, 2600))]
+    labels = {3: "b", 4: "a", 5: "b", 6: "c", 7: None, 1: "x", 2: "x"} | {i: f"l{i % 7}" for i in range(100, 2600)}
+    t = make(spark, edges, labels)
+    asks = [("a", 3), ("b", 4), ("a", 7), ("c", 3), ("c", 3), ("d", 0), ("e", 8), ("f", 5), ("g", 1), ("h", 100), ("i", 2599), ("j", 77)]
+    want = []
+    for q, n in sorted(set(asks)):
+        found = {s for s, p in edges if s != n and (n, p) in edges}
+        ordered = sorted(found, key=lambda s: (labels.get(s, f"n{s}") is not None, labels.get(s, f"n{s}") or "", s))
+        want += [(q, n, s, labels.get(s, f"n{s}"), i) for i, s in enumerate(ordered, 1)]
+    listed = space.listed_siblings(spark.createDataFrame(asks, "query_id string, node bigint"), t.edges, t.nodes)
+    key = lambda r: (r[0], r[1], r[4])
+    assert sorted((tuple(r) for r in listed.select("query_id", "node", "sibling", "label", "place").collect()), key=key) == sorted(want, key=key)
+    # each asker's listing is not sorted again
+    assert "Window" not in listed._jdf.queryExecution().executedPlan().toString()
